@@ -10,11 +10,16 @@ from pyspark.sql.types import BooleanType, DataType, DoubleType, FloatType, Nume
 INF = float("inf")
 MAX_DOUBLE = sys.float_info.max
 EXACT_INTEGER_LIMIT = float(2**53)
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def quoted(name: str) -> str:
+    """A column name, which may hold dots, spaces or backticks, for use in SQL text."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def field(name: str) -> Column:
-    """Reference a column whose name may hold dots, spaces or backticks."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def number(name: str) -> Column:
@@ -44,9 +49,9 @@ def equals_one(name: str, dtype: DataType) -> Column:
     """True where the value reads as the number 1; text that is no number is false, as is null."""
     if isinstance(dtype, StringType):
         text = field(name)
-        # The JVM also parses Java literals such as "1d" or "1f"; those are no numbers here. The
-        # pattern runs only on rows that already parsed as 1.
-        is_one = (text.try_cast("double") == 1.0) & ~text.rlike(r"[dDfF]\s*$")
+        # The pattern keeps junk from the cast, which would raise and catch an error per row inside
+        # the JVM, and rejects Java literals such as "1d", which the cast would take.
+        is_one = (text == "1") | (text.rlike(_NUMBER) & (text.try_cast("double") == 1.0))
     elif isinstance(dtype, (NumericType, BooleanType)):
         is_one = number(name) == 1.0
     else:
@@ -61,10 +66,9 @@ def is_floating(dtype: DataType) -> bool:
 def divide(num: Column, den: Column) -> Column:
     """IEEE division: x/0 is a signed infinity and 0/0 is NaN, where bare ``/`` raises in ANSI mode.
 
-    ``atan2(0, -1)`` is pi and ``atan2(-0.0, -1)`` is -pi, which recovers the sign of a zero.
+    ``pow`` gives the infinity with the sign of the zero.
     """
-    zero_sign = F.signum(F.atan2(den, F.lit(-1.0)))
-    return F.when(den != 0.0, num / den).otherwise(num * F.lit(INF) * zero_sign)
+    return F.when(den != 0.0, num / den).otherwise(num * F.pow(den, F.lit(-1.0)))
 
 
 def _integral(value: Column, rounded: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -12,19 +14,29 @@ from gridtide.schema import COUNTRY_FALLBACK_PREFIX, Dimension
 # A dictionary up to this many entries is broadcast; a larger one is joined by shuffle.
 BROADCAST_LABELS = 10_000
 
-Labels = Mapping[int, str] | DataFrame | None
 
 
-def label_frame(spark: SparkSession, labels: Labels) -> tuple[DataFrame, bool]:
-    """The dictionary as (code, label), one row per code, and whether it is small enough to broadcast."""
+class Dictionary(NamedTuple):
+    """Codes and labels, one row per code, and whether they are few enough to broadcast."""
+
+    rows: DataFrame
+    small: bool
+
+
+Labels = Mapping[int, str] | DataFrame | Dictionary | None
+
+
+def dictionary(spark: SparkSession, labels: Labels) -> Dictionary:
+    """Prepare labels for joins. A frame with columns ``code`` and ``label`` is counted up to the limit."""
+    if isinstance(labels, Dictionary):
+        return labels
     if isinstance(labels, DataFrame):
-        unique = labels.groupBy(F.col("code").cast("bigint").alias("code")).agg(F.min("label").alias("label"))
-        small = unique.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
-        return unique, small
-    entries = [F.struct(F.lit(int(k)).cast("bigint").alias("code"), F.lit(v).alias("label")) for k, v in (labels or {}).items()]
-    none = F.struct(F.lit(None).cast("bigint").alias("code"), F.lit(None).cast("string").alias("label"))
-    frame = spark.range(1).select(F.inline(F.array(*(entries or [none]))))
-    return frame.filter(F.col("code").isNotNull()), len(entries) <= BROADCAST_LABELS
+        rows = labels.groupBy(F.col("code").cast("bigint").alias("code")).agg(F.min("label").alias("label"))
+        return Dictionary(rows, rows.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS)
+    text = json.dumps({str(int(code)): label for code, label in (labels or {}).items()})
+    entries = spark.range(0, 1, 1, 1).select(F.explode(F.from_json(F.lit(text), "map<string, string>")))
+    rows = entries.selectExpr("cast(key AS bigint) AS code", "value AS label")
+    return Dictionary(rows, len(labels or {}) <= BROADCAST_LABELS)
 
 
 def code_key(dim: Dimension) -> Column:
@@ -39,16 +51,11 @@ def with_label(rows: DataFrame, dim: Dimension, labels: Labels = None, name: str
     A closed dimension uses its own dictionary and gives null to unknown codes. The country
     dictionary is passed as ``labels``; unknown countries become ``Country_<code>``.
     """
-    spark = rows.sparkSession
-    frame, small = label_frame(spark, dim.labels if dim.labels is not None else labels)
-    key = "__label_code"
-    right = frame.select(
-        (F.col("code").cast("double") if dim.labels is not None else F.col("code")).alias(key),
-        F.col("label").alias("__label"),
-    )
-    columns = rows.columns
-    joined = rows.withColumn(key, code_key(dim)).join(F.broadcast(right) if small else right, key, "left")
-    label = F.col("__label")
-    if dim.labels is None:
-        label = F.coalesce(label, F.concat(F.lit(COUNTRY_FALLBACK_PREFIX), F.col(key).cast("string")))
-    return joined.select(*(joined[f"`{c}`"] for c in columns), label.alias(name))
+    closed = dim.labels is not None
+    known = dictionary(rows.sparkSession, dim.labels if closed else labels)
+    code_type = "double" if closed else "bigint"
+    right = known.rows.selectExpr(f"cast(code AS {code_type}) AS __code", "label AS __label")
+    keyed = rows.withColumn("__code", code_key(dim))
+    joined = keyed.join(F.broadcast(right) if known.small else right, "__code", "left")
+    label = "__label" if closed else f"coalesce(__label, '{COUNTRY_FALLBACK_PREFIX}' || cast(__code AS string))"
+    return joined.withColumn(name, F.expr(label)).drop("__code", "__label")

@@ -6,17 +6,18 @@ result has at most (ages x code combinations) rows. Labels are joined to that, n
 and the ``All`` rows come from it too.
 
 A state row carries ``cells``, ``flooded``, ``<column>__sum`` per total and, per moment column, the
-mergeable ``<column>__n/__mean/__m2/__min/__max`` (m2: sum of squared deviations from the mean).
+mergeable ``<column>__n/__mean/__m2`` (m2: sum of squared deviations from the mean), with
+``extremes`` also ``__min`` and ``__max``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridtide import schema as S
-from gridtide.functions.columns import clean, equals_one, field, number, zero_if_missing
+from gridtide.functions.columns import clean, equals_one, field, number, quoted, zero_if_missing
 from gridtide.operators.filters import has_valid_age
 from gridtide.operators.labels import Labels, with_label
 from gridtide.sources.binding import require_columns
@@ -32,15 +33,16 @@ def moment_value(name: str, exclude_zero: bool) -> Column:
     return F.when(value != 0.0, value) if exclude_zero else value
 
 
-def _moment_aggregates(name: str, exclude_zero: bool) -> list[Column]:
-    value = moment_value(name, exclude_zero)
-    return [
+def _moment_aggregates(name: str, extremes: bool) -> list[Column]:
+    value = field(name)
+    aggregates = [
         F.count(value).alias(f"{name}__n"),
         F.avg(value).alias(f"{name}__mean"),
         (F.var_pop(value) * F.count(value)).alias(f"{name}__m2"),
-        F.min(value).alias(f"{name}__min"),
-        F.max(value).alias(f"{name}__max"),
     ]
+    if extremes:
+        aggregates += [F.min(value).alias(f"{name}__min"), F.max(value).alias(f"{name}__max")]
+    return aggregates
 
 
 def summarise(
@@ -51,6 +53,7 @@ def summarise(
     moments: Sequence[str] = (),
     totals: Sequence[str] = (),
     exclude_zero: bool = True,
+    extremes: bool = False,
     keep_invalid: bool = False,
 ) -> DataFrame:
     """Group cells by age and the codes of ``dims``; columns the input lacks are left out.
@@ -59,93 +62,97 @@ def summarise(
     """
     require_columns(cells.columns, [S.AGE])
     have = set(cells.columns)
-    dims = [dim for dim in dims if dim.column in have]
-    age = field(S.AGE).cast("int")
-    codes = {dim.column: clean(number(dim.column)) for dim in dims}
+    keys = {S.AGE: field(S.AGE).cast("int")}
+    keys.update((dim.column, clean(number(dim.column))) for dim in dims if dim.column in have)
     if keep_invalid:
-        age = F.when(has_valid_age(), age)
-        codes = {name: F.when(has_valid_age(), code) for name, code in codes.items()}
+        keys = {name: F.when(has_valid_age(), key) for name, key in keys.items()}
     else:
         cells = cells.filter(has_valid_age())
+    flagged = flood is not None and flood in have
+    moments = [name for name in moments if name in have]
+    totals = [name for name in totals if name in have]
+    # Values are cleaned in a projection of their own, so each is computed once per cell and not
+    # once per aggregate that uses it.
+    values = {name: moment_value(name, exclude_zero) for name in moments}
+    sums = {f"{name}__sum": zero_if_missing(number(name)) for name in totals}
+    flags = {FLOODED: equals_one(flood, cells.schema[flood].dataType)} if flagged else {}
+    prepared = cells.select(
+        *(value.alias(name) for name, value in {**keys, **values, **sums, **flags}.items())
+    )
     aggregates = [F.count(F.lit(1)).alias(CELLS)]
-    if flood in have:
-        aggregates.append(F.count_if(equals_one(flood, cells.schema[flood].dataType)).alias(FLOODED))
+    if flagged:
+        aggregates.append(F.count_if(F.col(FLOODED)).alias(FLOODED))
     for name in moments:
-        if name in have:
-            aggregates += _moment_aggregates(name, exclude_zero)
-    for name in totals:
-        if name in have:
-            aggregates.append(F.sum(zero_if_missing(number(name))).alias(f"{name}__sum"))
-    keys = [age.alias(S.AGE), *(code.alias(name) for name, code in codes.items())]
-    return cells.groupBy(*keys).agg(*aggregates)
+        aggregates += _moment_aggregates(name, extremes)
+    aggregates += [F.sum(field(name)).alias(name) for name in sums]
+    return prepared.groupBy(*(field(name) for name in keys)).agg(*aggregates)
 
 
-def moment_columns(state: DataFrame) -> list[str]:
-    return [name[: -len("__m2")] for name in state.columns if name.endswith("__m2")]
+def part(name: str, kind: str) -> str:
+    """State column of one measure, quoted for SQL text."""
+    return quoted(f"{name}__{kind}")
 
 
-def merge(state: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Combine state rows that share ``keys``.
+def merge(state: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Combine the state rows that share ``keys``, for these state columns.
 
     Squared deviations are re-centred on the merged mean, so values with a large common offset lose
     no precision. The window and the aggregate use the same keys and so the same shuffle.
     """
-    moments = moment_columns(state)
-    sums = [name for name in state.columns if name in (CELLS, FLOODED) or name.endswith("__sum")]
-    group = Window.partitionBy(*keys)
-
-    def weighted(name: str) -> Column:
-        return field(f"{name}__n") * field(f"{name}__mean")
-
-    if moments:
-        state = state.select(
-            "*",
-            *(
-                (F.sum(weighted(m)).over(group) / F.nullif(F.sum(f"`{m}__n`").over(group), F.lit(0))).alias(f"{m}__centre")
-                for m in moments
-            ),
-        )
-    aggregates = [F.sum(field(name)).alias(name) for name in sums]
-    for m in moments:
-        shift = field(f"{m}__mean") - field(f"{m}__centre")
-        aggregates += [
-            F.sum(field(f"{m}__n")).alias(f"{m}__n"),
-            F.max(field(f"{m}__centre")).alias(f"{m}__mean"),
-            F.sum(field(f"{m}__m2") + field(f"{m}__n") * shift * shift).alias(f"{m}__m2"),
-            F.min(field(f"{m}__min")).alias(f"{m}__min"),
-            F.max(field(f"{m}__max")).alias(f"{m}__max"),
-        ]
-    return state.groupBy(*keys).agg(*aggregates)
+    aggregates, centres = [], []
+    over = f"OVER (PARTITION BY {', '.join(map(quoted, keys))})"
+    for column in columns:
+        name, _, kind = column.rpartition("__")
+        n, mean, centre = part(name, "n"), part(name, "mean"), part(name, "centre")
+        if kind == "mean":
+            centres.append(f"sum({n} * {mean}) {over} / nullif(sum({n}) {over}, 0) AS {centre}")
+            merged = f"max({centre})"
+        elif kind == "m2":
+            merged = f"sum({quoted(column)} + {n} * ({mean} - {centre}) * ({mean} - {centre}))"
+        else:
+            merged = f"{kind if kind in ('min', 'max') else 'sum'}({quoted(column)})"
+        aggregates.append(f"{merged} AS {quoted(column)}")
+    if centres:
+        state = state.selectExpr("*", *centres)
+    return state.groupBy(*map(quoted, keys)).agg(*map(F.expr, aggregates))
 
 
 def by_category(
-    state: DataFrame, dim: S.Dimension, labels: Labels = None, *, all_without_dim: bool = False
+    state: DataFrame,
+    dim: S.Dimension,
+    columns: Sequence[str],
+    labels: Labels = None,
+    *,
+    all_without_dim: bool = False,
 ) -> DataFrame:
     """State per (category, age): one ``All`` row per age over every cell, plus the labelled groups.
 
     ``Is_All`` tells the two apart; a null label joins no group but still counts in ``All``. Without
     the dimension's column the result is empty, or only ``All`` with ``all_without_dim``.
     """
-    state = state.filter(field(S.AGE).isNotNull())
-    if dim.column in state.columns:
-        labelled = with_label(state, dim, labels, "__group")
-    else:
-        labelled = state.withColumn("__group", F.lit(None).cast("string"))
-        if not all_without_dim:
-            labelled = labelled.filter(F.lit(False))
-    memberships = F.array(
-        F.struct(F.lit(True).alias(IS_ALL), F.lit("All").alias(CATEGORY)),
-        F.struct(F.lit(False).alias(IS_ALL), F.col("__group").alias(CATEGORY)),
+    labelled = _labelled(state, dim, columns, labels, keep_rows=all_without_dim)
+    memberships = (
+        f"inline(array(struct(true AS {IS_ALL}, 'All' AS {CATEGORY}),"
+        f" struct(false AS {IS_ALL}, __group AS {CATEGORY})))"
     )
-    expanded = labelled.select("*", F.inline(memberships)).filter(F.col(CATEGORY).isNotNull())
-    return merge(expanded, [IS_ALL, CATEGORY, S.AGE])
+    members = labelled.selectExpr("*", memberships).filter(f"{CATEGORY} IS NOT NULL")
+    return merge(members, [IS_ALL, CATEGORY, S.AGE], columns)
 
 
-def by_label(state: DataFrame, dim: S.Dimension, labels: Labels = None) -> DataFrame:
+def by_label(state: DataFrame, dim: S.Dimension, columns: Sequence[str], labels: Labels = None) -> DataFrame:
     """State per label over all valid ages, without ``All``."""
-    state = state.filter(field(S.AGE).isNotNull())
-    if dim.column in state.columns:
-        labelled = with_label(state, dim, labels, CATEGORY)
-    else:
-        labelled = state.withColumn(CATEGORY, F.lit(None).cast("string"))
-    return merge(labelled.filter(F.col(CATEGORY).isNotNull()), [CATEGORY])
+    labelled = _labelled(state, dim, columns, labels).withColumnRenamed("__group", CATEGORY)
+    return merge(labelled.filter(f"{CATEGORY} IS NOT NULL"), [CATEGORY], columns)
+
+
+def _labelled(
+    state: DataFrame, dim: S.Dimension, columns: Sequence[str], labels: Labels, keep_rows: bool = False
+) -> DataFrame:
+    """The needed state columns of valid ages with the label as ``__group``."""
+    has_dim = dim.column in state.columns
+    keys = [S.AGE, dim.column] if has_dim else [S.AGE]
+    rows = state.selectExpr(*map(quoted, [*keys, *columns])).filter(f"{quoted(S.AGE)} IS NOT NULL")
+    if has_dim:
+        return with_label(rows, dim, labels, "__group")
+    rows = rows.selectExpr("*", "cast(NULL AS string) AS __group")
+    return rows if keep_rows else rows.filter("false")

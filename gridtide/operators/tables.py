@@ -8,79 +8,56 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from gridtide import schema as S
-from gridtide.functions.columns import field
-from gridtide.operators.labels import Labels, label_frame
-from gridtide.operators.summary import (
-    CATEGORY,
-    CELLS,
-    FLOODED,
-    IS_ALL,
-    by_category,
-    by_label,
-    merge,
-)
+from gridtide.functions.columns import field, quoted
+from gridtide.operators.labels import Labels, dictionary
+from gridtide.operators.summary import CATEGORY, CELLS, FLOODED, IS_ALL, by_category, by_label, merge, part
+
+_POPULATION, _EXPOSED = f"{S.POPULATION}__sum", f"{S.EXPOSED_POPULATION}__sum"
 
 
-def _report_order(table: DataFrame, columns: Sequence[Column]) -> DataFrame:
+def _report_order(table: DataFrame, measures: Sequence[str]) -> DataFrame:
     """``All`` first, then categories by code point, then age."""
-    return table.orderBy(F.col(IS_ALL).desc(), CATEGORY, S.AGE).select(CATEGORY, S.AGE, *columns)
+    ordered = table.orderBy(F.col(IS_ALL).desc(), CATEGORY, S.AGE)
+    return ordered.selectExpr(CATEGORY, S.AGE, *measures)
 
 
-def _percent(part: Column, whole: Column, otherwise: Column) -> Column:
-    return F.when(whole > 0, part / whole * 100.0).otherwise(otherwise)
+def _percent(part_: str, whole: str, otherwise: str) -> str:
+    return f"CASE WHEN {whole} > 0 THEN {part_} / {whole} * 100.0D ELSE {otherwise} END"
 
 
-def _area(count: Column) -> Column:
-    return count * F.lit(S.CELL_AREA_KM2)
+def _area(count: str) -> str:
+    return f"{count} * {S.CELL_AREA_KM2}D"
 
 
 def area_table(state: DataFrame) -> DataFrame:
     """Cells and area by development status and age, with each age's share of its category."""
-    groups = by_category(state, S.DEVELOPMENT, all_without_dim=True)
-    total = F.sum(CELLS).over(Window.partitionBy(IS_ALL, CATEGORY))
-    groups = groups.withColumn("share", _percent(F.col(CELLS), total, F.lit(0.0)))
+    groups = by_category(state, S.DEVELOPMENT, [CELLS], all_without_dim=True)
+    total = f"sum({CELLS}) OVER (PARTITION BY {IS_ALL}, {CATEGORY})"
+    groups = groups.selectExpr("*", f"{_percent(CELLS, total, '0.0D')} AS share")
     return _report_order(
-        groups,
-        [
-            F.col(CELLS).alias("Grid_Count"),
-            _area(F.col(CELLS)).alias("Area_km2"),
-            F.col("share").alias("Ratio_Percent"),
-        ],
+        groups, [f"{CELLS} AS Grid_Count", f"{_area(CELLS)} AS Area_km2", "share AS Ratio_Percent"]
     )
 
 
 def flood_table(state: DataFrame, dim: S.Dimension, labels: Labels = None) -> DataFrame:
     """Flooded cells, area and ratio; empty without a flood column."""
     if FLOODED not in state.columns:
-        state = state.withColumn(FLOODED, F.lit(0).cast("bigint")).filter(F.lit(False))
-    cells, flooded = F.col(CELLS), F.col(FLOODED)
+        state = state.selectExpr("*", f"0L AS {FLOODED}").filter("false")
     return _report_order(
-        by_category(state, dim, labels),
+        by_category(state, dim, [CELLS, FLOODED], labels),
         [
-            cells.alias("Total_Grid_Count"),
-            flooded.alias("Flooded_Grid_Count"),
-            _area(cells).alias("Total_Area_km2"),
-            _area(flooded).alias("Flooded_Area_km2"),
-            _percent(flooded, cells, F.lit(0.0)).alias("Flood_Area_Ratio_Percent"),
+            f"{CELLS} AS Total_Grid_Count",
+            f"{FLOODED} AS Flooded_Grid_Count",
+            f"{_area(CELLS)} AS Total_Area_km2",
+            f"{_area(FLOODED)} AS Flooded_Area_km2",
+            f"{_percent(FLOODED, CELLS, '0.0D')} AS Flood_Area_Ratio_Percent",
         ],
     )
 
 
-def _with_empty_moments(state: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Columns the input lacks get n = 0 and no values; without any of them there are no rows."""
-    lacking = [c for c in columns if f"{c}__m2" not in state.columns]
-    if len(lacking) == len(columns):
-        state = state.filter(F.lit(False))
-    for c in lacking:
-        state = state.withColumn(f"{c}__n", F.lit(0).cast("bigint"))
-        for part in ("mean", "m2", "min", "max"):
-            state = state.withColumn(f"{c}__{part}", F.lit(None).cast("double"))
-    return state
-
-
 def moments_table(
     state: DataFrame,
     dim: S.Dimension,
@@ -89,21 +66,30 @@ def moments_table(
     *,
     extremes: bool = False,
 ) -> DataFrame:
-    """Mean, population standard deviation, n and standard error per column, or also min and max."""
-    groups = by_category(_with_empty_moments(state, columns), dim, labels)
+    """Mean, population standard deviation, n and standard error per column, or also min and max.
+
+    Columns the input lacks get n = 0 and no values; without any of them there are no rows.
+    """
+    kinds = ("n", "mean", "m2", "min", "max") if extremes else ("n", "mean", "m2")
+    lacking = [c for c in columns if f"{c}__m2" not in state.columns]
+    if lacking:
+        empty = {kind: "0L" if kind == "n" else "cast(NULL AS double)" for kind in kinds}
+        state = state.selectExpr("*", *(f"{value} AS {part(c, kind)}" for c in lacking for kind, value in empty.items()))
+    if len(lacking) == len(columns):
+        state = state.filter("false")
     measures = []
     for c in columns:
-        n = F.nullif(field(f"{c}__n"), F.lit(0))
-        std = F.sqrt(field(f"{c}__m2") / n)
+        n, m2 = f"nullif({part(c, 'n')}, 0)", part(c, "m2")
         measures += [
-            field(f"{c}__mean").alias(f"{c}_Mean"),
-            std.alias(f"{c}_Std"),
-            field(f"{c}__n").alias(f"{c}_n"),
-            (std / F.sqrt(n)).alias(f"{c}_SE"),
+            f"{part(c, 'mean')} AS {quoted(f'{c}_Mean')}",
+            f"sqrt({m2} / {n}) AS {quoted(f'{c}_Std')}",
+            f"{part(c, 'n')} AS {quoted(f'{c}_n')}",
+            f"sqrt({m2} / {n}) / sqrt({n}) AS {quoted(f'{c}_SE')}",
         ]
         if extremes:
-            measures += [field(f"{c}__min").alias(f"{c}_Min"), field(f"{c}__max").alias(f"{c}_Max")]
-    return _report_order(groups, measures)
+            measures += [f"{part(c, 'min')} AS {quoted(f'{c}_Min')}", f"{part(c, 'max')} AS {quoted(f'{c}_Max')}"]
+    needed = [f"{c}__{kind}" for c in columns for kind in kinds]
+    return _report_order(by_category(state, dim, needed, labels), measures)
 
 
 def environment_table(
@@ -118,52 +104,50 @@ def risk_table(state: DataFrame, dim: S.Dimension, labels: Labels = None) -> Dat
 
 def _with_population(state: DataFrame) -> DataFrame:
     """Both population columns are needed; without them there are no rows."""
-    needed = [f"{S.POPULATION}__sum", f"{S.EXPOSED_POPULATION}__sum"]
-    if set(needed) <= set(state.columns):
+    lacking = [name for name in (_POPULATION, _EXPOSED) if name not in state.columns]
+    if not lacking:
         return state
-    for name in needed:
-        if name not in state.columns:
-            state = state.withColumn(name, F.lit(0.0))
-    return state.filter(F.lit(False))
+    return state.selectExpr("*", *(f"0.0D AS {quoted(name)}" for name in lacking)).filter("false")
 
 
-def _exposure_measures() -> list[Column]:
-    population, exposed = F.col(f"{S.POPULATION}__sum"), F.col(f"{S.EXPOSED_POPULATION}__sum")
-    return [
-        population.alias("Total_Population"),
-        exposed.alias("Total_Exposure"),
-        _percent(exposed, population, F.lit(None)).alias("Exposure_Ratio_Percent"),
-    ]
+_EXPOSURE_MEASURES = (
+    f"{_POPULATION} AS Total_Population",
+    f"{_EXPOSED} AS Total_Exposure",
+    f"{_percent(_EXPOSED, _POPULATION, 'NULL')} AS Exposure_Ratio_Percent",
+)
 
 
 def exposure_global_table(state: DataFrame) -> DataFrame:
     """Population, exposed population and ratio per age."""
-    by_age = merge(_with_population(state.filter(field(S.AGE).isNotNull())), [S.AGE])
-    return by_age.select(S.AGE, *_exposure_measures()).orderBy(S.AGE)
+    valid = _with_population(state).filter(f"{S.AGE} IS NOT NULL")
+    by_age = merge(valid, [S.AGE], [_POPULATION, _EXPOSED])
+    return by_age.selectExpr(S.AGE, *_EXPOSURE_MEASURES).orderBy(S.AGE)
 
 
 def exposure_table(state: DataFrame, dim: S.Dimension, labels: Labels = None) -> DataFrame:
-    return _report_order(by_category(_with_population(state), dim, labels), _exposure_measures())
+    groups = by_category(_with_population(state), dim, [_POPULATION, _EXPOSED], labels)
+    return _report_order(groups, _EXPOSURE_MEASURES)
 
 
-def _year_sums(state: DataFrame) -> dict[int, Column]:
+def _year_sums(state: DataFrame) -> dict[str, str]:
+    """Year -> state column, for the years the input has."""
     have = set(state.columns)
-    named = {year: f"{S.exposure_column(year)}__sum" for year in S.YEARS}
-    return {year: field(name) for year, name in named.items() if name in have}
+    named = {str(year): f"{S.exposure_column(year)}__sum" for year in S.YEARS}
+    return {year: name for year, name in named.items() if name in have}
 
 
 def country_year_table(state: DataFrame, labels: Labels = None) -> DataFrame:
     """Exposed population per country and year, one column per year the input has."""
     sums = _year_sums(state)
-    groups = by_label(state, S.COUNTRY, labels)
-    return groups.select(F.col(CATEGORY).alias("Country"), *(value.alias(str(y)) for y, value in sums.items()))
+    groups = by_label(state, S.COUNTRY, list(sums.values()) or [CELLS], labels)
+    return groups.selectExpr(f"{CATEGORY} AS Country", *(f"{name} AS `{year}`" for year, name in sums.items()))
 
 
 def years_to_rows(wide: DataFrame, key: str) -> DataFrame:
     """One row per key and year."""
     years = [name for name in wide.columns if name != key]
     if not years:
-        return wide.select(key, F.lit(0).alias("Year"), F.lit(0.0).alias("Total")).filter(F.lit(False))
+        return wide.select(key, F.lit(0).alias("Year"), F.lit(0.0).alias("Total")).filter("false")
     long = wide.unpivot([key], years, "Year", "Total")
     return long.select(key, F.col("Year").cast("int").alias("Year"), "Total")
 
@@ -171,54 +155,46 @@ def years_to_rows(wide: DataFrame, key: str) -> DataFrame:
 def years_to_columns(long: DataFrame, key: str) -> DataFrame:
     """One row per key and a column for each report year, 0 where there is none."""
     wide = long.groupBy(key).pivot("Year", list(S.YEARS)).agg(F.sum("Total"))
-    return wide.select(key, *(F.coalesce(field(str(y)), F.lit(0.0)).alias(str(y)) for y in S.YEARS))
+    return wide.selectExpr(key, *(f"coalesce(`{y}`, 0.0D) AS `{y}`" for y in S.YEARS))
 
 
 def country_rank_table(state: DataFrame, labels: Labels = None) -> DataFrame:
     """Countries by exposed population of the last year, largest first, sums rounded half to even.
 
-    The window sees one aggregated row per country label, so its single task stays small at any
-    number of cells.
+    Without any year column there are no rows. The window sees one aggregated row per country label,
+    so its single task stays small at any number of cells.
     """
     wide = years_to_columns(years_to_rows(country_year_table(state, labels), "Country"), "Country")
-    if not _year_sums(state):
-        wide = by_label(state, S.COUNTRY, labels).select(
-            F.col(CATEGORY).alias("Country"), *(F.lit(0.0).alias(str(y)) for y in S.YEARS)
-        )
     rank = F.row_number().over(Window.orderBy(field(str(S.YEARS[-1])).desc(), F.col("Country")))
-    return (
-        wide.withColumn("Rank", rank)
-        .select("Rank", "Country", *(F.bround(field(str(y)), 0).alias(str(y)) for y in S.YEARS))
-        .orderBy("Rank")
-    )
+    ranked = wide.withColumn("Rank", rank)
+    return ranked.selectExpr("Rank", "Country", *(f"bround(`{y}`, 0) AS `{y}`" for y in S.YEARS)).orderBy("Rank")
 
 
 def income_year_table(state: DataFrame) -> DataFrame:
     """Exposed population per income level and year; every level appears, with 0 where it has no cells."""
     sums = _year_sums(state)
-    levels, _ = label_frame(state.sparkSession, S.INCOME.labels)
-    groups = by_label(state, S.INCOME)
-    joined = levels.select(F.col("label").alias(CATEGORY)).join(groups, CATEGORY, "left")
+    levels = dictionary(state.sparkSession, S.INCOME.labels).rows.selectExpr(f"label AS {CATEGORY}")
+    groups = by_label(state, S.INCOME, list(sums.values()) or [CELLS])
+    joined = levels.join(groups, CATEGORY, "left")
     if S.INCOME.column not in state.columns:
-        joined = joined.filter(F.lit(False))
-    return joined.select(
-        F.col(CATEGORY).alias("Income"),
-        *(F.coalesce(value, F.lit(0.0)).alias(str(y)) for y, value in sums.items()),
-    )
+        joined = joined.filter("false")
+    years = (f"coalesce({name}, 0.0D) AS `{year}`" for year, name in sums.items())
+    return joined.selectExpr(f"{CATEGORY} AS Income", *years)
 
 
 def run_summary(state: DataFrame, flood: str | None = None) -> DataFrame:
     """One row of counts. Needs a state over the codes made with ``keep_invalid``."""
-    valid = field(S.AGE).isNotNull()
-
-    def distinct(dim: S.Dimension) -> Column:
-        return F.count_distinct(field(dim.column)) if dim.column in state.columns else F.lit(0).cast("bigint")
-
-    return state.agg(
-        F.coalesce(F.sum(CELLS), F.lit(0)).alias("total_rows"),
-        F.coalesce(F.sum(F.when(valid, F.col(CELLS))), F.lit(0)).alias("valid_rows"),
-        distinct(S.COUNTRY).alias("countries_count"),
-        distinct(S.CONTINENT).alias("continents_count"),
-        distinct(S.INCOME).alias("income_levels_count"),
-        F.count_distinct(field(S.AGE)).alias("ages_count"),
-    ).withColumn("flood_column", F.lit(flood or "N/A"))
+
+    def distinct(column: str) -> str:
+        return f"count(DISTINCT {column})" if column in state.columns else "0L"
+
+    measures = {
+        "total_rows": f"coalesce(sum({CELLS}), 0L)",
+        "valid_rows": f"coalesce(sum({CELLS}) FILTER (WHERE {S.AGE} IS NOT NULL), 0L)",
+        "countries_count": distinct(S.COUNTRY.column),
+        "continents_count": distinct(S.CONTINENT.column),
+        "income_levels_count": distinct(S.INCOME.column),
+        "ages_count": distinct(S.AGE),
+    }
+    counts = state.agg(*(F.expr(f"{value} AS {name}") for name, value in measures.items()))
+    return counts.withColumn("flood_column", F.lit(flood or "N/A"))

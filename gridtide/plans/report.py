@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from gridtide import schema as S
 from gridtide.functions.display import format_report_values
 from gridtide.operators import tables as T
-from gridtide.operators.labels import Labels
+from gridtide.operators.labels import Labels, dictionary
 from gridtide.operators.summary import summarise
 from gridtide.plans.work import written
 from gridtide.sources.binding import detect_flood_column
@@ -68,6 +68,7 @@ def report_tables(state: DataFrame, labels: Labels = None, flood: str | None = N
     """All report tables from the state, by table name. Store the state before using several."""
     by_suffix = {"DevStatus": S.DEVELOPMENT, "Income": S.INCOME, "Continent": S.CONTINENT, "Country": S.COUNTRY}
     tables = {OVERVIEW: T.run_summary(state, flood)}
+    labels = dictionary(state.sparkSession, labels)
     for sheet in SHEETS:
         dim = by_suffix.get(sheet.name.rsplit("_", 1)[1])
         used = labels if dim is S.COUNTRY else None
