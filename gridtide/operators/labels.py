@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gridtide.functions.columns import clean, number
 from gridtide.schema import COUNTRY_FALLBACK_PREFIX, Dimension
 
-# A dictionary up to this many entries is broadcast; a larger one is joined by shuffle.
+# A dictionary given in Python is broadcast up to this many entries.
 BROADCAST_LABELS = 10_000
 
 
-
 class Dictionary(NamedTuple):
-    """Codes and labels, one row per code, and whether they are few enough to broadcast."""
+    """Codes and labels, one row per code, and whether their number is known to be small.
+
+    Others get no hint: Spark broadcasts them only when its own size statistics allow it.
+    """
 
     rows: DataFrame
     small: bool
@@ -27,12 +29,12 @@ Labels = Mapping[int, str] | DataFrame | Dictionary | None
 
 
 def dictionary(spark: SparkSession, labels: Labels) -> Dictionary:
-    """Prepare labels for joins. A frame with columns ``code`` and ``label`` is counted up to the limit."""
+    """Prepare labels for joins: a Python mapping, or a frame with columns ``code`` and ``label``."""
     if isinstance(labels, Dictionary):
         return labels
     if isinstance(labels, DataFrame):
         rows = labels.groupBy(F.col("code").cast("bigint").alias("code")).agg(F.min("label").alias("label"))
-        return Dictionary(rows, rows.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS)
+        return Dictionary(rows, False)
     text = json.dumps({str(int(code)): label for code, label in (labels or {}).items()})
     entries = spark.range(0, 1, 1, 1).select(F.explode(F.from_json(F.lit(text), "map<string, string>")))
     rows = entries.selectExpr("cast(key AS bigint) AS code", "value AS label")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridtide import schema as S
 
+FLOOD = "Flood_Flag"
+
 # Hazard column -> multiple of the discount.
 HAZARD_FACTORS = {
     "Hazard_Index_RP010": 2.0,
@@ -16,11 +18,28 @@ HAZARD_FACTORS = {
     "Hazard_Index_RP200": 7.8,
     "Hazard_Index_RP500": 12.0,
 }
-FLOOD = "Flood_Flag"
-
-
-def _null_if(condition: Column, value: Column) -> Column:
-    return F.when(condition, F.lit(None)).otherwise(value)
+_HAZARDS = {name: f"l_discount * {factor}D" for name, factor in HAZARD_FACTORS.items()}
+CELLS = {
+    S.AGE: "cast(5 * (1 + cast(l_quantity AS int) % 12) AS int)",
+    "Developed": "if(c_custkey % 29 = 0, NULL, cast(1 + c_nationkey % 3 AS double))",
+    "Income_Classification": "if(c_custkey % 31 = 0, NULL, cast(c_nationkey % 6 AS double))",
+    "Sovereig": "cast(10 + c_nationkey % 8 AS double)",
+    "Country": "if(c_custkey % 37 = 0, NULL, cast(CASE c_nationkey WHEN 24 THEN 999 WHEN 23 THEN 275"
+    " ELSE 100 + c_nationkey * 10 END AS double))",
+    **_HAZARDS,
+    "Hazard_Index_RP500": f"if(l_partkey % 41 = 0, NULL, {_HAZARDS['Hazard_Index_RP500']})",
+    S.EXPOSURE: "l_quantity / 45.0D",
+    S.VULNERABILITY: "if(l_suppkey % 43 = 0, NULL, l_tax * 10.0D + 0.1D)",
+    "Slope": "if(l_linenumber = 7, 0.0D, l_discount * 300.0D)",
+    "DEM": "if(l_suppkey % 53 = 0, cast('NaN' AS double), l_extendedprice / 100.0D - 50.0D)",
+    "Distance_from_River": "cast(l_partkey AS double)",
+    FLOOD: "CASE l_returnflag WHEN 'A' THEN '1' WHEN 'N' THEN '0' ELSE 'n/a' END",
+    S.POPULATION: "cast(l_linenumber * 100 AS double)",
+    **{
+        S.exposure_column(year): f"if(l_suppkey % 47 = 0, NULL, cast(l_linenumber * {5 * (i + 1)} AS double))"
+        for i, year in enumerate(S.YEARS)
+    },
+}
 
 
 def grid_from(lineitem: DataFrame, orders: DataFrame, customer: DataFrame) -> DataFrame:
@@ -32,37 +51,7 @@ def grid_from(lineitem: DataFrame, orders: DataFrame, customer: DataFrame) -> Da
         "o_orderkey", "c_custkey", "c_nationkey"
     )
     rows = lineitem.join(places, F.col("l_orderkey") == F.col("o_orderkey"))
-    nation, customer_key, supplier = F.col("c_nationkey"), F.col("c_custkey"), F.col("l_suppkey")
-    discount, line = F.col("l_discount"), F.col("l_linenumber")
-    country = (
-        F.when(nation == 24, F.lit(999))
-        .when(nation == 23, F.lit(275))
-        .otherwise(100 + nation * 10)
-        .cast("double")
-    )
-    hazards = {name: discount * F.lit(factor) for name, factor in HAZARD_FACTORS.items()}
-    hazards["Hazard_Index_RP500"] = _null_if(F.col("l_partkey") % 41 == 0, hazards["Hazard_Index_RP500"])
-    yearly = {
-        S.exposure_column(year): _null_if(supplier % 47 == 0, (line * (5 * (i + 1))).cast("double"))
-        for i, year in enumerate(S.YEARS)
-    }
-    cells = {
-        S.AGE: (5 * (1 + F.col("l_quantity").cast("int") % 12)).cast("int"),
-        "Developed": _null_if(customer_key % 29 == 0, (1 + nation % 3).cast("double")),
-        "Income_Classification": _null_if(customer_key % 31 == 0, (nation % 6).cast("double")),
-        "Sovereig": (10 + nation % 8).cast("double"),
-        "Country": _null_if(customer_key % 37 == 0, country),
-        **hazards,
-        S.EXPOSURE: F.col("l_quantity") / 45.0,
-        S.VULNERABILITY: _null_if(supplier % 43 == 0, F.col("l_tax") * 10.0 + 0.1),
-        "Slope": F.when(line == 7, F.lit(0.0)).otherwise(discount * 300.0),
-        "DEM": F.when(supplier % 53 == 0, F.lit(float("nan"))).otherwise(F.col("l_extendedprice") / 100.0 - 50.0),
-        "Distance_from_River": F.col("l_partkey").cast("double"),
-        FLOOD: F.when(F.col("l_returnflag") == "A", "1").when(F.col("l_returnflag") == "N", "0").otherwise("n/a"),
-        S.POPULATION: (line * 100).cast("double"),
-        **yearly,
-    }
-    return rows.select(*(value.alias(name) for name, value in cells.items()))
+    return rows.selectExpr(*(f"{text} AS {name}" for name, text in CELLS.items()))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

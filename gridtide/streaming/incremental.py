@@ -66,7 +66,7 @@ def latest_report_state(spark: SparkSession, output: str) -> DataFrame:
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     batches = [
         status.getPath()
-        for status in fs.listStatus(path)
+        for status in (fs.listStatus(path) if fs.exists(path) else [])
         if status.getPath().getName().startswith("batch=")
         and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
     ]

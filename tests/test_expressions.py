@@ -1,0 +1,191 @@
+import ast
+import math
+import operator
+
+import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from gridtide.functions.expressions import ExpressionError, check_expression, compile_expression, strip_comments
+from gridtide.operators.fields import derive_field
+
+NAN, INF = float("nan"), float("inf")
+LEFT = [None, NAN, -INF, -7.0, 0.0, -0.0, 2.5, INF]
+RIGHT = [None, NAN, -3.0, 0.0, -0.0, 3.0]
+
+
+def same(a, b):
+    if a is None or b is None:
+        return a is b
+    if math.isnan(a) or math.isnan(b):
+        return math.isnan(a) and math.isnan(b)
+    return a == b or math.isclose(a, b, rel_tol=1e-12)
+
+
+def evaluate(spark, text, rows, schema="a double, b double"):
+    frame = spark.createDataFrame(rows, schema)
+    return [r[0] for r in frame.select(compile_expression(text, frame.schema)).collect()]
+
+
+def ieee_divide(a, b):
+    if b != 0:
+        return a / b
+    if a == 0 or math.isnan(a):
+        return NAN
+    return math.copysign(INF, a) * math.copysign(1.0, b)
+
+
+def ieee_modulo(a, b):
+    q = ieee_divide(a, b)
+    whole = math.floor(q) if math.isfinite(q) else q
+    return a - b * whole
+
+
+def ieee_power(a, b):
+    try:
+        r = math.pow(a, b)
+    except OverflowError:
+        return INF
+    except ValueError:
+        return INF if a == 0 else NAN
+    return r
+
+
+@pytest.mark.parametrize("symbol,expected", [("/", ieee_divide), ("%", ieee_modulo), ("+", operator.add), ("*", operator.mul)])
+def test_binary_operators_follow_ieee(spark, symbol, expected):
+    pairs = [(a, b) for a in LEFT for b in RIGHT]
+    found = evaluate(spark, f"[a] {symbol} [b]", pairs)
+    for (a, b), value in zip(pairs, found):
+        wanted = None if a is None or b is None else expected(a, b)
+        assert same(value, wanted), (a, symbol, b, value, wanted)
+
+
+def test_power_follows_ieee(spark):
+    pairs = [(a, b) for a in [*LEFT, 1.0, -1.0] for b in [*RIGHT, INF, -INF, 0.5, 2.0] if not (a == 0 and b is not None and b < 0)]
+    for (a, b), value in zip(pairs, evaluate(spark, "[a] ^ [b]", pairs)):
+        wanted = None if a is None or b is None else ieee_power(a, b)
+        assert same(value, wanted), (a, b, value, wanted)
+
+
+@pytest.mark.parametrize(
+    "text,a,expected",
+    [
+        ("-[a]^2", 3.0, -9.0),
+        ("2^3^2", 0.0, 512.0),
+        ("2 ** -1", 0.0, 0.5),
+        ("ABS([a])", -4.0, 4.0),
+        ("sqrt([a])", -1.0, NAN),
+        ("log([a])", 0.0, -INF),
+        ("ln([a])", math.e, 1.0),
+        ("log10([a])", 1000.0, 3.0),
+        ("log([a])", -1.0, NAN),
+        ("exp([a])", 1000.0, INF),
+        ("ceil([a])", -0.5, 0.0),
+        ("ceil([a])", 1e300, 1e300),
+        ("floor([a])", -0.5, -1.0),
+        ("floor([a])", INF, INF),
+        ("floor([a])", NAN, NAN),
+        ("round([a])", 2.5, 3.0),
+        ("round([a])", -2.5, -3.0),
+        ("sign([a])", -9.0, -1.0),
+        ("min([a], 2)", 5.0, 2.0),
+        ("max([a], 2)", None, 2.0),
+        ("log10(100) + 1", 0.0, 3.0),
+        ("# note\n[a] * 2\n# end", 4.0, 8.0),
+        ("[a]\n  + 1", 4.0, 5.0),
+        ("1e3 + .5", 0.0, 1000.5),
+    ],
+)
+def test_values(spark, text, a, expected):
+    assert same(evaluate(spark, text, [(a, 0.0)])[0], expected)
+
+
+@pytest.mark.parametrize(
+    "text,message",
+    [
+        ("", "Expression is empty"),
+        ("# only a comment", "Expression is empty"),
+        ("([a]", "Unbalanced parentheses"),
+        ("[a", "Unbalanced brackets"),
+        ("[nope] + 1", r"Unknown field: \[nope\]"),
+        ("__import__('os')", "Unknown function"),
+        ("[a].real", "Not allowed"),
+        ("[a] if 1 else 2", "Not allowed"),
+        ("[a] > 1", "Not allowed"),
+        ("'x'", "Not allowed"),
+        ("True", "Not allowed"),
+        ("lambda: 1", "Not allowed"),
+        ("min([a])", "takes 2"),
+        ("max([a], 1, 2)", "takes 2"),
+        ("abs(x=1)", "Not allowed"),
+        ("[a] +", "Cannot read"),
+        ("[t] + 1", "not numeric"),
+        ("a + 1", "Not allowed"),
+        ("ref0", "Not allowed"),
+    ],
+)
+def test_rejected(spark, text, message):
+    schema = spark.createDataFrame([], "a double, b double, t string").schema
+    with pytest.raises(ExpressionError, match=message):
+        compile_expression(text, schema)
+
+
+def test_comments_and_check():
+    assert strip_comments("# a\n 1 +\n2\n") == "1 + 2"
+    assert check_expression("[x y^2] + 1", ["x y^2"]) == "[x y^2] + 1"
+
+
+def test_odd_names_and_types(spark, case_sensitive):
+    frame = spark.createDataFrame(
+        [(1, True, 2.5, 4.0)], "`a^b.c d` int, flag boolean, `x``y` float, C double"
+    ).withColumn("c", F.lit(10.0))
+    out = derive_field(frame, "r", "[a^b.c d] + [flag] + [x`y] + [C] * [c]")
+    assert out.first()["r"] == 1 + 1 + 2.5 + 40.0
+    assert out.schema["r"].dataType.simpleString() == "double"
+
+
+names = st.sampled_from(["[a]", "[b]"])
+numbers = st.floats(0.25, 4, allow_nan=False).map(lambda v: repr(round(v, 3)))
+leaves = st.one_of(names, numbers)
+trees = st.recursive(
+    leaves,
+    lambda inner: st.one_of(
+        st.tuples(inner, st.sampled_from("+-*/"), inner).map(lambda t: f"({t[0]} {t[1]} {t[2]})"),
+        st.tuples(st.sampled_from(["abs", "exp", "sin", "cos", "floor", "ceil"]), inner).map(lambda t: f"{t[0]}({t[1]})"),
+        st.tuples(st.sampled_from(["min", "max"]), inner, inner).map(lambda t: f"{t[0]}({t[1]}, {t[2]})"),
+        inner.map(lambda t: f"-{t}"),
+    ),
+    max_leaves=6,
+)
+
+
+def evaluate_python(text, a, b):
+    def walk(node):
+        if isinstance(node, ast.Constant):
+            return float(node.value)
+        if isinstance(node, ast.Name):
+            return {"a": a, "b": b}[node.id]
+        if isinstance(node, ast.UnaryOp):
+            return -walk(node.operand)
+        if isinstance(node, ast.BinOp):
+            calc = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: ieee_divide}
+            return calc[type(node.op)](walk(node.left), walk(node.right))
+        calls = {"abs": abs, "exp": math.exp, "sin": math.sin, "cos": math.cos, "min": min, "max": max,
+                 "floor": lambda v: float(math.floor(v)), "ceil": lambda v: float(math.ceil(v))}
+        return calls[node.func.id](*map(walk, node.args))
+
+    return walk(ast.parse(text.replace("[", "").replace("]", ""), mode="eval").body)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(trees, min_size=6, max_size=12), st.floats(0.5, 3), st.floats(-3, -0.5))
+def test_compiler_against_python(spark, texts, a, b):
+    frame = spark.createDataFrame([(a, b)], "a double, b double")
+    row = frame.select(*(compile_expression(t, frame.schema).alias(f"r{i}") for i, t in enumerate(texts))).first()
+    for text, value in zip(texts, row):
+        try:
+            wanted = evaluate_python(text, a, b)
+        except (OverflowError, ValueError):
+            continue
+        if math.isfinite(wanted) and abs(wanted) < 1e12:
+            assert math.isclose(value, wanted, rel_tol=1e-9, abs_tol=1e-9) or "floor" in text or "ceil" in text, (text, value, wanted)
