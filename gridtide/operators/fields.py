@@ -34,11 +34,22 @@ def _new_name(name: str) -> str:
     return name
 
 
+def _check_case(cells: DataFrame, names: Sequence[str]) -> None:
+    """Names that differ only in case could never be told apart again in a case-insensitive session."""
+    if cells.sparkSession.conf.get("spark.sql.caseSensitive") == "true":
+        return
+    folded = [name.lower() for name in names]
+    repeated = sorted({name for name in names if folded.count(name.lower()) > 1})
+    if repeated:
+        raise ValueError(f"Names differ only in case, set spark.sql.caseSensitive=true: {repeated}")
+
+
 def put_columns(cells: DataFrame, new: Mapping[str, Column]) -> DataFrame:
     """Replace columns of these exact names in place and append the others."""
     kept = [new[name].alias(name) if name in new else field(name) for name in cells.columns]
-    added = [value.alias(name) for name, value in new.items() if name not in cells.columns]
-    return cells.select(*kept, *added)
+    extra = [name for name in new if name not in cells.columns]
+    _check_case(cells, [*cells.columns, *extra])
+    return cells.select(*kept, *(new[name].alias(name) for name in extra))
 
 
 def derive_field(cells: DataFrame, name: str, expression: str) -> DataFrame:
@@ -85,6 +96,7 @@ def rename_fields(cells: DataFrame, renames: Mapping[str, str]) -> DataFrame:
     repeated = sorted({name for name in names if names.count(name) > 1})
     if repeated:
         raise ValueError(f"Names already exist: {repeated}")
+    _check_case(cells, names)
     return cells.select(*(field(old).alias(new) for old, new in zip(cells.columns, names)))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
 
@@ -50,21 +51,30 @@ REPORT_TOTALS = (S.POPULATION, *(S.exposure_column(year) for year in S.YEARS))
 
 
 def report_state(
-    cells: DataFrame, flood: str | None = None, *, exclude_zero: bool = True
+    cells: DataFrame,
+    flood: str | None = None,
+    *,
+    exclude_zero: bool = True,
+    environment: Sequence[str] = S.ENVIRONMENT,
 ) -> DataFrame:
     """Everything the report needs, grouped once by age and all four codes."""
     return summarise(
-        scan_for_report(cells, flood if flood in cells.columns else None),
+        scan_for_report(cells, flood if flood in cells.columns else None, environment),
         tuple(S.DIMENSIONS.values()),
         flood=flood,
-        moments=S.ENVIRONMENT,
+        moments=environment,
         totals=REPORT_TOTALS,
         exclude_zero=exclude_zero,
         keep_invalid=True,
     )
 
 
-def report_tables(state: DataFrame, labels: Labels = None, flood: str | None = None) -> dict[str, DataFrame]:
+def report_tables(
+    state: DataFrame,
+    labels: Labels = None,
+    flood: str | None = None,
+    environment: Sequence[str] = S.ENVIRONMENT,
+) -> dict[str, DataFrame]:
     """All report tables from the state, by table name. Store the state before using several."""
     by_suffix = {"DevStatus": S.DEVELOPMENT, "Income": S.INCOME, "Continent": S.CONTINENT, "Country": S.COUNTRY}
     tables = {OVERVIEW: T.run_summary(state, flood)}
@@ -81,7 +91,7 @@ def report_tables(state: DataFrame, labels: Labels = None, flood: str | None = N
         elif sheet.name.startswith("B"):
             table = T.flood_table(state, dim, used)
         elif sheet.name.startswith("C"):
-            table = T.environment_table(state, dim, used)
+            table = T.environment_table(state, dim, used, environment)
         else:
             table = T.exposure_table(state, dim, used)
         tables[sheet.name] = table
@@ -109,17 +119,19 @@ def build_report(
     flood: str | None = "auto",
     *,
     exclude_zero: bool = True,
+    environment: Sequence[str] = S.ENVIRONMENT,
 ) -> dict[str, DataFrame]:
     """Aggregate the cells once, store that small state, and return every table over it.
 
     ``flood`` names the flag column; ``auto`` looks for one, and a name the input lacks means none.
+    ``environment`` lists the factors of the C tables, and ``exclude_zero`` leaves their zeros out.
     """
     if flood == "auto":
         flood = detect_flood_column(cells.columns)
     elif flood not in cells.columns:
         flood = None
-    state = written(report_state(cells, flood, exclude_zero=exclude_zero))
-    tables = report_tables(state, labels, flood)
+    state = written(report_state(cells, flood, exclude_zero=exclude_zero, environment=environment))
+    tables = report_tables(state, labels, flood, environment)
     tables[CATALOGUE] = report_catalogue(tables)
     return tables
 

@@ -13,11 +13,14 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 def work_folder(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which a cluster sets to shared storage.
 
-    Only where it is unset, as in tests, a temporary folder stands in.
+    Where it is unset, a temporary folder stands in, but only in local mode: executors on other
+    machines could not see it.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if base:
         return f"{base.rstrip('/')}/gridtide-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"Set {CHECKPOINT_DIR} to a shared folder")
     return tempfile.mkdtemp(prefix="run-")
 
 

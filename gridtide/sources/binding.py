@@ -79,11 +79,13 @@ def detect_flood_column(available: Iterable[str]) -> str | None:
     )
 
 
-def report_columns(available: Iterable[str], flood: str | None) -> list[str]:
+def report_columns(
+    available: Iterable[str], flood: str | None, environment: Sequence[str] = S.ENVIRONMENT
+) -> list[str]:
     """The columns the statistics need and the input has, in input order."""
     available = list(available)
     require_columns(available, [S.AGE])
-    wanted = {S.AGE, S.POPULATION, *S.CODE_COLUMNS, *S.ENVIRONMENT}
+    wanted = {S.AGE, S.POPULATION, *S.CODE_COLUMNS, *environment}
     wanted.update(S.exposure_column(year) for year in S.YEARS)
     if flood:
         wanted.add(flood)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridtide import schema as S
 from gridtide.functions.columns import field
 from gridtide.sources.binding import report_columns, require_columns
 
@@ -21,8 +22,10 @@ def scan_columns(cells: DataFrame, names: Sequence[str]) -> DataFrame:
     return cells.select(*(field(name) for name in names))
 
 
-def scan_for_report(cells: DataFrame, flood: str | None = None) -> DataFrame:
-    return scan_columns(cells, report_columns(cells.columns, flood))
+def scan_for_report(
+    cells: DataFrame, flood: str | None = None, environment: Sequence[str] = S.ENVIRONMENT
+) -> DataFrame:
+    return scan_columns(cells, report_columns(cells.columns, flood, environment))
 
 
 def preview(cells: DataFrame, rows: int = 100, order_by: Sequence[str] = ()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -10,6 +11,9 @@ from gridtide.functions.hazard import Mapping
 from gridtide.plans.report import report_state
 from gridtide.plans.risk import risk_output
 
+BATCH = "batch="
+KEPT_BATCHES = 3
+
 
 def read_arriving(
     spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None
@@ -40,12 +44,15 @@ def stream_report_state(
     """Keep the report state running over all files so far.
 
     The streaming state is the small (age, codes) aggregate, bounded by the number of code
-    combinations, so it needs no watermark. Each batch writes it whole under its batch number; a
-    replayed batch overwrites the same folder.
+    combinations, so it needs no watermark. Each batch writes it whole under its batch number, a
+    replayed batch overwrites the same folder, and only the last few batches are kept.
     """
 
     def store(state: DataFrame, batch: int) -> None:
-        state.write.mode("overwrite").parquet(f"{output}/batch={batch:012d}")
+        state.write.mode("overwrite").parquet(f"{output}/{BATCH}{batch:012d}")
+        fs, finished = _finished_batches(cells.sparkSession, output)
+        for old in finished[:-KEPT_BATCHES]:
+            fs.delete(old, True)
 
     return (
         report_state(cells, flood)
@@ -57,22 +64,21 @@ def stream_report_state(
     )
 
 
-def latest_report_state(spark: SparkSession, output: str) -> DataFrame:
-    """The state of the last batch, ready for the report tables.
+def _finished_batches(spark: SparkSession, output: str) -> tuple[JavaObject, list[JavaObject]]:
+    """The file system and the folders of completely written batches, oldest first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(output).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in (fs.listStatus(path(output)) if fs.exists(path(output)) else [])]
+    done = [p for p in found if p.getName().startswith(BATCH) and fs.exists(path(p, "_SUCCESS"))]
+    return fs, sorted(done, key=lambda p: p.getName())
 
-    The folder names carry the batch number, so finding the last is a listing, not a scan.
-    """
-    path = spark._jvm.org.apache.hadoop.fs.Path(output)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    batches = [
-        status.getPath()
-        for status in (fs.listStatus(path) if fs.exists(path) else [])
-        if status.getPath().getName().startswith("batch=")
-        and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
-    ]
-    if not batches:
+
+def latest_report_state(spark: SparkSession, output: str) -> DataFrame:
+    """The state of the last batch, ready for the report tables."""
+    _, finished = _finished_batches(spark, output)
+    if not finished:
         raise FileNotFoundError(f"No finished batch below {output}")
-    return spark.read.parquet(max(p.toString() for p in batches))
+    return spark.read.parquet(finished[-1].toString())
 
 
 def finish(query: StreamingQuery, timeout: int) -> None:

@@ -86,3 +86,9 @@ def test_names_that_differ_in_case(spark, case_sensitive):
     assert tuple(P.derive_field(cells, "C", "[c] + 10").first()) == (1, 11.0)
     assert P.drop_fields(cells, ["C"]).columns == ["c"]
     assert P.rename_fields(cells, {"c": "C", "C": "c"}).columns == ["C", "c"]
+
+
+def test_case_clash_is_refused_where_spark_ignores_case(spark, cells):
+    for make in (lambda: P.derive_field(cells, "a", "1"), lambda: P.rename_fields(cells, {"b": "a"})):
+        with pytest.raises(ValueError, match="caseSensitive"):
+            make()

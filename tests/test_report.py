@@ -51,6 +51,12 @@ def test_unknown_flood_column_disables_flood_tables(cells):
     assert tables[R.OVERVIEW].first()["flood_column"] == "N/A"
 
 
+def test_chosen_environment_factors(cells):
+    tables = R.build_report(cells, COUNTRIES, environment=["DEM", "POP_2025"], exclude_zero=False)
+    assert "POP_2025_Mean" in tables["C2_Env_Income"].columns and "Slope_Mean" not in tables["C2_Env_Income"].columns
+    assert tables["C2_Env_Income"].first()["POP_2025_n"] > 0
+
+
 def test_write_report(spark, tables, folder):
     names = R.write_report(tables, f"{folder}/out", [f"{folder}/in"], csv=True)
     assert len(names) == len(R.SHEETS) + 3

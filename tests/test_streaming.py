@@ -31,6 +31,17 @@ def test_report_state_follows_arriving_files(spark, folder):
             same_rows(T.environment_table(found, dim, labels), T.environment_table(wanted, dim, labels))
 
 
+def test_old_batches_are_dropped(spark, folder):
+    data = make_cells(50)
+    schema = spark.createDataFrame(data).schema
+    spark.createDataFrame(data, schema).repartition(6).write.parquet(f"{folder}/in")
+    cells = I.read_arriving(spark, f"{folder}/in", schema, files_per_batch=1)
+    I.finish(I.stream_report_state(cells, f"{folder}/state", f"{folder}/checkpoint", FLOOD), 300)
+    _, kept = I._finished_batches(spark, f"{folder}/state")
+    assert len(kept) == I.KEPT_BATCHES
+    assert T.run_summary(I.latest_report_state(spark, f"{folder}/state")).first()["total_rows"] == 50
+
+
 def test_risk_of_arriving_files_is_written_once(spark, folder):
     source, output, checkpoint = f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint"
     for batch in range(2):

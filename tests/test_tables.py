@@ -263,3 +263,12 @@ def test_labels(spark):
     assert found[repr(1.0)] == "Developed" and sum(v is not None for v in found.values()) == 1
     quoted = with_label(frame, S.COUNTRY, {109: "Cote d'Ivoire \\ \"x\""}).filter("Country = 109").first()
     assert quoted["Label"] == "Cote d'Ivoire \\ \"x\""
+
+
+def test_odd_ages_are_invalid_not_errors(spark):
+    ages = [5.0, 5.5, float("nan"), 1e20, float("-inf"), None, 50.0]
+    frame = spark.createDataFrame([(a, 1.0) for a in ages], f"{S.AGE} double, Developed double")
+    for keep in (True, False):
+        found = T.area_table(summarise(frame, [S.DEVELOPMENT], keep_invalid=keep)).filter("Category = 'All'").collect()
+        assert [(r[S.AGE], r["Grid_Count"]) for r in found] == [(5, 1), (50, 1)]
+    assert T.run_summary(summarise(frame, keep_invalid=True)).first()["total_rows"] == len(ages)
