@@ -401,6 +401,8 @@ def all_oracles() -> dict[str, str]:
         f" '{output_types}' AS output_types FROM risky",
         "filter_valid_age": f"{GRID} SELECT {few} FROM valid",
         "filter_by_codes": _filter_by_codes(),
+        "filter_older_developing": f"{GRID} SELECT Built_Up_Age, Developed, Income_Classification, Slope, POP_2025"
+        " FROM grid WHERE Developed = 2 AND Income_Classification IN (2, 3) AND Built_Up_Age >= 35",
         "ead": f"{RISK_GRID} SELECT Built_Up_Age, Hazard_Index_RP010, CAST(ead AS DOUBLE) AS Hazard_Index_EAD FROM risky",
         "risk_index": f"{GRID} SELECT Built_Up_Age, Exposure_Index,"
         f" CAST({_risk('CAST(Hazard_Index_RP100 AS FLOAT)')} AS DOUBLE) AS Risk_Index FROM grid",

@@ -15,7 +15,7 @@ from gridtide.functions.columns import INF, field, is_floating, number
 from gridtide.functions.display import format_report_values
 from gridtide.operators import fields as P
 from gridtide.operators import tables as T
-from gridtide.operators.filters import filter_codes, valid_age
+from gridtide.operators.filters import filter_codes, matches, valid_age
 from gridtide.operators.labels import with_label
 from gridtide.operators.moments import merge_moment_sums, moment_sums
 from gridtide.operators.summary import summarise
@@ -223,7 +223,7 @@ def filter_valid_age(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def filter_by_codes(spark: SparkSession, folder: str) -> DataFrame:
-    grid = demo_grid(spark, folder)
+    """Several filters in one pass: each cell is counted under every filter it meets."""
     filters = {
         "developed": {"Developed": 1},
         "middle_income": {"Income_Classification": [2, 3]},
@@ -232,16 +232,18 @@ def filter_by_codes(spark: SparkSession, folder: str) -> DataFrame:
         "older_than_30": {S.AGE: (">=", 35)},
         "older_developing_middle_income": {"Developed": 2, "Income_Classification": [2, 3], S.AGE: (">=", 35)},
     }
-    parts = [
-        filter_codes(grid, criteria)
-        .groupBy(F.lit(name).alias("name"))
-        .agg(F.count(F.lit(1)).alias("cells"), F.sum(S.POPULATION).alias("population"))
-        for name, criteria in filters.items()
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    met = F.array_compact(F.array(*(F.when(matches(test), name) for name, test in filters.items())))
+    cells = demo_grid(spark, folder).select(S.POPULATION, F.explode(met).alias("name"))
+    return cells.groupBy("name").agg(
+        F.count(F.lit(1)).alias("cells"), F.sum(S.POPULATION).alias("population")
+    )
+
+
+def filter_older_developing(spark: SparkSession, folder: str) -> DataFrame:
+    criteria = {"Developed": 2, "Income_Classification": [2, 3], S.AGE: (">=", 35)}
+    return filter_codes(demo_grid(spark, folder), criteria).select(
+        S.AGE, "Developed", "Income_Classification", "Slope", S.POPULATION
+    )
 
 
 def _label(dim: S.Dimension) -> Query:
@@ -412,6 +414,7 @@ def all_queries() -> dict[str, Query]:
         "ead_output_schema": ead_output_schema,
         "filter_valid_age": filter_valid_age,
         "filter_by_codes": filter_by_codes,
+        "filter_older_developing": filter_older_developing,
         "ead": ead,
         "risk_index": risk_index,
         "ead_and_risk": ead_and_risk,

@@ -84,6 +84,17 @@ def ceil(value: Column) -> Column:
     return _integral(value, F.ceil(value))
 
 
+def round_half_away(value: Column) -> Column:
+    """Nearest whole number, halves away from zero.
+
+    Spark's ``round`` goes through a decimal object per value; this stays with doubles and is as
+    exact, since a double minus its floor has no rounding error.
+    """
+    size = F.abs(value)
+    whole = floor(size)
+    return F.signum(value) * (whole + F.when(size - whole >= 0.5, F.lit(1.0)).otherwise(F.lit(0.0)))
+
+
 def floored_modulo(num: Column, den: Column) -> Column:
     """Remainder with the sign of the divisor; NaN for a zero divisor."""
     return num - den * floor(divide(num, den))

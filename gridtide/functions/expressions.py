@@ -30,7 +30,7 @@ FUNCTIONS = {
     "tan": (1, F.tan),
     "ceil": (1, C.ceil),
     "floor": (1, C.floor),
-    "round": (1, lambda x: F.round(x, 0)),
+    "round": (1, C.round_half_away),
     "sign": (1, F.signum),
     "min": (2, F.least),
     "max": (2, F.greatest),

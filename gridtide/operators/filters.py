@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import operator
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 
@@ -29,15 +30,21 @@ def valid_age(cells: DataFrame) -> DataFrame:
     return cells.filter(has_valid_age())
 
 
-def filter_codes(cells: DataFrame, criteria: Mapping[str, object]) -> DataFrame:
-    """Keep rows that meet every criterion: a value, a list of values, or a pair such as (">=", 35)."""
-    require_columns(cells.columns, criteria)
+def matches(criteria: Mapping[str, object]) -> Column:
+    """Predicate that all criteria hold: a value, a list of values, or a pair such as (">=", 35)."""
+    tests = []
     for name, wanted in criteria.items():
         if isinstance(wanted, tuple):
             comparison, value = wanted
-            cells = cells.filter(_COMPARISONS[comparison](field(name), value))
+            tests.append(_COMPARISONS[comparison](field(name), value))
         elif isinstance(wanted, (list, set, frozenset)):
-            cells = cells.filter(field(name).isin(*wanted))
+            tests.append(field(name).isin(*wanted))
         else:
-            cells = cells.filter(field(name) == wanted)
-    return cells
+            tests.append(field(name) == wanted)
+    return reduce(operator.and_, tests)
+
+
+def filter_codes(cells: DataFrame, criteria: Mapping[str, object]) -> DataFrame:
+    """Keep the rows that meet every criterion."""
+    require_columns(cells.columns, criteria)
+    return cells.filter(matches(criteria)) if criteria else cells

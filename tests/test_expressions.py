@@ -87,6 +87,13 @@ def test_power_follows_ieee(spark):
         ("floor([a])", NAN, NAN),
         ("round([a])", 2.5, 3.0),
         ("round([a])", -2.5, -3.0),
+        ("round([a])", 0.49999999999999994, 0.0),
+        ("round([a])", 4503599627370497.5, 4503599627370498.0),
+        ("round([a])", 9007199254740993.0, 9007199254740992.0),
+        ("round([a])", -1e300, -1e300),
+        ("round([a])", INF, INF),
+        ("round([a])", NAN, NAN),
+        ("round([a])", None, None),
         ("sign([a])", -9.0, -1.0),
         ("min([a], 2)", 5.0, 2.0),
         ("max([a], 2)", None, 2.0),

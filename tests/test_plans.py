@@ -7,6 +7,7 @@ import pytest
 from gridtide import schema as S
 from gridtide.operators import tables as T
 from gridtide.operators.fields import derive_field
+from gridtide.operators.filters import filter_codes
 from gridtide.operators.labels import with_label
 from gridtide.operators.summary import summarise
 from gridtide.plans.report import report_state
@@ -69,3 +70,12 @@ def test_report_reads_the_cells_once(cells):
     text = plan(report_state(cells, "Flooded_100"))
     assert text.count("FileScan") == 1 and exchanges(text) == 1
     assert set(scan_for_report(cells, None).columns) == set(cells.columns) - {"Flooded_100"}
+
+
+def test_code_filters_reach_the_scan(spark, cells):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    text = plan(filter_codes(cells, {"Developed": 2, "Sovereig": [10, 11], S.AGE: (">=", 35)}))
+    pushed = text.split("PushedFilters:")[1]
+    for part in ("EqualTo(Developed,2.0)", "In(Sovereig, [10.0,11.0])", "GreaterThanOrEqual(Built_Up_Age,35)"):
+        assert part in pushed
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
