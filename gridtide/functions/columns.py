@@ -26,13 +26,13 @@ def number(name: str) -> Column:
     return field(name).cast("double")
 
 
-def clean(value: Column) -> Column:
-    """NaN counts as missing, like null."""
-    return F.when(~F.isnan(value), value)
+def present(name: str) -> str:
+    """SQL text for a column as double, where NaN counts as missing, like null.
 
-
-def zero_if_missing(value: Column) -> Column:
-    return F.coalesce(clean(value), F.lit(0.0))
+    Text, because plans over many columns build several times faster from it than from ``Column``
+    calls.
+    """
+    return f"nanvl(cast({quoted(name)} AS double), NULL)"
 
 
 def finite(value: Column) -> Column:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridtide.functions.columns import clean, field, is_floating
+from gridtide.functions.columns import field, is_floating
 
 
 def display_value(value: Column) -> Column:
     """``N/A`` for missing; no decimals from a million on; scientific below 0.0001; else 6 places."""
-    value = clean(value.cast("double"))
+    value = F.nanvl(value.cast("double"), F.lit(None))
     size = F.abs(value)
     return (
         F.when(value.isNull(), F.lit("N/A"))

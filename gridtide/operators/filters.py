@@ -22,12 +22,11 @@ _COMPARISONS = {
 }
 
 
-def has_valid_age() -> Column:
-    return field(S.AGE).isin(*S.AGES)
+HAS_VALID_AGE = f"{S.AGE} IN ({', '.join(map(str, S.AGES))})"
 
 
 def valid_age(cells: DataFrame) -> DataFrame:
-    return cells.filter(has_valid_age())
+    return cells.filter(HAS_VALID_AGE)
 
 
 def matches(criteria: Mapping[str, object]) -> Column:

@@ -6,9 +6,9 @@ import json
 from collections.abc import Mapping
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridtide.functions.columns import clean, number
+from gridtide.functions.columns import present, quoted
 from gridtide.schema import COUNTRY_FALLBACK_PREFIX, Dimension
 
 # A dictionary given in Python is broadcast up to this many entries.
@@ -41,10 +41,10 @@ def dictionary(spark: SparkSession, labels: Labels) -> Dictionary:
     return Dictionary(rows, len(labels or {}) <= BROADCAST_LABELS)
 
 
-def code_key(dim: Dimension) -> Column:
+def _lookup_code(dim: Dimension) -> str:
     """What a code is looked up by: the exact code, or its whole part for the open dimension."""
-    code = clean(number(dim.column))
-    return code if dim.labels is not None else code.try_cast("bigint")
+    code = present(dim.column)
+    return code if dim.labels is not None else f"try_cast({code} AS bigint)"
 
 
 def with_label(rows: DataFrame, dim: Dimension, labels: Labels = None, name: str = "Label") -> DataFrame:
@@ -57,7 +57,7 @@ def with_label(rows: DataFrame, dim: Dimension, labels: Labels = None, name: str
     known = dictionary(rows.sparkSession, dim.labels if closed else labels)
     code_type = "double" if closed else "bigint"
     right = known.rows.selectExpr(f"cast(code AS {code_type}) AS __code", "label AS __label")
-    keyed = rows.withColumn("__code", code_key(dim))
+    keyed = rows.selectExpr("*", f"{_lookup_code(dim)} AS __code")
     joined = keyed.join(F.broadcast(right) if known.small else right, "__code", "left")
     label = "__label" if closed else f"coalesce(__label, '{COUNTRY_FALLBACK_PREFIX}' || cast(__code AS string))"
-    return joined.withColumn(name, F.expr(label)).drop("__code", "__label")
+    return joined.selectExpr(*map(quoted, rows.columns), f"{label} AS {quoted(name)}")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from gridtide.functions.columns import field
+from gridtide.functions.columns import field, quoted
 from gridtide.operators.summary import moment_value
 
 
@@ -14,17 +14,20 @@ def moment_sums(
     cells: DataFrame, keys: Sequence[str], columns: Sequence[str], exclude_zero: bool = True
 ) -> DataFrame:
     """Per group and column: sum, sum of squares, count, minimum and maximum of the present values."""
+    values = {name: moment_value(name, exclude_zero) for name in columns}
+    prepared = cells.selectExpr(*map(quoted, keys), *(f"{text} AS {quoted(name)}" for name, text in values.items()))
     aggregates = []
     for name in columns:
-        value = moment_value(name, exclude_zero)
-        aggregates += [
-            F.coalesce(F.sum(value), F.lit(0.0)).alias(f"{name}_sum"),
-            F.coalesce(F.sum(value * value), F.lit(0.0)).alias(f"{name}_sq_sum"),
-            F.count(value).alias(f"{name}_count"),
-            F.min(value).alias(f"{name}_min"),
-            F.max(value).alias(f"{name}_max"),
-        ]
-    return cells.groupBy(*(field(k) for k in keys)).agg(*aggregates)
+        value = quoted(name)
+        texts = {
+            "sum": f"coalesce(sum({value}), 0.0D)",
+            "sq_sum": f"coalesce(sum({value} * {value}), 0.0D)",
+            "count": f"count({value})",
+            "min": f"min({value})",
+            "max": f"max({value})",
+        }
+        aggregates += [F.expr(f"{text} AS {quoted(f'{name}_{kind}')}") for kind, text in texts.items()]
+    return prepared.groupBy(*map(quoted, keys)).agg(*aggregates)
 
 
 def merge_moment_sums(parts: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

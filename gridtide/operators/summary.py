@@ -14,11 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gridtide import schema as S
-from gridtide.functions.columns import clean, equals_one, field, number, quoted, zero_if_missing
-from gridtide.operators.filters import has_valid_age
+from gridtide.functions.columns import equals_one, present, quoted
+from gridtide.operators.filters import HAS_VALID_AGE, valid_age
 from gridtide.operators.labels import Labels, with_label
 from gridtide.sources.binding import require_columns
 
@@ -28,21 +28,20 @@ CELLS = "cells"
 FLOODED = "flooded"
 
 
-def moment_value(name: str, exclude_zero: bool) -> Column:
-    value = clean(number(name))
-    return F.when(value != 0.0, value) if exclude_zero else value
+def moment_value(name: str, exclude_zero: bool) -> str:
+    return f"nullif({present(name)}, 0.0D)" if exclude_zero else present(name)
 
 
-def _moment_aggregates(name: str, extremes: bool) -> list[Column]:
-    value = field(name)
-    aggregates = [
-        F.count(value).alias(f"{name}__n"),
-        F.avg(value).alias(f"{name}__mean"),
-        (F.var_pop(value) * F.count(value)).alias(f"{name}__m2"),
-    ]
+def _moment_aggregates(name: str, extremes: bool) -> list[str]:
+    value = quoted(name)
+    aggregates = {
+        "n": f"count({value})",
+        "mean": f"avg({value})",
+        "m2": f"var_pop({value}) * count({value})",
+    }
     if extremes:
-        aggregates += [F.min(value).alias(f"{name}__min"), F.max(value).alias(f"{name}__max")]
-    return aggregates
+        aggregates |= {"min": f"min({value})", "max": f"max({value})"}
+    return [f"{text} AS {part(name, kind)}" for kind, text in aggregates.items()]
 
 
 def summarise(
@@ -62,30 +61,27 @@ def summarise(
     """
     require_columns(cells.columns, [S.AGE])
     have = set(cells.columns)
-    keys = {S.AGE: field(S.AGE).cast("int")}
-    keys.update((dim.column, clean(number(dim.column))) for dim in dims if dim.column in have)
+    keys = {S.AGE: f"cast({S.AGE} AS int)"}
+    keys |= {dim.column: present(dim.column) for dim in dims if dim.column in have}
     if keep_invalid:
-        keys = {name: F.when(has_valid_age(), key) for name, key in keys.items()}
+        keys = {name: f"CASE WHEN {HAS_VALID_AGE} THEN {key} END" for name, key in keys.items()}
     else:
-        cells = cells.filter(has_valid_age())
-    flagged = flood is not None and flood in have
+        cells = valid_age(cells)
     moments = [name for name in moments if name in have]
     totals = [name for name in totals if name in have]
     # Values are cleaned in a projection of their own, so each is computed once per cell and not
     # once per aggregate that uses it.
-    values = {name: moment_value(name, exclude_zero) for name in moments}
-    sums = {f"{name}__sum": zero_if_missing(number(name)) for name in totals}
-    flags = {FLOODED: equals_one(flood, cells.schema[flood].dataType)} if flagged else {}
-    prepared = cells.select(
-        *(value.alias(name) for name, value in {**keys, **values, **sums, **flags}.items())
-    )
-    aggregates = [F.count(F.lit(1)).alias(CELLS)]
-    if flagged:
-        aggregates.append(F.count_if(F.col(FLOODED)).alias(FLOODED))
+    values = keys | {name: moment_value(name, exclude_zero) for name in moments}
+    values |= {f"{name}__sum": f"coalesce({present(name)}, 0.0D)" for name in totals}
+    prepared = [F.expr(f"{text} AS {quoted(name)}") for name, text in values.items()]
+    aggregates = [f"count(1) AS {CELLS}"]
+    if flood is not None and flood in have:
+        prepared.append(equals_one(flood, cells.schema[flood].dataType).alias(FLOODED))
+        aggregates.append(f"count_if({FLOODED}) AS {FLOODED}")
     for name in moments:
         aggregates += _moment_aggregates(name, extremes)
-    aggregates += [F.sum(field(name)).alias(name) for name in sums]
-    return prepared.groupBy(*(field(name) for name in keys)).agg(*aggregates)
+    aggregates += [f"sum({part(name, 'sum')}) AS {part(name, 'sum')}" for name in totals]
+    return cells.select(*prepared).groupBy(*map(quoted, keys)).agg(*map(F.expr, aggregates))
 
 
 def part(name: str, kind: str) -> str:
