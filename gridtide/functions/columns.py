@@ -49,9 +49,10 @@ def equals_one(name: str, dtype: DataType) -> Column:
     """True where the value reads as the number 1; text that is no number is false, as is null."""
     if isinstance(dtype, StringType):
         text = field(name)
-        # The pattern keeps junk from the cast, which would raise and catch an error per row inside
-        # the JVM, and rejects Java literals such as "1d", which the cast would take.
-        is_one = (text == "1") | (text.rlike(_NUMBER) & (text.try_cast("double") == 1.0))
+        # The usual flags need no parsing. The pattern keeps junk from the cast, which would raise and
+        # catch an error per row inside the JVM, and rejects Java literals such as "1d".
+        parsed = text.rlike(_NUMBER) & (text.try_cast("double") == 1.0)
+        is_one = F.when(text == "1", True).when(text.isin("0", ""), False).otherwise(parsed)
     elif isinstance(dtype, (NumericType, BooleanType)):
         is_one = number(name) == 1.0
     else:
