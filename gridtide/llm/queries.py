@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridtide.llm import byte_bpe, decontaminate, simhash
+from gridtide.llm import byte_bpe, decontaminate, pii, simhash, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -25,6 +25,24 @@ def simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def substring(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.detect(table(spark, folder, "documents"))
+    count = lambda n: F.size(F.filter("base", lambda s: s["kind"] == F.lit(n))).cast("bigint")
+    term = lambda t: F.struct(t["start"].alias("start"), F.lit(len(pii.KINDS)).alias("kind"), t["end"].alias("end"))
+    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    return found.select(
+        "doc_id",
+        *(count(n).alias(f"n_{kind}") for n, kind in enumerate(pii.KINDS)),
+        sha256_text(pii.span_text(base)).alias("base_sha256"),
+        pii.span_text(F.array_sort(F.concat(base, F.transform("terms", term)))).alias("spans"),
+    )
+
+
 def byte_bpe_codes(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe_digest(table(spark, folder, "documents"))
 
@@ -54,6 +72,8 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash_dedup": simhash_dedup,
+    "op2_substring_dedup": substring,
+    "op3_pii": personal_data,
     "op7_byte_bpe": byte_bpe_codes,
     "op9_decontaminate": decontamination,
 }
