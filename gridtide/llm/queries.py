@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridtide.llm import byte_bpe, decontaminate, pii, simhash, substring_dedup
+from gridtide.llm import byte_bpe, decontaminate, pii, quality, simhash, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -43,6 +43,14 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def toxic_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def byte_bpe_codes(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe_digest(table(spark, folder, "documents"))
 
@@ -74,7 +82,9 @@ QUERIES: dict[str, Query] = {
     "op1_simhash_dedup": simhash_dedup,
     "op2_substring_dedup": substring,
     "op3_pii": personal_data,
+    "op5_toxicity": toxic_scores,
     "op7_byte_bpe": byte_bpe_codes,
     "op9_decontaminate": decontamination,
+    "op10_quality": quality_scores,
 }
 ORACLES: dict[str, str] = {}
