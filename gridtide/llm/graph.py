@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from gridtide.plans.work import written
@@ -47,3 +48,17 @@ def _small_star(links: DataFrame) -> DataFrame:
     least = links.groupBy("a").agg(F.min("b").alias("m"))
     moved = links.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+
+
+def star(count: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """For nodes 0 to count - 1 of a small graph with links (one, two): each node's smallest reachable."""
+    label = np.arange(count)
+    while True:
+        low = np.minimum(label[one], label[two])
+        new = label.copy()
+        np.minimum.at(new, one, low)
+        np.minimum.at(new, two, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridtide.llm import byte_bpe, decontaminate, pii, quality, simhash, substring_dedup, toxicity
+from gridtide.llm import byte_bpe, decontaminate, embedding_dedup, pii, quality, simhash, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -51,6 +51,10 @@ def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def embedding_links(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.link(table(spark, folder, "embeddings"))
+
+
 def byte_bpe_codes(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe_digest(table(spark, folder, "documents"))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "op3_pii": personal_data,
     "op5_toxicity": toxic_scores,
     "op7_byte_bpe": byte_bpe_codes,
+    "op8_embedding_dedup": embedding_links,
     "op9_decontaminate": decontamination,
     "op10_quality": quality_scores,
 }

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridtide.llm import leaves
 from gridtide.llm.batches import map_texts, pick
-from gridtide.llm.graph import components
+from gridtide.llm.graph import components, star
 from gridtide.llm.words import split_lower
 from gridtide.plans.work import written
 
@@ -123,16 +123,7 @@ def _stars(left: np.ndarray, right: np.ndarray | None, max_diff: int) -> list[tu
         two = two + len(left)
     if not len(one):
         return []
-    label = np.arange(len(values))
-    while True:
-        low = np.minimum(label[one], label[two])
-        new = label.copy()
-        np.minimum.at(new, one, low)
-        np.minimum.at(new, two, low)
-        new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
+    label = star(len(values), one, two)
     member = np.flatnonzero(label != np.arange(len(values)))
     signed = values.view(np.int64)
     return [(signed[member], signed[label[member]])]
