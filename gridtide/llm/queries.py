@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridtide.llm import byte_bpe, decontaminate, embedding_dedup, pii, quality, simhash, substring_dedup, toxicity
+from gridtide.llm import byte_bpe, decontaminate, embedding_dedup, pii, quality, simhash, substring_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORD_PIECES = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,6 +56,10 @@ def embedding_links(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.link(table(spark, folder, "embeddings"))
 
 
+def word_piece_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, folder, "documents"), WORD_PIECES)
+
+
 def byte_bpe_codes(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe_digest(table(spark, folder, "documents"))
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op2_substring_dedup": substring,
     "op3_pii": personal_data,
     "op5_toxicity": toxic_scores,
+    "op6_token_counts": word_piece_counts,
     "op7_byte_bpe": byte_bpe_codes,
     "op8_embedding_dedup": embedding_links,
     "op9_decontaminate": decontamination,
