@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridtide.llm import byte_bpe, decontaminate, embedding_dedup, pii, quality, simhash, substring_dedup, token_counts, toxicity
+from gridtide.llm import byte_bpe, decontaminate, embedding_dedup, html_extract, pii, quality, simhash, substring_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -60,6 +60,12 @@ def word_piece_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), WORD_PIECES)
 
 
+def page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    texts = html_extract.extract(pages, html_extract.fit(pages))
+    return texts.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def byte_bpe_codes(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe_digest(table(spark, folder, "documents"))
 
@@ -91,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op1_simhash_dedup": simhash_dedup,
     "op2_substring_dedup": substring,
     "op3_pii": personal_data,
+    "op4_html_extract": page_texts,
     "op5_toxicity": toxic_scores,
     "op6_token_counts": word_piece_counts,
     "op7_byte_bpe": byte_bpe_codes,
