@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import _parse_datatype_string
 
 from gridtide.functions.columns import field
 
@@ -57,6 +57,30 @@ def map_texts(
     return rows.mapInArrow(run, schema)
 
 
+def rewrite_texts(
+    docs: DataFrame, start: Callable[[], Callable[[list], tuple[Sequence, Sequence]]], text_col: str
+) -> DataFrame:
+    """All columns of the documents, with texts replaced and rows left out.
+
+    ``start`` runs once per task and returns a function of a list of texts (bytes or None) that gives
+    the new texts and, for each, whether its row stays.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary())
+            for low, high in slices(texts):
+                new, keep = work(texts.slice(low, high - low).to_pylist())
+                part = batch.slice(low, high - low).set_column(
+                    at, batch.schema.field(at), pa.array(new, type=pa.binary()).cast(pa.string())
+                )
+                yield part.filter(pa.array(keep, type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of at most about SLICE_BYTES of text each; one long text is a range of its own."""
     low = size = 0
@@ -67,7 +91,3 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         size += length
     if len(texts) > low:
         yield low, len(texts)
-
-
-def struct(schema: str) -> StructType:
-    return _parse_datatype_string(schema)

@@ -20,11 +20,13 @@ from itertools import repeat
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from gridtide.llm.batches import map_texts, pick
+from gridtide.llm.batches import map_texts, pick, rewrite_texts
 from gridtide.llm.words import split_alnum
 from gridtide.plans.work import written
 
 WINDOW = 10
+# A document with a larger share of hit words is dropped; below it only the spans go.
+MOST_COVERED = 0.5
 BLOCK_WORDS = 50_000
 WORD_BYTES = 5
 # Word bytes of a text as it stands: ASCII letters, digits, and every byte above 127.
@@ -157,18 +159,62 @@ def find_hits(
 ) -> DataFrame:
     """One row per document: word count, hit words, their ranges and the items (as text, sorted)."""
     rows = pick(docs, doc_id=id_col, text=text_col)
-    items = pick(items, item_id=item_col, text=item_text_col)
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // (block_words * WORD_BYTES))
-    if blocks <= 1:
-        return _scan(rows, _automaton(items, window))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    blocks = _blocks(pick(items, item_id=item_col, text=item_text_col), block_words)
+    if len(blocks) == 1:
+        return _scan(rows, _automaton(blocks[0], window))
     found = rows.select("doc_id", F.lit(None).cast(SPANS).alias("spans"), F.lit(None).cast(NAMES).alias("items"), "text")
-    for at in range(blocks):
-        found = written(_scan_more(found, _automaton(items.filter(part == at), window)))
+    for block in blocks:
+        found = written(_scan_more(found, _automaton(block, window)))
     return found.drop("text")
 
 
+def _blocks(items: DataFrame, block_words: int) -> list[DataFrame]:
+    """The items in parts of bounded size, by hash."""
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = max(1, -(-size // (block_words * WORD_BYTES)))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
+    return [items.filter(part == at) if count > 1 else items for at in range(count)]
+
+
+def clean(
+    docs: DataFrame,
+    items: DataFrame,
+    window: int = WINDOW,
+    most_covered: float = MOST_COVERED,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """The documents without the spans that benchmark items cover; all columns stay.
+
+    A document of whose words more than ``most_covered`` are hit goes altogether. A span runs from its
+    first word to the end of its last one; what stands around it stays. With several blocks of items
+    the passes run one after the other, each on what the ones before have left.
+    """
+    blocks = _blocks(pick(items, item_id=item_col, text=item_text_col), block_words)
+    for block in blocks:
+        shared = _automaton(block, window)
+
+        def start(shared=shared):
+            automaton = shared.value
+
+            def work(texts):
+                new, keep = [], []
+                for text in texts:
+                    words = split_alnum(text)
+                    spans, _ = automaton.scan(words)
+                    new.append(cut_words(text, spans) if spans else text)
+                    keep.append(sum(high - low for low, high in spans) <= most_covered * len(words))
+                return new, keep
+
+            return work
+
+        docs = rewrite_texts(docs, start, text_col)
+        docs = written(docs) if len(blocks) > 1 else docs
+    return docs
+
+
 def _automaton(items: DataFrame, window: int):
     """Broadcast automaton of one block of items, whose size the caller has checked."""
     texts = [(name or "", split_alnum((text or "").encode())) for name, text in items.select(F.col("item_id").cast("string"), "text").collect()]
@@ -221,10 +267,8 @@ def _scan_more(rows: DataFrame, shared) -> DataFrame:
     return map_texts(rows.select("doc_id", "spans", "items", "text"), start, f"{HITS}, text string")
 
 
-def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+def cut_words(text: bytes, spans: list[list[int]]) -> bytes:
     """The text without these word ranges, from each first word's start to the last word's end."""
-    if not spans:
-        return text
     places = [(m.start(), m.end()) for m in _WORD.finditer(text)]
     out, at = [], 0
     for low, high in spans:

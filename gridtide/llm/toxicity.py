@@ -29,7 +29,7 @@ from dataclasses import dataclass, field as attribute
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from gridtide.llm.batches import map_texts, pick
+from gridtide.llm.batches import map_texts, pick, rewrite_texts
 from gridtide.llm.labelled import SAMPLE_ROWS, held_out, sample
 
 MODULUS, REST, CUT = 4, 2, 0.3
@@ -284,3 +284,16 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
         "score",
         (F.col("score") >= cut).cast("int").alias("predicted"),
     )
+
+
+def reject(docs: DataFrame, labels: DataFrame, cut: float = CUT, text_col: str = "text") -> DataFrame:
+    """The documents whose score is below the cut, with all their columns; fitted on these documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def start():
+        def work(texts):
+            return texts, shared.value.scores(texts) < cut
+
+        return work
+
+    return rewrite_texts(docs, start, text_col)
