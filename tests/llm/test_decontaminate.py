@@ -1,0 +1,83 @@
+import hashlib
+
+import pytest
+
+from gridtide.llm import decontaminate
+from gridtide.llm.queries import decontamination
+from gridtide.llm.words import split_alnum
+from tests.llm.conftest import in_order
+
+ITEMS = [
+    ("a", "One, two three four five six seven eight nine ten eleven!"),
+    ("b", "five six seven eight nine ten eleven twelve thirteen fourteen"),
+    ("c", "short TEXT"),
+    ("d", None),
+    ("e", " - "),
+    ("a", "another text with the same id as an item has here, twelve words"),
+    (None, "漢字 \U0001f600"),
+    ("f", "same same same same same same same same same same same same"),
+    ("g", "text"),
+]
+
+
+def plain(rows, items, window=10):
+    windows = {}
+    for name, text in items:
+        words = split_alnum((text or "").encode())
+        size = min(window, len(words))
+        for at in range(len(words) - size + 1 if words else 0):
+            windows.setdefault(tuple(words[at : at + size]), set()).add(str(name) if name is not None else "")
+    out = []
+    for doc_id, text in rows:
+        words, hit, names = split_alnum((text or "").encode()), set(), set()
+        for size in {len(w) for w in windows}:
+            for at in range(len(words) - size + 1):
+                found = windows.get(tuple(words[at : at + size]))
+                if found:
+                    names |= found
+                    hit.update(range(at, at + size))
+        out.append((doc_id, len(words), len(hit), tuple(sorted(names))))
+    return in_order(out)
+
+
+def result(frame):
+    return in_order((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in frame.collect())
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    return spark.createDataFrame([(*row, "x") for row in ITEMS], "item_id string, text string, doc_id string")
+
+
+def test_query(spark, small, small_rows):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    expected = [
+        (i, n, h, len(s), hashlib.sha256(",".join(s).encode()).hexdigest(), h > 0) for i, n, h, s in plain(small_rows, items)
+    ]
+    rows = decontamination(spark, small)
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert in_order(tuple(r[c] for c in columns) for r in rows.collect()) == in_order(expected)
+
+
+@pytest.mark.parametrize("block_words", [1, 12, 50_000])
+def test_edges_in_one_block_and_many(edge_docs, edge_rows, items, block_words):
+    found = decontaminate.find_hits(edge_docs, items, block_words=block_words)
+    assert result(found) == plain(edge_rows, ITEMS)
+
+
+def test_other_windows(edge_docs, edge_rows, items):
+    assert result(decontaminate.find_hits(edge_docs, items, window=3)) == plain(edge_rows, ITEMS, 3)
+
+
+def test_no_documents_and_no_items(no_docs, edge_docs, edge_rows, items):
+    assert decontaminate.find_hits(no_docs, items).collect() == []
+    assert result(decontaminate.find_hits(edge_docs, items.limit(0))) == plain(edge_rows, [])
+
+
+def test_clean(spark, items):
+    text = "Before, one two three four five six seven eight nine ten eleven; after it all comes much more of this, far more than that."
+    docs = spark.createDataFrame([(1, text, 1), (2, "clean words only", 2), (3, None, 3), (4, "one two three four five six seven eight nine ten", 4)], "doc_id bigint, text string, spans int")
+    out = {r.doc_id: r for r in decontaminate.clean(docs, items).collect()}
+    assert out[1].text == "Before, ; after it all comes much more of this, far more than that."
+    assert out[2].text == "clean words only" and out[3].text is None and out[3].spans == 3
+    assert 4 not in out

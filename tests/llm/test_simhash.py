@@ -1,0 +1,115 @@
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings, strategies as st
+
+from gridtide.llm import leaves, simhash
+from gridtide.llm.queries import simhash_dedup
+from tests.llm.conftest import in_order
+
+
+def plain_fingerprint(text):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    counts = [0] * 64
+    for shingle in shingles:
+        value = xxhash.xxh64_intdigest(shingle, 42)
+        for bit in range(64):
+            counts[bit] += value >> bit & 1
+    return sum(1 << bit for bit in range(64) if 2 * counts[bit] > len(shingles))
+
+
+def plain_groups(rows):
+    """(doc_id, fingerprint, component_id) by comparing all pairs."""
+    prints = [plain_fingerprint(text) for _, text in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 3 and group[a] != group[b]:
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    least = {}
+    for (doc_id, _), g in zip(rows, group):
+        if doc_id is not None:
+            least[g] = min(doc_id, least.get(g, doc_id))
+    return in_order((i, f"{p:016x}", least.get(g)) for (i, _), p, g in zip(rows, prints, group))
+
+
+def result(frame):
+    return in_order((r.doc_id, r.fingerprint, r.component_id) for r in frame.collect())
+
+
+def test_query_equals_all_pairs(spark, small, small_rows):
+    assert result(simhash_dedup(spark, small)) == plain_groups(small_rows)
+
+
+def test_edges(edge_docs, edge_rows):
+    assert result(simhash.near_duplicates(edge_docs)) == plain_groups(edge_rows)
+
+
+def test_empty_table(no_docs):
+    assert simhash.near_duplicates(no_docs).collect() == []
+    assert simhash.representatives(no_docs).collect() == []
+
+
+@pytest.mark.parametrize("leaf", [2, 5, 1024])
+def test_links_of_dense_and_split_groups(spark, leaf):
+    """Groups larger than a leaf: links must join exactly what all pairs join."""
+    random = np.random.default_rng(7)
+    centres = random.integers(0, 2**63, 6, dtype=np.uint64)
+    values = [int(c) for c in centres]
+    for centre in centres.tolist():
+        for _ in range(25):
+            value = centre
+            for bit in random.integers(0, 64, random.integers(1, 7)).tolist():
+                value ^= 1 << bit
+            values.append(value)
+    values = sorted(set(values))
+    signed = [(v - 2**64 if v >= 2**63 else v,) for v in values]
+    links = simhash.link_fingerprints(spark.createDataFrame(signed, "fp bigint").repartition(4), leaf=leaf).collect()
+
+    def groups(pairs):
+        label = {v: v for v in values}
+        for a, b in pairs:
+            old, new = label[a], label[b]
+            if old != new:
+                label = {v: new if g == old else g for v, g in label.items()}
+        found = {}
+        for v, g in label.items():
+            found.setdefault(g, set()).add(v)
+        return sorted(map(sorted, found.values()))
+
+    expected = groups((a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 3)
+    assert groups((r.a % 2**64, r.b % 2**64) for r in links) == expected
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=80), st.integers(0, 4))
+def test_tree_search_equals_all_pairs(values, most):
+    values = np.array(values + [v ^ 5 for v in values] + [v ^ 1 << 40 for v in values], dtype=np.uint64)
+    one, two = simhash.close_pairs(values, values, most)
+    expected = np.nonzero(np.bitwise_count(values[:, None] ^ values[None, :]) <= most)
+    assert sorted(zip(one.tolist(), two.tolist())) == sorted(zip(*(e.tolist() for e in expected)))
+
+
+def test_leaves_hold_each_group_once(spark):
+    rows = [(k, r, r) for k, size in ((1, 1), (2, 2), (3, 11), (9, 1), (-4, 3)) for r in range(size)]
+    frame = spark.createDataFrame(rows, "key bigint, rank bigint, x bigint")
+    found = {}
+    for row in leaves.cut(frame, ["x"], 4).collect():
+        assert len(row.x) <= 4
+        found.setdefault(row.key, []).extend(row.x)
+    for key, size in ((2, 2), (3, 11), (-4, 3)):
+        assert sorted(found[key]) == list(range(size))
+
+
+def test_representatives_keep_one_of_each_group(edge_docs, edge_rows):
+    kept = simhash.representatives(edge_docs)
+    assert kept.columns == edge_docs.columns
+    groups = plain_groups(edge_rows)
+    dropped = {i for i, _, c in groups if i is not None and i != c}
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(
+        i for i, _ in edge_rows if i is not None and i not in dropped
+    )
