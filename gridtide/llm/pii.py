@@ -4,15 +4,15 @@ Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, f
 checked (parts, Luhn, number of digits). Whatever they match is a protected entity.
 
 Terms come from corpus statistics. A term is a word of letters within ``REACH`` characters of an
-entity. With N distinct texts, n(e) of them with the entity, n(t) with the term anywhere and n(e,t)
-with the term near the entity, a term's point-wise mutual information with the entity is
+entity. With N documents, n(e) of them with the entity, n(t) with the term anywhere and n(e,t) with
+the term near the entity, a term's point-wise mutual information with the entity is
 log(n(e,t) N / (n(e) n(t))), and the entity's information content is log(N / n(e)). Their ratio tells
 how much of the entity a reader learns from the term; 1 means all. From ``generalise`` on the term's
 span is added and replaced by a general word, from ``remove`` on it is taken out. Pairs seen in fewer
 than ``support`` distinct texts say nothing and are left alone, as are texts without base spans.
 
 Only DataFrame functions run here. Offsets are code points, ends exclusive. Null texts are empty, copies
-of a text count once in the statistics, and every input row gives one result row. Possessive
+of a text are no support for each other, and every input row gives one result row. Possessive
 quantifiers and look-behinds keep the patterns linear on long runs and match the same spans.
 """
 
@@ -26,8 +26,9 @@ from gridtide.plans.work import written
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, GENERALISE, REMOVE, REACH = 3, 0.9, 1.0, 60
-# Terms up to this number are looked up by broadcast (below 1 MB), more by a shuffled join.
-FEW_TERMS = 10_000
+# Terms up to this number (about 3 MB) are looked up by broadcast while the texts are read; for more of
+# them the counts of all words are joined. Sanitised texts up to FEW_TEXTS get their terms by broadcast.
+FEW_TERMS, FEW_TEXTS = 200_000, 10_000
 _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
@@ -52,16 +53,21 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def _places(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of the pattern's matches: text between them gives their places."""
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    total = lambda sizes: F.aggregate(sizes, F.lit(0), lambda a, b: a + b)
+    """Array of (start, end, value) of the pattern's matches.
 
-    def place(value: Column, at: Column) -> Column:
-        before = total(F.slice(gaps, F.lit(1), at + 1)) + total(F.transform(F.slice(values, F.lit(1), at), F.length))
-        return F.struct(before.alias("start"), (before + F.length(value)).alias("end"), value.alias("value"))
+    The texts between the matches give their places; one pass adds the lengths up.
+    """
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
+    begin = F.expr("struct(0 AS at, cast(array() AS array<struct<start:int,end:int,value:string>>) AS out)")
+
+    def step(done: Column, part: Column) -> Column:
+        start = done["at"] + F.length(part["gap"])
+        end = start + F.length(part["value"])
+        place = F.struct(start.alias("start"), end.alias("end"), part["value"].alias("value"))
+        found = F.struct(end.alias("at"), F.concat(done["out"], F.array(place)).alias("out"))
+        return F.when(part["value"].isNull(), done).otherwise(found)
 
-    return F.transform(values, place)
+    return F.aggregate(parts, begin, step, lambda done: done["out"])
 
 
 def _kind_spans(text: Column, kind: str) -> Column:
@@ -127,9 +133,10 @@ def _term_spans(base: DataFrame, texts: DataFrame, support: int, generalise: flo
     """content and its term spans; None where no pair of entity and term has enough support."""
     entities = (
         base.filter(F.size("spans") > 0)
-        .dropDuplicates(["content"])
-        .select("content", F.explode("spans").alias("s"))
-        .select("content", F.concat("s.kind", F.lit(":"), F.lower("s.value")).alias("entity"), "s")
+        .groupBy("content")
+        .agg(F.first("spans").alias("spans"), F.count("*").alias("copies"))
+        .select("content", "copies", F.explode("spans").alias("s"))
+        .select("content", "copies", F.concat("s.kind", F.lit(":"), F.lower("s.value")).alias("entity"), "s")
     )
     # A word cut by the edge of the context is no term: its outer neighbour must be in the context.
     left = F.transform(_places(F.col("s.left"), _WORD), lambda p: F.struct((p["start"] + F.col("s.low")).alias("start"), (p["end"] + F.col("s.low")).alias("end"), p["value"].alias("value")))
@@ -137,38 +144,46 @@ def _term_spans(base: DataFrame, texts: DataFrame, support: int, generalise: flo
     right = F.transform(_places(F.col("s.right"), _WORD), lambda p: F.struct((p["start"] + F.col("s.end")).alias("start"), (p["end"] + F.col("s.end")).alias("end"), p["value"].alias("value")))
     right = F.filter(right, lambda p: p["end"] < F.col("s.end") + REACH)
     near = written(
-        entities.select("content", "entity", F.explode(F.concat(left, right)).alias("t")).select(
-            "content", "entity", F.lower("t.value").alias("term"), "t.start", "t.end", "t.value"
+        entities.select("content", "copies", "entity", F.explode(F.concat(left, right)).alias("t")).select(
+            "content", "copies", "entity", F.lower("t.value").alias("term"), "t.start", "t.end", "t.value"
         )
     )
-    pairs = near.select("entity", "term", "content").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    pairs = written(pairs.filter(F.col("n_both") >= support))
-    if pairs.isEmpty():
+    both = near.select("entity", "term", "content", "copies").distinct().groupBy("entity", "term")
+    pairs = both.agg(F.sum("copies").alias("n_both"), F.count("*").alias("n_texts"))
+    pairs = written(pairs.filter(F.col("n_texts") >= support))
+    known = entities.select("entity", "content", "copies").distinct().groupBy("entity").agg(F.sum("copies").alias("n_entity"))
+    total = base.count()
+    # A term stands in at least as many documents as it does near entities. Pairs that fall short with
+    # that count already, as with all common words, need no look at the corpus.
+    beside = near.select("term", "content", "copies").distinct().groupBy("term").agg(F.sum("copies").alias("n_term"))
+    likely = written(_disclosing(pairs.join(known, "entity").join(beside, "term"), total, generalise).drop("n_term"))
+    if likely.isEmpty():
         return None
-    known = entities.select("entity", "content").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    texts = texts.select(_content(F.col("text")).alias("content"), "text")
-    total = base.select("content").distinct().count()
-    scored = (
-        pairs.join(known, "entity")
-        .join(_term_counts(texts, pairs.select("term").distinct()), "term")
-        .withColumn("information", F.log(F.lit(total) / F.col("n_entity")))
-        .withColumn("shared", F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term"))))
-        .filter((F.col("information") > 0) & (F.col("shared") >= F.lit(generalise) * F.col("information")))
-        .select("entity", "term", (F.col("shared") >= F.lit(remove) * F.col("information")).alias("removed"))
+    counts = _term_counts(texts, likely.select("term").distinct())
+    scored = _disclosing(likely.drop("information", "shared").join(counts, "term"), total, generalise).select(
+        "entity", "term", (F.col("shared") >= F.lit(remove) * F.col("information")).alias("removed")
     )
     spans = near.join(scored, ["entity", "term"]).select("content", F.struct("start", "end", "value", "removed").alias("t"))
     return spans.groupBy("content").agg(F.array_sort(F.collect_set("t")).alias("terms"))
 
 
+def _disclosing(pairs: DataFrame, total: int, share: float) -> DataFrame:
+    """Pairs whose mutual information is at least this share of the entity's information."""
+    scored = pairs.withColumn("information", F.log(F.lit(total) / F.col("n_entity"))).withColumn(
+        "shared", F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
+    )
+    return scored.filter((F.col("information") > 0) & (F.col("shared") >= F.lit(share) * F.col("information")))
+
+
 def _term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Number of distinct texts that hold each of these terms."""
-    words = texts.select("content", F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term"))
+    """Number of documents that hold each of these terms; summed up before any shuffle."""
+    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term"))
     terms = written(terms)
-    if terms.count() <= FEW_TERMS:
+    few = terms.count() <= FEW_TERMS
+    if few:
         words = words.join(F.broadcast(terms), "term")
-    else:
-        words = words.join(terms, "term")
-    return words.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    counts = words.groupBy("term").agg(F.count("*").alias("n_term"))
+    return counts if few else counts.join(terms, "term")
 
 
 def span_text(spans: Column, kind: Column | None = None) -> Column:
@@ -195,10 +210,10 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         row = row.withColumn("terms", F.expr("cast(array() as array<struct<start:int,end:int,value:string,removed:boolean>>)"))
     else:
         terms = written(terms)
-        few = terms.count() <= FEW_TERMS and terms.agg(F.max(F.size("terms"))).first()[0] <= 100
+        few = terms.count() <= FEW_TEXTS and terms.agg(F.max(F.size("terms"))).first()[0] <= 100
         row = row.withColumn("content", _content(F.col("body"))).join(F.broadcast(terms) if few else terms, "content", "left")
-    clean = _replaced(F.col("body"), base_spans(F.col("body")), F.col("terms"))
-    row = row.withColumn("clean", clean)
+    row = row.withColumn("spans", _words_for(base_spans(F.col("body")), F.col("terms")))
+    row = row.withColumn("clean", _replaced(F.col("body"), F.col("spans")))
     old = F.col(own)
     return row.select(
         *(
@@ -208,13 +223,22 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     )
 
 
-def _replaced(text: Column, base: Column, terms: Column) -> Column:
+def _words_for(base: Column, terms: Column) -> Column:
+    """All spans with the words that stand in for them, sorted."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,word:string>>)")
-    first = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["kind"] + 1).alias("word")))
-    second = F.transform(F.coalesce(terms, F.expr("cast(array() as array<struct<start:int,end:int,value:string,removed:boolean>>)")), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["removed"], "").otherwise("[TERM]").alias("word")))
-    spans = F.array_sort(F.concat(first, second, empty))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string,removed:boolean>>)")
+    first = F.transform(
+        base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["kind"] + 1).alias("word"))
+    )
+    second = F.transform(
+        F.coalesce(terms, none),
+        lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["removed"], "").otherwise("[TERM]").alias("word")),
+    )
+    return F.array_sort(F.concat(first, second))
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    begin = F.expr("struct(0 AS at, cast(array() AS array<string>) AS out)")
 
     def step(done: Column, span: Column) -> Column:
         piece = F.array(F.substring(text, done["at"] + 1, span["start"] - done["at"]), span["word"])
@@ -222,4 +246,4 @@ def _replaced(text: Column, base: Column, terms: Column) -> Column:
         return F.struct(F.greatest(done["at"], span["end"]).alias("at"), more.alias("out"))
 
     rest = lambda done: F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, rest))
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, begin, step, rest))
