@@ -165,6 +165,25 @@ DERIVED = {
         "r": "CAST(ead AS DOUBLE) * (1 + sin(Slope * CAST(3.14159 AS DOUBLE) / CAST(180 AS DOUBLE)))"
     },
 }
+
+
+def _nested() -> str:
+    """Eight levels as eight nested selects, each over the one before."""
+    steps = {
+        "r1": "{x} / (Exposure_Index + {k})",
+        "r2": _mod("({x} + CAST(17.25 AS DOUBLE))", "(Exposure_Index + {k})"),
+        "r3": "pow({x} * CAST(0.5 AS DOUBLE) + 1, CAST(0.5 AS DOUBLE) + Exposure_Index / (2 + {k}))",
+        "r4": "round({x} * CAST(1.5 AS DOUBLE) + {k})",
+        "r5": "floor({x} * CAST(1.25 AS DOUBLE) + {k})",
+        "r6": "ln({x} + 20 + {k})",
+    }
+    source = f"(SELECT Exposure_Index, {', '.join(f'Slope AS {name}' for name in steps)} FROM grid)"
+    for level in range(1, 9):
+        columns = ", ".join(f"{text.format(x=name, k=f'CAST({level} AS DOUBLE)')} AS {name}" for name, text in steps.items())
+        source = f"(SELECT Exposure_Index, {columns} FROM {source})"
+    return _special({name: name for name in steps}, 6, source)
+
+
 FEW = ["Built_Up_Age", "Slope", "Distance_from_River", "Exposure_Index", "Flood_Flag", "POP_2025"]
 
 
@@ -271,6 +290,8 @@ def _moments_partial() -> str:
             ("sq_sum", f"coalesce(sum({v} * {v}), 0)"),
             ("min", f"min({v})"),
             ("max", f"max({v})"),
+            ("mean", f"avg({v})"),
+            ("m2", f"var_pop({v}) * count({v})"),
         )
     )
     counts = ", ".join(f"count({v}) AS {c}_count" for c, v in PART_VALUES.items())
@@ -298,7 +319,7 @@ def _filter_by_codes() -> str:
         "asia": "Sovereig = 10",
         "newest": "Built_Up_Age = 5",
         "older_than_30": "Built_Up_Age >= 35",
-        "older_developing_middle_income": "Developed = 2 AND Income_Classification IN (2, 3) AND Built_Up_Age >= 35",
+        "older_developing_low_or_high_income": "Developed = 2 AND Income_Classification IN (1, 4) AND Built_Up_Age >= 35",
     }
     return f"{GRID} " + " UNION ALL ".join(
         f"SELECT '{name}' AS name, count(*) AS cells, sum(POP_2025) AS population FROM grid WHERE {test} HAVING count(*) > 0"
@@ -328,36 +349,61 @@ def _format_values() -> str:
     )
 
 
+# Section, table name, description, and what the rows are counted by.
+CATALOGUE = [
+    ("A. Area Statistics", "A_Area_Stats", "Built-up area by development status and Built-up Age (includes All)", "development"),
+    ("B1. Flood by Development", "B1_Flood_DevStatus", "Flood inundation area & ratio by development status (includes All)", "development"),
+    ("B2. Flood by Income", "B2_Flood_Income", "Flood inundation area & ratio by income classification (includes All)", "income"),
+    ("B3. Flood by Continent", "B3_Flood_Continent", "Flood inundation area & ratio by continent (includes All)", "continent"),
+    ("B4. Flood by Country", "B4_Flood_Country", "Flood inundation area & ratio by country/region (includes All)", "country"),
+    ("C1. Env by Development", "C1_Env_DevStatus", "Environmental factors by development status (includes All) with n, SE", "development"),
+    ("C2. Env by Income", "C2_Env_Income", "Environmental factors by income level (includes All) with n, SE", "income"),
+    ("C3. Env by Continent", "C3_Env_Continent", "Environmental factors by continent (includes All) with n, SE", "continent"),
+    ("C4. Env by Country", "C4_Env_Country", "Environmental factors by country/region (includes All) with n, SE", "country"),
+    ("D1. Global Exposure Ratio", "D1_Global_ExpRatio", "Global population exposure ratio by Built-up Age", "ages"),
+    ("D2. Exposure by Country-Year", "D2_Exp_Country_Year", "Total exposure population by country and year (1975-2025)", "countries"),
+    ("D3. Exposure Ratio by Country", "D3_ExpRatio_Country", "Exposure ratio by country/region and Built-up Age (includes All)", "country"),
+    ("D4. Exposure Ratio by Income", "D4_ExpRatio_Income", "Exposure ratio by income level and Built-up Age (includes All)", "income"),
+    ("D5. Exposure Ratio by Continent", "D5_ExpRatio_Continent", "Exposure ratio by continent and Built-up Age (includes All)", "continent"),
+    ("D6. Exposure Ratio by DevStatus", "D6_ExpRatio_DevStatus", "Exposure ratio by development status and Built-up Age (includes All)", "development"),
+]
+
+
 def _catalogue() -> str:
-    # Dimension -> table suffix, section word, flood words, other words, number among the D tables.
-    dims = {
-        "development": ("DevStatus", "Development", "development status", "development status", 6),
-        "income": ("Income", "Income", "income classification", "income level", 4),
-        "continent": ("Continent", "Continent", "continent", "continent", 5),
-        "country": ("Country", "Country", "country/region", "country/region", 3),
-    }
     ctes = ", ".join(
         f"groups_{d} AS (SELECT DISTINCT Built_Up_Age, 'All' AS c, TRUE AS a FROM valid"
         f" UNION SELECT DISTINCT Built_Up_Age, {LABELS[d]}, FALSE FROM valid WHERE {LABELS[d]} IS NOT NULL)"
-        for d in dims
+        for d in LABELS
     )
-    size = {d: f"(SELECT count(*) FROM groups_{d})" for d in dims}
-    countries = f"(SELECT count(DISTINCT {LABELS['country']}) FROM valid)"
-    ages = "(SELECT count(DISTINCT Built_Up_Age) FROM valid)"
-    rows = [
-        ("A. Area Statistics", "A_Area_Stats", "Built-up area by development status and Built-up Age (includes All)", size["development"]),
-        ("D1. Global Exposure Ratio", "D1_Global_ExpRatio", "Global population exposure ratio by Built-up Age", ages),
-        ("D2. Exposure by Country-Year", "D2_Exp_Country_Year", "Total exposure population by country and year (1975-2025)", countries),
-    ]
-    for i, (d, (suffix, word, flood, other, number)) in enumerate(dims.items(), 1):
-        ratio = "DevStatus" if d == "development" else word
-        rows += [
-            (f"B{i}. Flood by {word}", f"B{i}_Flood_{suffix}", f"Flood inundation area & ratio by {flood} (includes All)", size[d]),
-            (f"C{i}. Env by {word}", f"C{i}_Env_{suffix}", f"Environmental factors by {other} (includes All) with n, SE", size[d]),
-            (f"D{number}. Exposure Ratio by {ratio}", f"D{number}_ExpRatio_{suffix}", f"Exposure ratio by {other} and Built-up Age (includes All)", size[d]),
-        ]
+    size = {d: f"(SELECT count(*) FROM groups_{d})" for d in LABELS}
+    size["countries"] = f"(SELECT count(DISTINCT {LABELS['country']}) FROM valid)"
+    size["ages"] = "(SELECT count(DISTINCT Built_Up_Age) FROM valid)"
     return f"{GRID}, {ctes} " + " UNION ALL ".join(
-        f"SELECT '{a}' AS Section, '{b}' AS Sheet, '{c}' AS Description, {n} AS Records" for a, b, c, n in rows
+        f"SELECT '{a}' AS Section, '{b}' AS Sheet, '{c}' AS Description, {size[by]} AS Records" for a, b, c, by in CATALOGUE
+    )
+
+
+def _display_rank() -> str:
+    years = ", ".join(f"format('{{:,.0f}}', \"{y}\") AS \"{y}\"" for y in YEARS)
+    return f"SELECT Rank, Country, {years} FROM ({_country_rank()})"
+
+
+def _years_wide() -> str:
+    years = ", ".join(f"coalesce(sum(POP_Exposure_{y}), 0) AS \"{y}\"" for y in YEARS)
+    return f"{GRID} SELECT Sovereig, {years} FROM valid GROUP BY Sovereig"
+
+
+def _two_period_risk() -> str:
+    """EAD from the two periods 10 and 100 alone."""
+    low, high = (f"coalesce(Hazard_Index_RP{t}, 0.0)" for t in ("010", "100"))
+    area = (
+        f"({high} + {high}) / 2.0 * CAST('0.01' AS DOUBLE) + ({high} + {low}) / 2.0 * CAST('{0.1 - 0.01!r}' AS DOUBLE)"
+        f" + ({low} + {low}) / 2.0 * CAST('0.9' AS DOUBLE)"
+    )
+    value = f"CAST(greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), {area})) AS FLOAT)"
+    return (
+        f"{GRID}, hazard AS (SELECT *, {value} AS ead FROM grid) SELECT Built_Up_Age,"
+        f" CAST(ead AS DOUBLE) AS Hazard_Index_EAD, CAST({_risk('ead')} AS DOUBLE) AS Risk_Index FROM hazard"
     )
 
 
@@ -376,6 +422,11 @@ def all_oracles() -> dict[str, str]:
         "dataset_profile": "SELECT count(*) AS row_count, CAST(11 AS BIGINT) AS column_count,"
         " CAST(8 AS BIGINT) AS numeric_column_count, CAST(ceil(count(*) / 500000.0) AS BIGINT) AS estimated_chunks FROM lineitem",
         "field_profile": _field_profile(),
+        "field_samples": f"{GRID}, one AS (SELECT {few} FROM grid ORDER BY {few} LIMIT 1) "
+        + " UNION ALL ".join(f"SELECT '{n}' AS name, CAST({n} AS VARCHAR) AS sample FROM one" for n in FEW),
+        "file_profile": "SELECT CAST(1 AS BIGINT) AS file_count, count(*) AS row_count, CAST(11 AS BIGINT) AS column_count,"
+        " CAST(ceil(count(*) / 500000.0) AS BIGINT) AS estimated_chunks FROM lineitem",
+        "derive_nested": _nested(),
         "preview": f"{GRID} SELECT {few} FROM grid ORDER BY {few} LIMIT 100",
         **{
             key: _special(e, 6, *(("risky", RISK_GRID) if "ead" in " ".join(e.values()) else ("grid", GRID)))
@@ -402,7 +453,7 @@ def all_oracles() -> dict[str, str]:
         "filter_valid_age": f"{GRID} SELECT {few} FROM valid",
         "filter_by_codes": _filter_by_codes(),
         "filter_older_developing": f"{GRID} SELECT Built_Up_Age, Developed, Income_Classification, Slope, POP_2025"
-        " FROM grid WHERE Developed = 2 AND Income_Classification IN (2, 3) AND Built_Up_Age >= 35",
+        " FROM grid WHERE Developed = 2 AND Income_Classification IN (1, 4) AND Built_Up_Age >= 35",
         "ead": f"{RISK_GRID} SELECT Built_Up_Age, Hazard_Index_RP010, CAST(ead AS DOUBLE) AS Hazard_Index_EAD FROM risky",
         "risk_index": f"{GRID} SELECT Built_Up_Age, Exposure_Index,"
         f" CAST({_risk('CAST(Hazard_Index_RP100 AS FLOAT)')} AS DOUBLE) AS Risk_Index FROM grid",
@@ -432,6 +483,16 @@ def all_oracles() -> dict[str, str]:
         "format_report_values": _format_values(),
         "report_catalogue": _catalogue(),
     }
+    found |= {
+        "stream_env_by_income": _grouped("income", _environment(False)),
+        "stream_risk_named": _two_period_risk(),
+        "exposure_years_wide": _years_wide(),
+        "report_area": found["area_by_development"],
+        "report_env_by_country": _grouped("country", _environment(True)),
+        "report_country_rank": found["exposure_country_rank"],
+        "report_overview": found["run_summary"],
+        "report_display_country_year": _display_rank(),
+    }
     risk_measures = _moments({"Risk_Index": "CAST(risk AS DOUBLE)"}, extremes=True)
     valid_risk = RISK_GRID + ", valid_risk AS (SELECT * FROM risky WHERE Built_Up_Age BETWEEN 5 AND 50)"
     for dim, label in LABELS.items():

@@ -19,7 +19,7 @@ from gridtide.operators.filters import filter_codes, matches, valid_age
 from gridtide.operators.labels import with_label
 from gridtide.operators.moments import merge_moment_sums, moment_sums
 from gridtide.operators.summary import summarise
-from gridtide.plans.report import CATALOGUE, build_report
+from gridtide.plans.report import CATALOGUE, OVERVIEW, build_report, display_text
 from gridtide.plans.risk import risk_output, with_ead, with_risk
 from gridtide.plans.work import work_folder
 from gridtide.sources import profile, scan
@@ -32,11 +32,20 @@ from gridtide.sources.demo_grid import (
 from gridtide.streaming.incremental import finish, latest_report_state, stream_report_state, stream_risk
 
 Query = Callable[[SparkSession, str], DataFrame]
-STREAM_TIMEOUT = 1800
 # Added before rounding on both sides. Means of decimal data often end exactly halfway between two
 # rounded values, and the engines' sums reach such a tie from different sides; this moves it away.
 NUDGE = 1.2345678e-7
 
+
+
+def _chain(step: str, depth: int = 8) -> str:
+    """A formula nested ``depth`` times, the innermost over Slope."""
+    text = "[Slope]"
+    for level in range(1, depth + 1):
+        text = step.format(text, level)
+    return text
+
+
 FEW = ("Built_Up_Age", "Slope", "Distance_from_River", "Exposure_Index", "Flood_Flag", "POP_2025")
 DERIVED = {
     "derive_arith": {"r": "-([Slope] + 2) * [Exposure_Index] - [POP_2025] / 4 + +1.5"},
@@ -77,6 +86,14 @@ DERIVED = {
         "r1": "min([Vulnerability_Index], [Exposure_Index])",
         "r2": "max([DEM], [Distance_from_River])",
     },
+    "derive_nested": {
+        "r1": _chain("({}) / ([Exposure_Index] + {})"),
+        "r2": _chain("({} + 17.25) % ([Exposure_Index] + {})"),
+        "r3": _chain("({} * 0.5 + 1) ^ (0.5 + [Exposure_Index] / (2 + {}))"),
+        "r4": _chain("round({} * 1.5 + {})"),
+        "r5": _chain("floor({} * 1.25 + {})"),
+        "r6": _chain("log({} + 20 + {})"),
+    },
     "derive_example_1": {"r": "[Hazard_Index_RP100] / max([Hazard_Index_RP100], 0.001)"},
     "derive_example_2": {
         "r": "([Hazard_Index_EAD] * 0.4) + ([Exposure_Index] * 0.3) + ([Vulnerability_Index] * 0.3)"
@@ -148,7 +165,9 @@ def dataset_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def file_profile(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.file_profile(spark, f"{folder}/lineitem.parquet")
+    # SQL does not know the size of a table's files.
+    found = profile.file_profile(scan.scan_grid(spark, f"{folder}/lineitem.parquet"))
+    return found.select("file_count", "row_count", "column_count", "estimated_chunks")
 
 
 def field_profile(spark: SparkSession, folder: str) -> DataFrame:
@@ -156,6 +175,12 @@ def field_profile(spark: SparkSession, folder: str) -> DataFrame:
     return profile.field_profile(demo_grid(spark, folder)).drop("sample_values")
 
 
+def field_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """The samples of a table of one row, which leave no choice."""
+    found = profile.field_profile(scan.preview(few(spark, folder), 1, FEW))
+    return found.select("name", F.col("sample_values")[0].alias("sample"))
+
+
 def preview(spark: SparkSession, folder: str) -> DataFrame:
     return scan.preview(few(spark, folder), 100, FEW)
 
@@ -230,7 +255,7 @@ def filter_by_codes(spark: SparkSession, folder: str) -> DataFrame:
         "asia": {"Sovereig": 10},
         "newest": {S.AGE: 5},
         "older_than_30": {S.AGE: (">=", 35)},
-        "older_developing_middle_income": {"Developed": 2, "Income_Classification": [2, 3], S.AGE: (">=", 35)},
+        "older_developing_low_or_high_income": {"Developed": 2, "Income_Classification": [1, 4], S.AGE: (">=", 35)},
     }
     met = F.array_compact(F.array(*(F.when(matches(test), name) for name, test in filters.items())))
     cells = demo_grid(spark, folder).select(S.POPULATION, F.explode(met).alias("name"))
@@ -240,7 +265,7 @@ def filter_by_codes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def filter_older_developing(spark: SparkSession, folder: str) -> DataFrame:
-    criteria = {"Developed": 2, "Income_Classification": [2, 3], S.AGE: (">=", 35)}
+    criteria = {"Developed": 2, "Income_Classification": [1, 4], S.AGE: (">=", 35)}
     return filter_codes(demo_grid(spark, folder), criteria).select(
         S.AGE, "Developed", "Income_Classification", "Slope", S.POPULATION
     )
@@ -368,18 +393,38 @@ def moments_merged(spark: SparkSession, folder: str) -> DataFrame:
 def stream_ead(spark: SparkSession, folder: str) -> DataFrame:
     base = work_folder(spark)
     query = stream_risk(streaming_demo_grid(spark, folder), f"{base}/risk", f"{base}/checkpoint")
-    finish(query, STREAM_TIMEOUT)
+    finish(query)
     output = spark.read.parquet(f"{base}/risk")
     return output.select(S.AGE, number(S.HAZARD_EAD).alias(S.HAZARD_EAD), number(S.RISK).alias(S.RISK))
 
 
 def stream_flood_by_development(spark: SparkSession, folder: str) -> DataFrame:
     base = work_folder(spark)
-    query = stream_report_state(streaming_demo_grid(spark, folder), f"{base}/state", f"{base}/checkpoint", FLOOD)
-    finish(query, STREAM_TIMEOUT)
+    cells = streaming_demo_grid(spark, folder)
+    only = {"environment": [], "dims": [S.DEVELOPMENT], "totals": []}
+    finish(stream_report_state(cells, f"{base}/state", f"{base}/checkpoint", FLOOD, **only))
     return rounded(T.flood_table(latest_report_state(spark, f"{base}/state"), S.DEVELOPMENT))
 
 
+def stream_env_by_income(spark: SparkSession, folder: str) -> DataFrame:
+    base = work_folder(spark)
+    cells = streaming_demo_grid(spark, folder)
+    only = {"exclude_zero": False, "dims": [S.INCOME], "totals": []}
+    finish(stream_report_state(cells, f"{base}/state", f"{base}/checkpoint", None, **only))
+    return rounded(T.environment_table(latest_report_state(spark, f"{base}/state"), S.INCOME))
+
+
+def stream_risk_named(spark: SparkSession, folder: str) -> DataFrame:
+    """Columns of other names, given with the stream."""
+    base = work_folder(spark)
+    names = {S.EXPOSURE: "Exposed", S.VULNERABILITY: "Fragile", "Hazard_Index_RP010": "h10", "Hazard_Index_RP100": "h100"}
+    cells = P.rename_fields(streaming_demo_grid(spark, folder), names)
+    mapping = [(10, "h10"), (100, "h100")]
+    finish(stream_risk(cells, f"{base}/risk", f"{base}/checkpoint", mapping, "Exposed", "Fragile"))
+    output = spark.read.parquet(f"{base}/risk")
+    return output.select(S.AGE, number(S.HAZARD_EAD).alias(S.HAZARD_EAD), number(S.RISK).alias(S.RISK))
+
+
 def format_values(spark: SparkSession, folder: str) -> DataFrame:
     state = summarise(
         demo_grid(spark, folder), [S.INCOME], totals=[S.POPULATION, S.EXPOSED_POPULATION]
@@ -395,6 +440,24 @@ def report_catalogue(spark: SparkSession, folder: str) -> DataFrame:
     return build_report(demo_grid(spark, folder), demo_country_labels(spark, folder))[CATALOGUE]
 
 
+def _report_table(name: str, shown: bool = False) -> Query:
+    """One table of the report, all of which come from one shared state."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        table = build_report(demo_grid(spark, folder), demo_country_labels(spark, folder))[name]
+        return display_text(name, table) if shown else rounded(table)
+
+    return run
+
+
+def exposure_years_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """Long rows to one column per year."""
+    valid = valid_age(demo_grid(spark, folder))
+    long = valid.unpivot(["Sovereig"], [S.exposure_column(y) for y in S.YEARS], "Name", "Total")
+    long = long.select("Sovereig", F.substring_index("Name", "_", -1).cast("int").alias("Year"), "Total")
+    return T.years_to_columns(long.groupBy("Sovereig", "Year").agg(F.sum("Total").alias("Total")), "Sovereig")
+
+
 def all_queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "scan_grid": scan_grid,
@@ -402,6 +465,7 @@ def all_queries() -> dict[str, Query]:
         "dataset_profile": dataset_profile,
         "file_profile": file_profile,
         "field_profile": field_profile,
+        "field_samples": field_samples,
         "preview": preview,
         **{key: _derive(expressions) for key, expressions in DERIVED.items()},
         "drop_fields": drop_fields,
@@ -432,6 +496,14 @@ def all_queries() -> dict[str, Query]:
         "stream_flood_by_development": stream_flood_by_development,
         "format_report_values": format_values,
         "report_catalogue": report_catalogue,
+        "stream_env_by_income": stream_env_by_income,
+        "stream_risk_named": stream_risk_named,
+        "exposure_years_wide": exposure_years_wide,
+        "report_area": _report_table("A_Area_Stats"),
+        "report_env_by_country": _report_table("C4_Env_Country"),
+        "report_country_rank": _report_table("D2_Exp_Country_Year"),
+        "report_overview": _report_table(OVERVIEW),
+        "report_display_country_year": _report_table("D2_Exp_Country_Year", shown=True),
     }
     for dim in S.DIMENSIONS.values():
         found[f"label_{dim.name}"] = _label(dim)

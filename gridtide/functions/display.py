@@ -19,11 +19,29 @@ def display_value(value: Column) -> Column:
     )
 
 
-def format_report_values(table: DataFrame) -> DataFrame:
-    """Turn every floating column into display text; other columns stay."""
+def whole_value(value: Column) -> Column:
+    """``N/A`` for missing, else a whole number with thousands separators."""
+    value = F.nanvl(value.cast("double"), F.lit(None))
+    return F.when(value.isNull(), F.lit("N/A")).otherwise(F.format_number(F.bround(value, 0), 0))
+
+
+def format_report_values(table: DataFrame, whole: bool = False) -> DataFrame:
+    """Turn every floating column into display text, as whole numbers if asked; other columns stay."""
+    shown = whole_value if whole else display_value
     return table.select(
-        *(
-            display_value(field(f.name)).alias(f.name) if is_floating(f.dataType) else field(f.name)
-            for f in table.schema
-        )
+        *(shown(field(f.name)).alias(f.name) if is_floating(f.dataType) else field(f.name) for f in table.schema)
     )
+
+
+def display_header(name: str, category: str = "Category") -> str:
+    """Header of a report column: words for underscores, units in brackets."""
+    if name == "Category":
+        return category
+    text = name.replace("Distance_from_River", "River Dist").replace("Built_Up", "Built-up")
+    for ending, unit in (("_Percent", " (%)"), ("_km2", " (km2)")):
+        text = text.removesuffix(ending) + unit if text.endswith(ending) else text
+    return text.replace("_", " ")
+
+
+def with_headers(table: DataFrame, category: str = "Category") -> DataFrame:
+    return table.select(*(field(name).alias(display_header(name, category)) for name in table.columns))

@@ -1,7 +1,11 @@
-"""Derived-column expressions: text such as ``[A] / max([A], 0.001)`` to a Spark ``Column``.
+"""Derived-column expressions: text such as ``[A] / max([A], 0.001)`` to Spark columns.
 
 Python's own ``ast`` module reads the text; only the node kinds handled below are accepted, and
 nothing is evaluated. The result is built from Spark functions only, so it stays inside codegen.
+
+Some functions name an operand several times (a quotient also tests its divisor). Such an operand
+becomes an intermediate column unless it is a field or a number, so that each part of the expression
+is computed once and the plan grows with the length of the text.
 """
 
 from __future__ import annotations
@@ -9,8 +13,9 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Iterable
+from typing import NamedTuple
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType, NumericType, StructType
 
 from gridtide.functions import columns as C
@@ -43,6 +48,9 @@ _BINARY = {
     ast.Mod: C.floored_modulo,
     ast.Pow: C.power,
 }
+# These use an operand more than once.
+_REPEATING_OPERATORS = (ast.Div, ast.Mod, ast.Pow)
+_REPEATING_FUNCTIONS = {"log", "ln", "log10", "ceil", "floor", "round"}
 _UNARY = {ast.UAdd: lambda a: a, ast.USub: lambda a: -a}
 
 
@@ -50,13 +58,29 @@ class ExpressionError(ValueError):
     pass
 
 
+class Compiled(NamedTuple):
+    """Intermediate columns in the order they build on each other, and the result over them."""
+
+    steps: list[tuple[str, Column]]
+    result: Column
+
+    def over(self, frame: DataFrame) -> DataFrame:
+        """The frame with the intermediate columns added at its end."""
+        for name, column in self.steps:
+            frame = frame.select("*", column.alias(name))
+        return frame
+
+
 def strip_comments(text: str) -> str:
     lines = [line for line in text.split("\n") if not line.strip().startswith("#")]
     return " ".join(lines).strip()
 
 
 def check_expression(text: str, names: Iterable[str]) -> str:
-    """Return the comment-free expression, or raise with the reason it is not acceptable."""
+    """Return the comment-free expression, or raise with the reason it is not acceptable.
+
+    Fixed values: the four messages.
+    """
     body = strip_comments(text)
     if not body:
         raise ExpressionError("Expression is empty")
@@ -70,8 +94,8 @@ def check_expression(text: str, names: Iterable[str]) -> str:
     return body
 
 
-def compile_expression(text: str, schema: StructType) -> Column:
-    """Turn the text into a double ``Column`` over a frame with this schema."""
+def compile_expression(text: str, schema: StructType) -> Compiled:
+    """Turn the text into a double column over a frame with this schema."""
     body = check_expression(text, schema.names)
     stem = "ref"
     while stem in body:
@@ -86,30 +110,51 @@ def compile_expression(text: str, schema: StructType) -> Column:
     source = _REFERENCE.sub(placeholder, body).replace("^", "**")
     try:
         tree = ast.parse(source.strip(), mode="eval")
-    except (SyntaxError, ValueError) as error:
+        builder = _Builder(fields, schema)
+        return Compiled(builder.steps, builder.column(tree.body).cast("double"))
+    except ExpressionError:
+        raise
+    except (SyntaxError, ValueError, OverflowError, RecursionError, MemoryError) as error:
         raise ExpressionError(f"Cannot read expression: {error}") from None
-    return _column(tree.body, fields, schema).cast("double")
-
-
-def _column(node: ast.AST, fields: dict[str, str], schema: StructType) -> Column:
-    if isinstance(node, ast.Constant) and type(node.value) in (int, float):
-        return F.lit(float(node.value))
-    if isinstance(node, ast.Name) and node.id in fields:
-        name = fields[node.id]
-        if not isinstance(schema[name].dataType, (NumericType, BooleanType)):
-            raise ExpressionError(f"Field is not numeric: [{name}]")
-        return C.number(name)
-    if isinstance(node, ast.BinOp) and type(node.op) in _BINARY:
-        left, right = _column(node.left, fields, schema), _column(node.right, fields, schema)
-        return _BINARY[type(node.op)](left, right)
-    if isinstance(node, ast.UnaryOp) and type(node.op) in _UNARY:
-        return _UNARY[type(node.op)](_column(node.operand, fields, schema))
-    if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and not node.keywords:
-        name = node.func.id.lower()
-        if name not in FUNCTIONS:
-            raise ExpressionError(f"Unknown function: {node.func.id}")
-        arity, build = FUNCTIONS[name]
-        if len(node.args) != arity:
-            raise ExpressionError(f"{name} takes {arity} argument(s), got {len(node.args)}")
-        return build(*(_column(arg, fields, schema) for arg in node.args))
-    raise ExpressionError(f"Not allowed in an expression: {ast.unparse(node)}")
+
+
+class _Builder:
+    def __init__(self, fields: dict[str, str], schema: StructType) -> None:
+        self.fields, self.schema = fields, schema
+        self.steps: list[tuple[str, Column]] = []
+        self.stem = "step"
+        while any(name.lower().startswith(self.stem) for name in schema.names):
+            self.stem += "_"
+
+    def once(self, node: ast.AST) -> Column:
+        """The column of an operand that is named more than once."""
+        column = self.column(node)
+        if isinstance(node, (ast.Constant, ast.Name)):
+            return column
+        name = f"{self.stem}{len(self.steps)}"
+        self.steps.append((name, column))
+        return F.col(name)
+
+    def column(self, node: ast.AST) -> Column:
+        if isinstance(node, ast.Constant) and type(node.value) in (int, float):
+            return F.lit(float(node.value))
+        if isinstance(node, ast.Name) and node.id in self.fields:
+            name = self.fields[node.id]
+            if not isinstance(self.schema[name].dataType, (NumericType, BooleanType)):
+                raise ExpressionError(f"Field is not numeric: [{name}]")
+            return C.number(name)
+        if isinstance(node, ast.BinOp) and type(node.op) in _BINARY:
+            operand = self.once if isinstance(node.op, _REPEATING_OPERATORS) else self.column
+            return _BINARY[type(node.op)](operand(node.left), operand(node.right))
+        if isinstance(node, ast.UnaryOp) and type(node.op) in _UNARY:
+            return _UNARY[type(node.op)](self.column(node.operand))
+        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and not node.keywords:
+            name = node.func.id.lower()
+            if name not in FUNCTIONS:
+                raise ExpressionError(f"Unknown function: {node.func.id}")
+            arity, build = FUNCTIONS[name]
+            if len(node.args) != arity:
+                raise ExpressionError(f"{name} takes {arity} argument(s), got {len(node.args)}")
+            operand = self.once if name in _REPEATING_FUNCTIONS else self.column
+            return build(*map(operand, node.args))
+        raise ExpressionError(f"Not allowed in an expression: {ast.unparse(node)}")

@@ -44,17 +44,19 @@ def _check_case(cells: DataFrame, names: Sequence[str]) -> None:
         raise ValueError(f"Names differ only in case, set spark.sql.caseSensitive=true: {repeated}")
 
 
-def put_columns(cells: DataFrame, new: Mapping[str, Column]) -> DataFrame:
-    """Replace columns of these exact names in place and append the others."""
-    kept = [new[name].alias(name) if name in new else field(name) for name in cells.columns]
-    extra = [name for name in new if name not in cells.columns]
-    _check_case(cells, [*cells.columns, *extra])
+def put_columns(cells: DataFrame, new: Mapping[str, Column], names: Sequence[str] | None = None) -> DataFrame:
+    """Replace columns of these exact names in place and append the others; ``names``: columns to keep."""
+    names = cells.columns if names is None else names
+    kept = [new[name].alias(name) if name in new else field(name) for name in names]
+    extra = [name for name in new if name not in names]
+    _check_case(cells, [*names, *extra])
     return cells.select(*kept, *(new[name].alias(name) for name in extra))
 
 
 def derive_field(cells: DataFrame, name: str, expression: str) -> DataFrame:
     """Add or replace a double column computed from an expression text."""
-    return put_columns(cells, {_new_name(name): compile_expression(expression, cells.schema)})
+    compiled = compile_expression(expression, cells.schema)
+    return put_columns(compiled.over(cells), {_new_name(name): compiled.result}, cells.columns)
 
 
 def add_constant_field(

@@ -1,4 +1,8 @@
-"""Mergeable sums of powers: the state to keep when batches are aggregated one by one."""
+"""Mergeable moments: the state to keep when batches are aggregated one by one.
+
+The sums of powers are part of the state for whoever wants them. Mean and deviation are finished from
+the count, mean and squared deviations, which lose no precision to a large common offset.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from gridtide.functions.columns import field, quoted
-from gridtide.operators.summary import moment_value
+from gridtide.operators.summary import merge, moment_value
 
 
 def moment_sums(
     cells: DataFrame, keys: Sequence[str], columns: Sequence[str], exclude_zero: bool = True
 ) -> DataFrame:
-    """Per group and column: sum, sum of squares, count, minimum and maximum of the present values."""
+    """Per group and column: sum, sum of squares, count, minimum, maximum, mean and squared deviations
+    from the mean (m2) of the present values."""
     values = {name: moment_value(name, exclude_zero) for name in columns}
     prepared = cells.selectExpr(*map(quoted, keys), *(f"{text} AS {quoted(name)}" for name, text in values.items()))
     aggregates = []
@@ -25,6 +30,8 @@ def moment_sums(
             "count": f"count({value})",
             "min": f"min({value})",
             "max": f"max({value})",
+            "mean": f"avg({value})",
+            "m2": f"var_pop({value}) * count({value})",
         }
         aggregates += [F.expr(f"{text} AS {quoted(f'{name}_{kind}')}") for kind, text in texts.items()]
     return prepared.groupBy(*map(quoted, keys)).agg(*aggregates)
@@ -32,22 +39,21 @@ def moment_sums(
 
 def merge_moment_sums(parts: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Add the states of each group and finish them: mean, population std, SE, min, max, n."""
-    added = parts.groupBy(*(field(k) for k in keys)).agg(
-        *(F.sum(field(f"{c}_{part}")).alias(f"{c}_{part}") for c in columns for part in ("sum", "sq_sum", "count")),
-        *(F.min(field(f"{c}_min")).alias(f"{c}_min") for c in columns),
-        *(F.max(field(f"{c}_max")).alias(f"{c}_max") for c in columns),
+    kinds = {"n": "count", "mean": "mean", "m2": "m2", "min": "min", "max": "max"}
+    state = parts.select(
+        *map(field, keys), *(field(f"{c}_{kept}").alias(f"{c}__{kind}") for c in columns for kind, kept in kinds.items())
     )
+    added = merge(state, keys, [f"{c}__{kind}" for c in columns for kind in kinds])
     finished = []
     for c in columns:
-        n = F.nullif(field(f"{c}_count"), F.lit(0))
-        mean = field(f"{c}_sum") / n
-        std = F.sqrt(F.greatest(F.lit(0.0), field(f"{c}_sq_sum") / n - mean * mean))
+        n = F.nullif(field(f"{c}__n"), F.lit(0))
+        std = F.sqrt(field(f"{c}__m2") / n)
         finished += [
-            mean.alias(f"{c}_Mean"),
-            F.when(n.isNotNull(), std).alias(f"{c}_Std"),
-            field(f"{c}_count").alias(f"{c}_n"),
-            F.when(n.isNotNull(), std / F.sqrt(n)).alias(f"{c}_SE"),
-            field(f"{c}_min").alias(f"{c}_Min"),
-            field(f"{c}_max").alias(f"{c}_Max"),
+            field(f"{c}__mean").alias(f"{c}_Mean"),
+            std.alias(f"{c}_Std"),
+            field(f"{c}__n").alias(f"{c}_n"),
+            (std / F.sqrt(n)).alias(f"{c}_SE"),
+            field(f"{c}__min").alias(f"{c}_Min"),
+            field(f"{c}__max").alias(f"{c}_Max"),
         ]
-    return added.select(*(field(k) for k in keys), *finished)
+    return added.select(*map(field, keys), *finished)

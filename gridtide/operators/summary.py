@@ -54,15 +54,19 @@ def summarise(
     exclude_zero: bool = True,
     extremes: bool = False,
     keep_invalid: bool = False,
+    fold_codes: bool | None = None,
 ) -> DataFrame:
     """Group cells by age and the codes of ``dims``; columns the input lacks are left out.
 
     Cells of no valid age are dropped, or with ``keep_invalid`` counted in one row of null keys.
+    Codes that no label knows are folded into null, and country codes into whole numbers, so that a
+    dirty code column makes no more groups than its dictionary has. ``run_summary`` counts raw codes,
+    which ``keep_invalid`` or ``fold_codes=False`` keeps.
     """
     require_columns(cells.columns, [S.AGE])
     have = set(cells.columns)
     keys = {S.AGE: f"cast({S.AGE} AS int)"}
-    keys |= {dim.column: present(dim.column) for dim in dims if dim.column in have}
+    keys |= {dim.column: _code(dim, not keep_invalid if fold_codes is None else fold_codes) for dim in dims if dim.column in have}
     if keep_invalid:
         keys = {name: f"CASE WHEN {HAS_VALID_AGE} THEN {key} END" for name, key in keys.items()}
     else:
@@ -84,6 +88,15 @@ def summarise(
     return cells.select(*prepared).groupBy(*map(quoted, keys)).agg(*map(F.expr, aggregates))
 
 
+def _code(dim: S.Dimension, fold: bool) -> str:
+    code = present(dim.column)
+    if not fold:
+        return code
+    if dim.labels is None:
+        return f"cast(try_cast({code} AS bigint) AS double)"
+    return f"CASE WHEN {code} IN ({', '.join(f'{known}D' for known in dim.labels)}) THEN {code} END"
+
+
 def part(name: str, kind: str) -> str:
     """State column of one measure, quoted for SQL text."""
     return quoted(f"{name}__{kind}")

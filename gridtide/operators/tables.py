@@ -161,10 +161,13 @@ def years_to_columns(long: DataFrame, key: str) -> DataFrame:
 def country_rank_table(state: DataFrame, labels: Labels = None) -> DataFrame:
     """Countries by exposed population of the last year, largest first, sums rounded half to even.
 
-    Without any year column there are no rows. The window sees one aggregated row per country label,
-    so its single task stays small at any number of cells.
+    Years the input lacks show 0; without any year column there are no rows. The window sees one
+    aggregated row per country label, so its single task stays small at any number of cells.
     """
-    wide = years_to_columns(years_to_rows(country_year_table(state, labels), "Country"), "Country")
+    sums = _year_sums(state)
+    wide = country_year_table(state, labels) if sums else country_year_table(state.filter("false"), labels)
+    years = {y: f"coalesce(`{y}`, 0.0D)" if str(y) in sums else "0.0D" for y in S.YEARS}
+    wide = wide.selectExpr("Country", *(f"{text} AS `{y}`" for y, text in years.items()))
     rank = F.row_number().over(Window.orderBy(field(str(S.YEARS[-1])).desc(), F.col("Country")))
     ranked = wide.withColumn("Rank", rank)
     return ranked.selectExpr("Rank", "Country", *(f"bround(`{y}`, 0) AS `{y}`" for y in S.YEARS)).orderBy("Rank")
@@ -182,14 +185,17 @@ def income_year_table(state: DataFrame) -> DataFrame:
     return joined.selectExpr(f"{CATEGORY} AS Income", *years)
 
 
-def run_summary(state: DataFrame, flood: str | None = None) -> DataFrame:
-    """One row of counts. Needs a state over the codes made with ``keep_invalid``."""
+def run_summary(state: DataFrame, flood: str | None = None, total_rows: int | None = None) -> DataFrame:
+    """One row of counts, over a state that keeps its raw codes.
+
+    Without ``total_rows`` the state must also hold the cells of no valid age (``keep_invalid``).
+    """
 
     def distinct(column: str) -> str:
         return f"count(DISTINCT {column})" if column in state.columns else "0L"
 
     measures = {
-        "total_rows": f"coalesce(sum({CELLS}), 0L)",
+        "total_rows": f"coalesce(sum({CELLS}), 0L)" if total_rows is None else f"{total_rows}L",
         "valid_rows": f"coalesce(sum({CELLS}) FILTER (WHERE {S.AGE} IS NOT NULL), 0L)",
         "countries_count": distinct(S.COUNTRY.column),
         "continents_count": distinct(S.CONTINENT.column),

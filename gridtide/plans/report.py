@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
 from gridtide import schema as S
-from gridtide.functions.display import format_report_values
+from gridtide.functions.display import format_report_values, with_headers
 from gridtide.operators import tables as T
-from gridtide.operators.labels import Labels, dictionary
+from gridtide.operators.labels import Labels, dictionary, with_label
 from gridtide.operators.summary import summarise
 from gridtide.plans.work import written
 from gridtide.sources.binding import detect_flood_column
 from gridtide.sources.scan import scan_for_report
-from gridtide.sources.sinks import refuse_overlap, replace_on_success
+from gridtide.sources.sinks import refuse_overlap, staged
 
 
 class Sheet(NamedTuple):
@@ -43,6 +42,15 @@ SHEETS = (
     Sheet("D5. Exposure Ratio by Continent", "D5_ExpRatio_Continent", "Exposure ratio by continent and Built-up Age (includes All)"),
     Sheet("D6. Exposure Ratio by DevStatus", "D6_ExpRatio_DevStatus", "Exposure ratio by development status and Built-up Age (includes All)"),
 )
+# What the category column of these tables is called in display text.
+CATEGORY_HEADERS = {
+    "D3_ExpRatio_Country": "Country",
+    "D4_ExpRatio_Income": "Income Level",
+    "D5_ExpRatio_Continent": "Continent",
+    "D6_ExpRatio_DevStatus": "Development Status",
+}
+WHOLE_NUMBERS = {"D2_Exp_Country_Year", "Exposure_Income_Year"}
+DIMENSION_OF = {"DevStatus": S.DEVELOPMENT, "Income": S.INCOME, "Continent": S.CONTINENT, "Country": S.COUNTRY}
 OVERVIEW = "Overview"
 CATALOGUE = "Catalogue"
 INCOME_YEARS = "Exposure_Income_Year"
@@ -56,16 +64,25 @@ def report_state(
     *,
     exclude_zero: bool = True,
     environment: Sequence[str] = S.ENVIRONMENT,
+    keep_invalid: bool = False,
+    dims: Sequence[S.Dimension] = tuple(S.DIMENSIONS.values()),
+    totals: Sequence[str] = REPORT_TOTALS,
 ) -> DataFrame:
-    """Everything the report needs, grouped once by age and all four codes."""
+    """Everything the report needs, grouped once by age and all four codes.
+
+    Cells of no valid age are filtered in the scan; ``keep_invalid`` counts them instead, for inputs
+    that can be read only once. Fewer ``dims``, ``environment`` factors and ``totals`` make a smaller
+    state.
+    """
     return summarise(
         scan_for_report(cells, flood if flood in cells.columns else None, environment),
-        tuple(S.DIMENSIONS.values()),
+        dims,
         flood=flood,
         moments=environment,
-        totals=REPORT_TOTALS,
+        totals=totals,
         exclude_zero=exclude_zero,
-        keep_invalid=True,
+        keep_invalid=keep_invalid,
+        fold_codes=False,
     )
 
 
@@ -74,13 +91,16 @@ def report_tables(
     labels: Labels = None,
     flood: str | None = None,
     environment: Sequence[str] = S.ENVIRONMENT,
+    total_rows: int | None = None,
 ) -> dict[str, DataFrame]:
-    """All report tables from the state, by table name. Store the state before using several."""
-    by_suffix = {"DevStatus": S.DEVELOPMENT, "Income": S.INCOME, "Continent": S.CONTINENT, "Country": S.COUNTRY}
-    tables = {OVERVIEW: T.run_summary(state, flood)}
+    """All report tables from the state, by table name. Store the state before using several.
+
+    ``total_rows`` counts the input's rows where the state holds only those of valid age.
+    """
+    tables = {OVERVIEW: T.run_summary(state, flood, total_rows)}
     labels = dictionary(state.sparkSession, labels)
     for sheet in SHEETS:
-        dim = by_suffix.get(sheet.name.rsplit("_", 1)[1])
+        dim = DIMENSION_OF.get(sheet.name.rsplit("_", 1)[1])
         used = labels if dim is S.COUNTRY else None
         if sheet.name == "A_Area_Stats":
             table = T.area_table(state)
@@ -99,18 +119,52 @@ def report_tables(
     return tables
 
 
-def report_catalogue(tables: dict[str, DataFrame]) -> DataFrame:
-    """Section, table name, description and record count of the data tables."""
-    counts = [
-        tables[sheet.name].agg(F.count(F.lit(1)).alias("Records")).select(
-            F.lit(sheet.section).alias("Section"),
-            F.lit(sheet.name).alias("Sheet"),
-            F.lit(sheet.description).alias("Description"),
-            "Records",
+def report_catalogue(state: DataFrame, labels: Labels = None, environment: Sequence[str] = S.ENVIRONMENT) -> DataFrame:
+    """Section, table name, description and record count of the data tables.
+
+    The record counts follow from how many ages, labels and pairs of both the state holds, which one
+    pass over it counts for all tables.
+    """
+    have = set(state.columns)
+    rows = state.filter(f"{S.AGE} IS NOT NULL")
+    known = dictionary(state.sparkSession, labels)
+    counts = {"ages": F.countDistinct(S.AGE), "countries": F.lit(0)}
+    dims = [dim for dim in S.DIMENSIONS.values() if dim.column in have]
+    for dim in dims:
+        rows = with_label(rows, dim, known if dim is S.COUNTRY else None, f"__{dim.name}")
+        pair = F.when(F.col(f"__{dim.name}").isNotNull(), F.struct(f"__{dim.name}", S.AGE))
+        counts[dim.name] = F.countDistinct(pair) + F.countDistinct(S.AGE)
+        if dim is S.COUNTRY:
+            counts["countries"] = F.countDistinct(f"__{dim.name}")
+    exposed = f"{S.POPULATION}__sum" in have and f"{S.EXPOSED_POPULATION}__sum" in have
+    yearly = any(f"{S.exposure_column(year)}__sum" in have for year in S.YEARS)
+    measured = {"B": T.FLOODED in have, "C": any(f"{c}__m2" in have for c in environment), "D": exposed}
+
+    def records(sheet: Sheet) -> str:
+        dim = DIMENSION_OF.get(sheet.name.rsplit("_", 1)[1])
+        if sheet.name == "D2_Exp_Country_Year":
+            return "countries" if yearly and "countries" in counts else "none"
+        if sheet.name == "A_Area_Stats":
+            return S.DEVELOPMENT.name if S.DEVELOPMENT in dims else "ages"
+        if not measured[sheet.name[0]]:
+            return "none"
+        if dim is None:
+            return "ages"
+        return dim.name if dim in dims else "none"
+
+    found = rows.agg(F.lit(0).cast("bigint").alias("none"), *(c.cast("bigint").alias(name) for name, c in counts.items()))
+    listed = F.array(
+        *(
+            F.struct(
+                F.lit(sheet.section).alias("Section"),
+                F.lit(sheet.name).alias("Sheet"),
+                F.lit(sheet.description).alias("Description"),
+                F.col(records(sheet)).alias("Records"),
+            )
+            for sheet in SHEETS
         )
-        for sheet in SHEETS
-    ]
-    return reduce(DataFrame.unionByName, counts).orderBy("Sheet")
+    )
+    return found.select(F.inline(listed)).orderBy("Sheet")
 
 
 def build_report(
@@ -131,17 +185,31 @@ def build_report(
     elif flood not in cells.columns:
         flood = None
     state = written(report_state(cells, flood, exclude_zero=exclude_zero, environment=environment))
-    tables = report_tables(state, labels, flood, environment)
-    tables[CATALOGUE] = report_catalogue(tables)
+    # Counting reads no column. The state itself reads only cells of valid age.
+    tables = report_tables(state, labels, flood, environment, cells.count())
+    tables[CATALOGUE] = report_catalogue(state, labels, environment)
     return tables
 
 
 def write_report(tables: dict[str, DataFrame], output: str, inputs: list[str], *, csv: bool = False) -> list[str]:
-    """One Parquet folder per table below ``output``, and with ``csv`` its display text beside it."""
-    refuse_overlap(output, inputs)
-    for name, table in tables.items():
-        replace_on_success(table.sparkSession, table.write, f"{output}/{name}")
-        if csv:
-            text = format_report_values(table).write.option("header", True)
-            replace_on_success(table.sparkSession, text, f"{output}/{name}_csv", "csv")
+    """One Parquet folder per table below ``output``, and with ``csv`` its display text beside it.
+
+    The whole report is put in place at once: until then an old report stays as it is.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    refuse_overlap(spark, output, inputs)
+
+    def write(folder: str) -> None:
+        for name, table in tables.items():
+            table.write.parquet(f"{folder}/{name}")
+            if csv:
+                stored = spark.read.schema(table.schema).parquet(f"{folder}/{name}")
+                display_text(name, stored).write.option("header", True).csv(f"{folder}/{name}_csv")
+
+    staged(spark, output, write)
     return list(tables)
+
+
+def display_text(name: str, table: DataFrame) -> DataFrame:
+    """A report table as its readers see it: formatted values under display headers."""
+    return with_headers(format_report_values(table, name in WHOLE_NUMBERS), CATEGORY_HEADERS.get(name, "Category"))

@@ -8,7 +8,7 @@ from gridtide import schema as S
 from gridtide.functions.columns import field, number
 from gridtide.functions.hazard import Mapping, ead, risk_index
 from gridtide.operators.fields import put_columns
-from gridtide.sources.binding import bind_return_periods, require_columns, validate_mapping
+from gridtide.sources.binding import bind_return_periods, require_columns, validate_mapping, validate_periods
 from gridtide.sources.scan import scan_grid
 from gridtide.sources.sinks import write_risk
 
@@ -16,8 +16,7 @@ from gridtide.sources.sinks import write_risk
 def with_ead(cells: DataFrame, mapping: Mapping | None = None) -> DataFrame:
     """Add ``Hazard_Index_EAD``. Without a mapping the columns are bound by their names."""
     mapping = bind_return_periods(cells.columns) if mapping is None else mapping
-    require_columns(cells.columns, [name for _, name in mapping])
-    return put_columns(cells, {S.HAZARD_EAD: ead(mapping)})
+    return put_columns(cells, {S.HAZARD_EAD: ead(validate_periods(mapping, cells.columns))})
 
 
 def with_risk(

@@ -2,26 +2,49 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridtide.sources import storage
+
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, which a cluster sets to shared storage.
+def _base(spark: SparkSession) -> str:
+    """The session's folder below ``spark.checkpoint.dir``, which a cluster sets to shared storage.
 
-    Where it is unset, a temporary folder stands in, but only in local mode: executors on other
-    machines could not see it.
+    Where it is unset, as in a test, a local session gets a folder of its own until Python ends. A
+    cluster session does not: its executors could not see it.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
-    if base:
-        return f"{base.rstrip('/')}/gridtide-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"Set {CHECKPOINT_DIR} to a shared folder")
-    return tempfile.mkdtemp(prefix="run-")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"Set {CHECKPOINT_DIR} to a shared folder")
+        base = _own_folder()
+    return f"{base.rstrip('/')}/gridtide-{spark.sparkContext.applicationId}"
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    import atexit
+
+    folder = tempfile.mkdtemp(prefix="run-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder name in the session's work folder."""
+    return f"{_base(spark)}/{uuid.uuid4().hex}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete all that this session has stored. Frames over it can no longer be read."""
+    storage.delete(spark, _base(spark))
 
 
 def written(frame: DataFrame) -> DataFrame:

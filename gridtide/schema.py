@@ -35,6 +35,7 @@ CONTINENT_LABELS = {
     15: "Oceania",
     17: "Seven Seas",
 }
+# The prefix of unnamed countries, and parts of column names that suggest a flood flag.
 COUNTRY_FALLBACK_PREFIX = "Country_"
 FLOOD_NAME_HINTS = ("flood", "inundat", "water", "submer")
 

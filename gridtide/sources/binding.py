@@ -37,12 +37,7 @@ def bind_return_periods(
     return bound
 
 
-def validate_mapping(
-    rows: Iterable[tuple[object, str | None]],
-    available: Iterable[str],
-    exposure: str | None,
-    vulnerability: str | None,
-) -> list[tuple[float, str]]:
+def validate_periods(rows: Iterable[tuple[object, str | None]], available: Iterable[str]) -> list[tuple[float, str]]:
     """Check user-entered (return period, column) rows; rows with a blank side are skipped."""
     have = set(available)
     mapping = []
@@ -65,6 +60,18 @@ def validate_mapping(
     names = [name for _, name in mapping]
     if len(names) != len(set(names)):
         raise ValueError("Duplicate column selections in the mapping")
+    return mapping
+
+
+def validate_mapping(
+    rows: Iterable[tuple[object, str | None]],
+    available: Iterable[str],
+    exposure: str | None,
+    vulnerability: str | None,
+) -> list[tuple[float, str]]:
+    """Check the (return period, column) rows and the other two columns of the risk index."""
+    have = set(available)
+    mapping = validate_periods(rows, have)
     for role, name in (("exposure", exposure), ("vulnerability", vulnerability)):
         if not name:
             raise ValueError(f"Select the {role} column")

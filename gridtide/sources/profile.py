@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
 from gridtide.functions.columns import field
@@ -15,59 +14,48 @@ CHUNK_ROWS = 500_000
 
 def dataset_profile(cells: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """One row: rows, columns, numeric columns and how many chunks of ``chunk_rows`` that makes."""
-    numeric = sum(isinstance(f.dataType, NumericType) for f in cells.schema)
     rows = F.count(F.lit(1))
     return cells.agg(
         rows.alias("row_count"),
-        F.lit(len(cells.columns)).cast("bigint").alias("column_count"),
-        F.lit(numeric).cast("bigint").alias("numeric_column_count"),
+        *_shape(cells),
         F.ceil(rows / F.lit(chunk_rows)).alias("estimated_chunks"),
     )
 
 
-def file_profile(spark: SparkSession, path: str) -> DataFrame:
-    """One row: files, bytes, GB, rows and row groups, from the Parquet footers alone.
+def file_profile(cells: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``dataset_profile`` and files, bytes and GB, for a frame that scans files.
 
-    The file list comes from Spark's own listing; executors open the footers, never the data.
+    Spark names each row's file and its size, so this works on any storage that Spark reads, and no
+    data column is read. A file counts if it holds rows.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.parquet")
-        .load(path)
-        .select("path", "length")
-    )
-    footers = files.mapInPandas(_read_footers, "bytes bigint, row_count bigint, row_groups bigint")
-    return footers.agg(
+    files = cells.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
+    size = F.coalesce(F.sum("bytes"), F.lit(0))
+    rows = F.coalesce(F.sum("rows"), F.lit(0))
+    return files.agg(F.count(F.lit(1)).alias("rows")).agg(
         F.count(F.lit(1)).alias("file_count"),
-        F.coalesce(F.sum("bytes"), F.lit(0)).alias("size_bytes"),
-        (F.coalesce(F.sum("bytes"), F.lit(0)) / F.lit(float(1024**3))).alias("size_gb"),
-        F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"),
-        F.coalesce(F.sum("row_groups"), F.lit(0)).alias("row_groups"),
+        size.alias("size_bytes"),
+        (size / F.lit(float(1024**3))).alias("size_gb"),
+        rows.alias("row_count"),
+        *_shape(cells),
+        F.ceil(rows / F.lit(chunk_rows)).alias("estimated_chunks"),
     )
 
 
-def _read_footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs, parquet
-
-    for batch in batches:
-        found = []
-        for path, length in zip(batch["path"], batch["length"]):
-            if path.startswith("file:"):
-                store, name = fs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
-            else:
-                store, name = fs.FileSystem.from_uri(path)
-            with store.open_input_file(name) as handle:
-                footer = parquet.read_metadata(handle)
-            found.append((length, footer.num_rows, footer.num_row_groups))
-        yield pd.DataFrame(found, columns=["bytes", "row_count", "row_groups"])
+def _shape(cells: DataFrame) -> list[Column]:
+    numeric = sum(isinstance(f.dataType, NumericType) for f in cells.schema)
+    return [
+        F.lit(len(cells.columns)).cast("bigint").alias("column_count"),
+        F.lit(numeric).cast("bigint").alias("numeric_column_count"),
+    ]
 
 
-def field_profile(cells: DataFrame, samples: int = 3) -> DataFrame:
+def field_profile(cells: DataFrame, samples: int = 3, names: Sequence[str] | None = None) -> DataFrame:
     """One row per field: position, name, type, numeric or not, null count and first values as text.
 
-    All null counts come from one aggregate over the data; the samples from one small limit.
+    All null counts come from one scan of the fields, or of ``names`` only; the samples from one
+    small limit.
     """
-    fields = list(enumerate(cells.schema))
+    fields = [(i, f) for i, f in enumerate(cells.schema) if names is None or f.name in names]
     counted = cells.agg(
         F.array(
             *(

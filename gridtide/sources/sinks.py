@@ -2,32 +2,22 @@
 
 from __future__ import annotations
 
-import os
 import posixpath
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
-ROW_GROUP_BYTES = 256 * 1024 * 1024
-
+from gridtide.sources import storage
 
-def canonical_path(path: str) -> str:
-    """Absolute form of a path, with symbolic links of local paths resolved."""
-    scheme, sep, rest = path.partition(":")
-    if sep and scheme == "file":
-        path = "/" + rest.lstrip("/")
-    elif sep and "/" not in scheme:
-        return path.rstrip("/")
-    return os.path.realpath(path)
+ROW_GROUP_BYTES = 256 * 1024 * 1024
 
 
-def refuse_overlap(output: str, inputs: Iterable[str]) -> None:
+def refuse_overlap(spark: SparkSession, output: str, inputs: Iterable[str]) -> None:
     """Writing onto, into or around a path that the same plan reads would destroy the input."""
-    target = canonical_path(output)
+    target = storage.resolve(spark, output)
     for source in inputs:
-        origin = canonical_path(source)
-        if target == origin or target.startswith(origin + "/") or origin.startswith(target + "/"):
+        if target.overlaps(storage.resolve(spark, source)):
             raise ValueError(f"Output {output} overlaps input {source}")
 
 
@@ -38,7 +28,7 @@ def default_field_output(input_path: str) -> str:
 
 def write_fields(cells: DataFrame, output: str, inputs: Iterable[str]) -> None:
     """Save an edited table: zstd level 3, large row groups."""
-    refuse_overlap(output, inputs)
+    refuse_overlap(cells.sparkSession, output, inputs)
     writer = (
         cells.write.option("compression", "zstd")
         .option("parquet.compression.codec.zstd.level", "3")
@@ -49,7 +39,7 @@ def write_fields(cells: DataFrame, output: str, inputs: Iterable[str]) -> None:
 
 def write_risk(cells: DataFrame, output: str, inputs: Iterable[str]) -> None:
     """Save the EAD and risk table with snappy; an empty input leaves an empty table with its schema."""
-    refuse_overlap(output, inputs)
+    refuse_overlap(cells.sparkSession, output, inputs)
     replace_on_success(cells.sparkSession, cells.write.option("compression", "snappy"), output)
 
 
@@ -60,12 +50,33 @@ def replace_on_success(
 
     A plain overwrite deletes the old table before the job starts, so a failed job would lose it.
     """
+    staged(spark, output, lambda path: writer.mode("errorifexists").format(source).save(path))
+
+
+def staged(spark: SparkSession, output: str, write: Callable[[str], None]) -> None:
+    """Let ``write`` fill a hidden folder beside the output, then put it in the output's place.
+
+    The old output is moved aside first and deleted last, so that at any time one of the two is
+    whole. A failed write leaves nothing behind and the old output as it was.
+    """
     target = output.rstrip("/")
-    staging = f"{target}.tmp-{uuid.uuid4().hex}"
-    writer.mode("errorifexists").format(source).save(staging)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(path(target)):
-        fs.delete(path(target), True)
-    if not fs.rename(path(staging), path(target)):
-        raise OSError(f"Could not move {staging} to {target}")
+    folder, name = posixpath.split(target)
+    mark = uuid.uuid4().hex
+    # Spark's scans of the parent folder skip names that start with an underscore.
+    new, old = (posixpath.join(folder, f"_{name}.{kind}-{mark}") for kind in ("new", "old"))
+    try:
+        write(new)
+    except BaseException:
+        storage.delete(spark, new)
+        raise
+    if not storage.exists(spark, target):
+        storage.move(spark, new, target)
+        return
+    storage.move(spark, target, old)
+    try:
+        storage.move(spark, new, target)
+    except BaseException:
+        storage.move(spark, old, target)
+        storage.delete(spark, new)
+        raise
+    storage.delete(spark, old)

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from py4j.java_gateway import JavaObject
+import time
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from gridtide import schema as S
 from gridtide.functions.hazard import Mapping
-from gridtide.plans.report import report_state
+from gridtide.plans.report import REPORT_TOTALS, report_state
 from gridtide.plans.risk import risk_output
+from gridtide.sources import storage
+from gridtide.sources.binding import detect_flood_column
 
 BATCH = "batch="
-KEPT_BATCHES = 3
+# Superseded states are deleted beyond this number, but none before it is this old, so that whoever
+# reads a state has that long to finish.
+KEPT_BATCHES, GRACE_SECONDS = 3, 24 * 3600
 
 
 def read_arriving(
@@ -25,10 +32,17 @@ def read_arriving(
     return reader.parquet(path)
 
 
-def stream_risk(cells: DataFrame, output: str, checkpoint: str, mapping: Mapping | None = None) -> StreamingQuery:
+def stream_risk(
+    cells: DataFrame,
+    output: str,
+    checkpoint: str,
+    mapping: Mapping | None = None,
+    exposure: str = S.EXPOSURE,
+    vulnerability: str = S.VULNERABILITY,
+) -> StreamingQuery:
     """Append EAD and risk for every new file; exactly once through the sink's log and checkpoint."""
     return (
-        risk_output(cells, mapping)
+        risk_output(cells, mapping, exposure, vulnerability)
         .writeStream.format("parquet")
         .outputMode("append")
         .option("path", output)
@@ -39,24 +53,39 @@ def stream_risk(cells: DataFrame, output: str, checkpoint: str, mapping: Mapping
 
 
 def stream_report_state(
-    cells: DataFrame, output: str, checkpoint: str, flood: str | None = None
+    cells: DataFrame,
+    output: str,
+    checkpoint: str,
+    flood: str | None = "auto",
+    *,
+    exclude_zero: bool = True,
+    environment: Sequence[str] = S.ENVIRONMENT,
+    dims: Sequence[S.Dimension] = tuple(S.DIMENSIONS.values()),
+    totals: Sequence[str] = REPORT_TOTALS,
+    kept_batches: int = KEPT_BATCHES,
+    grace_seconds: float = GRACE_SECONDS,
 ) -> StreamingQuery:
-    """Keep the report state running over all files so far.
+    """Keep the report state running over all files so far; options as for the batch report.
 
     The streaming state is the small (age, codes) aggregate, bounded by the number of code
-    combinations, so it needs no watermark. Each batch writes it whole under its batch number, a
-    replayed batch overwrites the same folder, and only the last few batches are kept.
+    combinations, so it needs no watermark. Each batch writes it whole under its batch number, and a
+    replayed batch overwrites the same folder.
     """
+    if flood == "auto":
+        flood = detect_flood_column(cells.columns)
 
     def store(state: DataFrame, batch: int) -> None:
         state.write.mode("overwrite").parquet(f"{output}/{BATCH}{batch:012d}")
-        fs, finished = _finished_batches(cells.sparkSession, output)
-        for old in finished[:-KEPT_BATCHES]:
-            fs.delete(old, True)
+        finished = _finished_batches(cells.sparkSession, output)
+        for old, written_at in finished[: max(0, len(finished) - kept_batches)]:
+            if time.time() - written_at >= grace_seconds:
+                storage.delete(cells.sparkSession, old)
 
+    state = report_state(
+        cells, flood, exclude_zero=exclude_zero, environment=environment, keep_invalid=True, dims=dims, totals=totals
+    )
     return (
-        report_state(cells, flood)
-        .writeStream.outputMode("complete")
+        state.writeStream.outputMode("complete")
         .foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -64,25 +93,27 @@ def stream_report_state(
     )
 
 
-def _finished_batches(spark: SparkSession, output: str) -> tuple[JavaObject, list[JavaObject]]:
-    """The file system and the folders of completely written batches, oldest first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(output).getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [s.getPath() for s in (fs.listStatus(path(output)) if fs.exists(path(output)) else [])]
-    done = [p for p in found if p.getName().startswith(BATCH) and fs.exists(path(p, "_SUCCESS"))]
-    return fs, sorted(done, key=lambda p: p.getName())
+def _finished_batches(spark: SparkSession, output: str) -> list[tuple[str, float]]:
+    """Folders of completely written batches with their time of writing, oldest first."""
+    found = [(path, at) for path, at in storage.children(spark, output) if path.rsplit("/", 1)[1].startswith(BATCH)]
+    return sorted((path, at) for path, at in found if storage.exists(spark, f"{path}/_SUCCESS"))
 
 
 def latest_report_state(spark: SparkSession, output: str) -> DataFrame:
-    """The state of the last batch, ready for the report tables."""
-    _, finished = _finished_batches(spark, output)
+    """The state of the last batch, ready for the report tables.
+
+    The frame reads its folder lazily. A running stream keeps that folder for ``grace_seconds``.
+    """
+    finished = _finished_batches(spark, output)
     if not finished:
         raise FileNotFoundError(f"No finished batch below {output}")
-    return spark.read.parquet(finished[-1].toString())
+    return spark.read.parquet(finished[-1][0])
 
 
-def finish(query: StreamingQuery, timeout: int) -> None:
+def finish(query: StreamingQuery, timeout: float | None = None) -> None:
     """Wait for an available-now query to take everything there is; raise if it fails or is late."""
-    if not query.awaitTermination(timeout):
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"Stream did not finish within {timeout} s")

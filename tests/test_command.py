@@ -4,12 +4,14 @@ from gridtide import schema as S
 from gridtide.__main__ import run
 from tests.grid import make_cells
 from tests.test_risk import make_input
+from gridtide.streaming.incremental import latest_report_state
+from tests.grid import make_cells
 
 
 def test_profile(spark, folder, capsys):
     spark.range(7).write.parquet(f"{folder}/in")
     run(spark, ["profile", f"{folder}/in"])
-    assert "row_groups" in capsys.readouterr().out
+    assert "size_gb" in capsys.readouterr().out
 
 
 def test_fields(spark, folder):
@@ -34,3 +36,21 @@ def test_report(spark, folder):
     names = {r["Country"] for r in spark.read.parquet(f"{folder}/out/D2_Exp_Country_Year").collect()}
     assert {"China", "Country_100"} <= names
     assert spark.read.csv(f"{folder}/out/Overview_csv", header=True).count() == 1
+
+
+def test_fields_options(spark, folder, capsys):
+    spark.range(3).selectExpr("id AS b", "'t' AS A", "1.5D AS c").write.parquet(f"{folder}/in")
+    run(spark, ["fields", f"{folder}/in", f"{folder}/out", "--add", "d=Int32:7", "--by-type", "--move", "A=top"])
+    out = spark.read.parquet(f"{folder}/out")
+    assert out.columns == ["A", "b", "c", "d"] and out.dtypes[3] == ("d", "int")
+    run(spark, ["fields", f"{folder}/in", f"{folder}/out", "--add", "e=String", "--az"])
+    assert spark.read.parquet(f"{folder}/out").columns == ["A", "b", "c", "e"]
+    run(spark, ["preview", f"{folder}/in", "--rows", "2", "--order-by", "b"])
+    assert "|0  |t  |1.5|" in capsys.readouterr().out
+
+
+def test_stream_command(spark, folder):
+    cells = spark.createDataFrame(make_cells(60))
+    cells.write.parquet(f"{folder}/in")
+    run(spark, ["stream", "report", f"{folder}/in", f"{folder}/state", f"{folder}/c", "--keep-zeros"])
+    assert latest_report_state(spark, f"{folder}/state").count() > 0

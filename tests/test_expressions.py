@@ -24,7 +24,7 @@ def same(a, b):
 
 def evaluate(spark, text, rows, schema="a double, b double"):
     frame = spark.createDataFrame(rows, schema)
-    return [r[0] for r in frame.select(compile_expression(text, frame.schema)).collect()]
+    return [r[0] for r in derive_field(frame, "r", text).select("r").collect()]
 
 
 def ieee_divide(a, b):
@@ -188,7 +188,9 @@ def evaluate_python(text, a, b):
 @given(st.lists(trees, min_size=6, max_size=12), st.floats(0.5, 3), st.floats(-3, -0.5))
 def test_compiler_against_python(spark, texts, a, b):
     frame = spark.createDataFrame([(a, b)], "a double, b double")
-    row = frame.select(*(compile_expression(t, frame.schema).alias(f"r{i}") for i, t in enumerate(texts))).first()
+    for i, text in enumerate(texts):
+        frame = derive_field(frame, f"r{i}", text)
+    row = frame.select(*(f"r{i}" for i in range(len(texts)))).first()
     for text, value in zip(texts, row):
         try:
             wanted = evaluate_python(text, a, b)
@@ -196,3 +198,32 @@ def test_compiler_against_python(spark, texts, a, b):
             continue
         if math.isfinite(wanted) and abs(wanted) < 1e12:
             assert math.isclose(value, wanted, rel_tol=1e-9, abs_tol=1e-9) or "floor" in text or "ceil" in text, (text, value, wanted)
+
+
+def nested(kind, depth):
+    text = "[a]"
+    for level in range(depth):
+        text = {"/": f"({text}) / ([b] + {level + 1})", "%": f"({text}) % ([b] + {level + 2})", "^": f"({text}) ^ (1 + [b] * 0.1)"}.get(kind, f"{kind}({text} * 1.5 + {level + 1})")
+    return text
+
+
+@pytest.mark.parametrize("kind", ["/", "%", "^", "round", "floor", "ceil", "log", "log10"])
+def test_nested_expressions_grow_with_their_length(spark, kind):
+    frame = spark.createDataFrame([(7.5, 2.0), (3.0, 0.5)], "a double, b double")
+    sizes = []
+    for depth in (8, 16):
+        derived = derive_field(frame, "r", nested(kind, depth))
+        assert derived.columns == ["a", "b", "r"]
+        sizes.append(len(derived._jdf.queryExecution().optimizedPlan().toString()))
+        assert len(derived.collect()) == 2
+    assert sizes[1] < 3 * sizes[0]
+
+
+def test_huge_constants_are_expression_errors(spark):
+    with pytest.raises(ExpressionError):
+        compile_expression("[a] + " + "9" * 400, spark.createDataFrame([(1.0,)], "a double").schema)
+
+
+def test_intermediate_names_do_not_clash(spark):
+    frame = spark.createDataFrame([(7.0, 2.0)], "step0 double, Step_1 double")
+    assert derive_field(frame, "r", "([step0] + 1) % ([Step_1] + 1)").first()["r"] == 2.0

@@ -36,3 +36,10 @@ def test_saved_parts_merge_later(spark, folder):
         moment_sums(frame, ["g"], ["x"]).write.parquet(f"{folder}/batch={batch}")
     row = merge_moment_sums(spark.read.parquet(folder), ["g"], ["x"]).first()
     assert (row["x_Mean"], row["x_n"], row["x_Min"], row["x_Max"]) == (15.0, 29, 1.0, 29.0)
+
+
+def test_large_offsets_keep_their_deviation(spark):
+    values = [1e9 + v for v in (0.0, 0.25, 0.5, 0.75)]
+    frame = spark.createDataFrame([("k", i % 2, v) for i, v in enumerate(values)], "g string, batch int, x double")
+    row = merge_moment_sums(moment_sums(frame, ["g", "batch"], ["x"]), ["g"], ["x"]).first()
+    assert row["x_Std"] == pytest.approx(math.sqrt(0.078125), rel=1e-6)

@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from acceptance.oracle import all_oracles
+from acceptance.queries import all_queries
 from tests.conftest import TESTDATA
 from tools.compare import connect, difference, duckdb_rows, spark_rows
 
-ORACLES = entry.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -14,19 +16,17 @@ def db():
     return connect(TESTDATA)
 
 
-def test_only_footer_statistics_lack_sql():
-    assert set(entry.queries()) - set(ORACLES) == {"file_profile"}
-    assert set(ORACLES) <= set(entry.queries())
+def test_every_query_has_sql_and_is_registered():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 30
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
-    found = spark_rows(entry.queries()[name](spark, TESTDATA))
-    if name in ORACLES:
-        assert difference(found, duckdb_rows(db, ORACLES[name])) is None
-    else:
-        assert found[1]
+    found = spark_rows(QUERIES[name](spark, TESTDATA))
+    assert found[1]
+    assert difference(found, duckdb_rows(db, ORACLES[name])) is None

@@ -1,4 +1,7 @@
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
 from gridtide import schema as S
 from gridtide.functions.display import format_report_values
@@ -63,11 +66,32 @@ def test_write_report(spark, tables, folder):
     for name in ("C1_Env_DevStatus", R.CATALOGUE, R.INCOME_YEARS):
         same_rows(spark.read.parquet(f"{folder}/out/{name}").orderBy(*tables[name].columns[:2]), tables[name].orderBy(*tables[name].columns[:2]))
     text = spark.read.option("header", True).csv(f"{folder}/out/C1_Env_DevStatus_csv")
-    assert text.count() == tables["C1_Env_DevStatus"].count() and text.filter("Slope_Mean = 'N/A'").count() > 0
+    assert text.count() == tables["C1_Env_DevStatus"].count() and text.filter("`Slope Mean` = 'N/A'").count() > 0
+    assert text.columns[:4] == ["Category", "Built-up Age", "Slope Mean", "Slope Std"] and "River Dist SE" in text.columns
+    years = spark.read.option("header", True).csv(f"{folder}/out/D2_Exp_Country_Year_csv")
+    assert all("." not in row["2025"] for row in years.collect())
+    assert "Income Level" in spark.read.option("header", True).csv(f"{folder}/out/D4_ExpRatio_Income_csv").columns
+    assert os.listdir(folder) == ["out"]
     with pytest.raises(ValueError, match="overlaps"):
         R.write_report(tables, folder, [f"{folder}/in"])
 
 
+def test_a_report_that_fails_leaves_the_old_one_whole(spark, tables, folder):
+    R.write_report({"A": spark.range(3).toDF("x")}, f"{folder}/out", [])
+    bad = spark.range(3).select(F.raise_error(F.lit("boom")).cast("string").alias("x"))
+    with pytest.raises(Exception, match="boom"):
+        R.write_report({"A": spark.range(9).toDF("x"), "B": bad}, f"{folder}/out", [], csv=True)
+    assert os.listdir(folder) == ["out"] and spark.read.parquet(f"{folder}/out/A").count() == 3
+
+
+def test_report_scan_is_pushed_and_the_catalogue_is_one_pass(spark, cells, folder):
+    cells.write.parquet(f"{folder}/grid")
+    state = R.report_state(spark.read.parquet(f"{folder}/grid"), FLOOD)
+    assert "In(Built_Up_Age" in state._jdf.queryExecution().executedPlan().toString()
+    plan = R.report_catalogue(written(state), COUNTRIES)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") + plan.count("FileScan parquet") <= 2
+
+
 def test_display(spark):
     values = [None, float("nan"), 1234567.6, -2.5e6, 1.23e-5, 0.0, 0.12345678, 1234.5, 999999.4]
     frame = spark.createDataFrame([(i, v, "t") for i, v in enumerate(values)], "i int, v double, s string")

@@ -60,8 +60,13 @@ def test_mapping_order_and_short_periods(spark):
     mapping = [(100.0, "a"), (0.5, "b"), (10.0, "c")]
     row = with_ead(frame, mapping).first()
     assert row[S.HAZARD_EAD] == pytest.approx(trapezoid([0.9, 0.1, 0.4], [100, 0.5, 10]), abs=1e-6)
-    with pytest.raises(ValueError, match="Missing"):
+    with pytest.raises(ValueError, match="does not exist"):
         with_ead(frame, [(10.0, "a"), (20.0, "zz")])
+    for bad in ([], [(10.0, "a")], [(0.0, "a"), (10.0, "b")], [(5.0, "a"), (10.0, "a")]):
+        with pytest.raises(ValueError):
+            with_ead(frame, bad)
+    with pytest.raises(ValueError, match="At least 2"):
+        with_ead(frame)
 
 
 def test_risk_missing_and_clip(spark):

@@ -23,7 +23,7 @@ def test_report_state_follows_arriving_files(spark, folder):
         cells = I.read_arriving(spark, source, schema, files_per_batch=2)
         I.finish(I.stream_report_state(cells, state, checkpoint, FLOOD), 300)
         found = I.latest_report_state(spark, state)
-        wanted = report_state(spark.createDataFrame(data[:stop], schema), FLOOD)
+        wanted = report_state(spark.createDataFrame(data[:stop], schema), FLOOD, keep_invalid=True)
         assert T.run_summary(found, FLOOD).collect() == T.run_summary(wanted, FLOOD).collect()
         for dim in S.DIMENSIONS.values():
             labels = COUNTRIES if dim is S.COUNTRY else None
@@ -36,10 +36,13 @@ def test_old_batches_are_dropped(spark, folder):
     schema = spark.createDataFrame(data).schema
     spark.createDataFrame(data, schema).repartition(6).write.parquet(f"{folder}/in")
     cells = I.read_arriving(spark, f"{folder}/in", schema, files_per_batch=1)
-    I.finish(I.stream_report_state(cells, f"{folder}/state", f"{folder}/checkpoint", FLOOD), 300)
-    _, kept = I._finished_batches(spark, f"{folder}/state")
-    assert len(kept) == I.KEPT_BATCHES
-    assert T.run_summary(I.latest_report_state(spark, f"{folder}/state")).first()["total_rows"] == 50
+    for state, grace, left in (("now", 0, 2), ("later", 3600, 6)):
+        query = I.stream_report_state(
+            cells, f"{folder}/{state}", f"{folder}/c_{state}", FLOOD, kept_batches=2, grace_seconds=grace
+        )
+        I.finish(query)
+        assert len(I._finished_batches(spark, f"{folder}/{state}")) == left
+    assert T.run_summary(I.latest_report_state(spark, f"{folder}/now")).first()["total_rows"] == 50
 
 
 def test_risk_of_arriving_files_is_written_once(spark, folder):
