@@ -9,7 +9,9 @@ with a smaller doc_id. Levels have lengths that double up to the asked one (13:
   window can repeat only if its minimizer does, hence no repeat is lost.
 - Windows met by one document only are dropped. The rest are the marks of the next level, which looks
   only at windows whose minimizer is marked. When no mark is left, the levels end.
-- At the last level each candidate window goes with its document to the smallest doc_id that has it.
+- At the asked length each candidate window goes with its document to the smallest doc_id that has it.
+- ``longest_repeats`` goes on from there: two repeated windows side by side are a candidate of twice
+  the length, until no candidate survives.
 
 Documents with equal word sequences are one document here, the copy with the smallest doc_id; the
 other copies are removed whole (if they hold a window at all). Before any shuffle each task combines:
@@ -74,7 +76,7 @@ class _Anchors:
         """Rows to send (hash, content, place), and per owner the places known to repeat."""
         contents = np.array(self.content, dtype=np.uint64)
         sure: list[list[int]] = [[] for _ in contents]
-        if not contents.size:
+        if not sum(map(len, self.hash)):
             empty = np.empty(0, dtype=np.uint64)
             return empty, empty, np.empty(0, dtype=np.int64), sure
         value, owner, place = map(np.concatenate, (self.hash, self.owner, self.place))
@@ -82,9 +84,9 @@ class _Anchors:
         value, owner, place = value[order], owner[order], place[order]
         first = np.concatenate(([True], value[1:] != value[:-1]))
         group = np.cumsum(first) - 1
-        shared = np.zeros(group[-1] + 1 if len(group) else 0, dtype=bool)
+        shared = np.zeros(group[-1] + 1, dtype=bool)
         shared[group[1:][(group[1:] == group[:-1]) & (owner[1:] != owner[:-1])]] = True
-        known = shared[group] if len(group) else np.empty(0, dtype=bool)
+        known = shared[group]
         by_owner = np.argsort(owner[known], kind="stable")
         owners, places = owner[known][by_owner], place[known][by_owner]
         ends = np.searchsorted(owners, np.arange(len(contents) + 1))
@@ -281,17 +283,7 @@ def remove_repeats(
     empty where none does, so that unchanged texts are not moved. ``spans`` likewise.
     """
     lengths = levels(window)
-    docs = pick(docs, doc_id=id_col, text=text_col)
-    found = written(_repeated(_first_level(docs, lengths)))
-    facts = found.filter("at IS NULL").select("doc_id", "content", "n_words", "sha")
-    least = written(facts.filter("doc_id IS NOT NULL").groupBy("content").agg(F.min("doc_id").alias("least")))
-    marks = _marks(found).join(least, "content").select(F.col("least").alias("doc_id"), "content", "marks")
-    marked = written(docs.join(marks, "doc_id").select("doc_id", "content", "marks", "text"))
-    for level in range(1, len(lengths) - 1):
-        if marked.isEmpty():
-            break
-        more = _marks(_repeated(_next_level(marked, lengths, level)))
-        marked = written(marked.drop("marks").join(more, "content").select("doc_id", "content", "marks", "text"))
+    facts, least, marked = _up_to_last(pick(docs, doc_id=id_col, text=text_col), lengths)
     rows = _last_level(marked, lengths)
     least_here = F.expr("min(doc_id) OVER (PARTITION BY key, second)")
     later = rows.withColumn("least", least_here).filter("sure OR doc_id > least")
@@ -314,6 +306,82 @@ def remove_repeats(
     )
 
 
+def _up_to_last(docs: DataFrame, lengths: list[int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Facts of every document, the smallest doc_id of every content, and the documents marked at the
+    level before the last with their texts."""
+    found = written(_repeated(_first_level(docs, lengths)))
+    facts = found.filter("at IS NULL").select("doc_id", "content", "n_words", "sha")
+    least = written(facts.filter("doc_id IS NOT NULL").groupBy("content").agg(F.min("doc_id").alias("least")))
+    marks = _marks(found).join(least, "content").select(F.col("least").alias("doc_id"), "content", "marks")
+    marked = written(docs.join(marks, "doc_id").select("doc_id", "content", "marks", "text"))
+    for level in range(1, len(lengths) - 1):
+        if marked.isEmpty():
+            break
+        marked = _remarked(marked, _next_level(marked, lengths, level))
+    return facts, least, marked
+
+
+def _remarked(marked: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents with the marks of the next level; those without any are gone."""
+    more = _marks(_repeated(rows))
+    return written(marked.drop("marks").join(more, "content").select("doc_id", "content", "marks", "text"))
+
+
+def longest_repeats(
+    docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """doc_id, n_words and ``longest``: the largest of window, 2 window, 4 window ... such that a run of
+    so many words also stands in a document of other words, 0 where not even ``window`` words do.
+
+    Rows without a doc_id take part only as copies of others. Windows are compared by 64-bit hashes.
+    """
+    lengths = levels(window)
+    facts, _, marked = _up_to_last(pick(docs, doc_id=id_col, text=text_col), lengths)
+    level, reached = len(lengths) - 1, []
+    while True:
+        marked = _remarked(marked, _whole_level(marked, lengths, level, doubled=bool(reached)))
+        if marked.isEmpty():
+            break
+        reached.append(marked.select("content", F.lit(lengths[level]).alias("longest")))
+        lengths.append(2 * lengths[level])
+        level += 1
+    every = facts.select("content", F.lit(0).alias("longest"))
+    for part in reached:
+        every = every.union(part)
+    longest = every.groupBy("content").agg(F.max("longest").alias("longest"))
+    return facts.join(longest, "content").select("doc_id", "n_words", "longest")
+
+
+def _whole_level(marked: DataFrame, lengths: list[int], level: int, doubled: bool) -> DataFrame:
+    """All candidate windows of a level. ``doubled``: marks are all repeated windows of half the length."""
+    length = lengths[level]
+
+    def start():
+        def work(keys, texts):
+            anchors, owners, ids = _Anchors(), [], []
+            for doc_id, content, marks, text in _marked(keys, texts):
+                hashed = hashes(split(text))
+                if doubled:
+                    places = marks[np.isin(marks + length // 2, marks)]
+                elif level:
+                    places = _candidates(len(hashed), lengths, level, marks, hashed)
+                else:
+                    places = marks
+                anchors.add(content, windows(hashed, length)[places], places)
+                owners.append(doc_id)
+                ids.append(content)
+            value, content, place, sure = anchors.settle()
+            none = [None] * len(ids)
+            owned = _signed(np.array(ids, dtype=np.uint64))
+            yield owned, owned, none, sure, owners
+            none = [None] * len(value)
+            yield _signed(value), _signed(content), place.astype(np.int32), none, none
+
+        return work
+
+    return map_texts(marked, start, _LEVEL)
+
+
 def _repeated(rows: DataFrame) -> DataFrame:
     """Document rows, and anchor rows whose hash occurs in two or more contents."""
     spread = F.expr("at IS NULL OR min(content) OVER (PARTITION BY key) <> max(content) OVER (PARTITION BY key)")

@@ -69,3 +69,21 @@ def test_few_words_repeat_much(spark, texts):
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert result(substring_dedup.remove_repeats(docs, 6)) == plain(rows, 6)
+
+
+def test_longest_repeats_double_until_none_survive(spark, edge_docs, edge_rows):
+    found = in_order((r.doc_id, r.n_words, r.longest) for r in substring_dedup.longest_repeats(edge_docs, 5).collect())
+    words = [(i, tuple((t or "").encode().split())) for i, t in edge_rows]
+    named = {w for i, w in words if i is not None}
+
+    def longest(own):
+        size, best = 5, 0
+        while own in named:
+            windows = {own[at : at + size] for at in range(len(own) - size + 1)}
+            if not any(w[at : at + size] in windows for w in named if w != own for at in range(len(w) - size + 1)):
+                break
+            size, best = 2 * size, size
+        return best
+
+    assert found == in_order((i, len(w), longest(w)) for i, w in words)
+    assert {r[2] for r in found} >= {0, 10}
