@@ -13,7 +13,7 @@ from pyspark.sql.types import _parse_datatype_string
 from gridtide.functions.columns import field
 
 # Texts are handed to an operator in slices of about this many bytes, whatever the batch size.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def pick(frame: DataFrame, **columns: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from gridtide.llm.batches import map_texts, pick
 
 LONG_PIECE = 512
-KNOWN_PIECES = 300_000
-CELLS = 1 << 20
+KNOWN_PIECES = 100_000
+CELLS = 1 << 18
 NONE = np.int64(1 << 40)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,19 +72,22 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
-        self.tokens = {rank: token for token, rank in ranks.items()}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        pairs = {}
+        self.table = PairTable(*(np.array(column, dtype=kind) for column, kind in zip(zip(*self._splits()), (np.uint64, np.int64))))
+
+    def _splits(self):
+        """(pair of ids, rank) of every way to cut a token into two tokens."""
+        ranks = self.ranks
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    pairs[left << 32 | right] = rank
-        self.pairs = pairs
-        self.table = PairTable(
-            np.fromiter(pairs, dtype=np.uint64, count=len(pairs)),
-            np.fromiter(pairs.values(), dtype=np.int64, count=len(pairs)),
-        )
+                    yield left << 32 | right, rank
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The pair table as a dictionary, for one piece at a time."""
+        return dict(self._splits())
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Token ids of each piece as little-endian unsigned 32-bit integers."""
@@ -178,8 +181,17 @@ class Codec:
 @lru_cache(maxsize=2)
 def load(data: bytes, pattern: str) -> Codec:
     """Codec of a rank file's content: a base64 token and its rank on each line."""
+    return Codec(read_ranks(data), pattern)
+
+
+def read_ranks(data: bytes) -> dict[bytes, int]:
     lines = (line.split() for line in data.splitlines() if line)
-    return Codec({base64.b64decode(token): int(rank) for token, rank in lines}, pattern)
+    return {base64.b64decode(token): int(rank) for token, rank in lines}
+
+
+@lru_cache(maxsize=2)
+def load_tokens(data: bytes) -> dict[int, bytes]:
+    return {rank: token for token, rank in read_ranks(data).items()}
 
 
 def encode(
@@ -210,15 +222,13 @@ def encode(
     return map_texts(pick(docs, doc_id=id_col, text=text_col), start, "doc_id bigint, ids binary", binary=False)
 
 
-def decode(
-    tokens: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids"
-) -> DataFrame:
+def decode(tokens: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id, the packed ids and ``decoded``, the bytes they stand for. Unknown ids raise."""
     with open(ranks_path, "rb") as file:
         shared = tokens.sparkSession.sparkContext.broadcast(file.read())
 
     def start():
-        token = load(shared.value, pattern).tokens.__getitem__
+        token = load_tokens(shared.value).__getitem__
 
         def work(keys, packed):
             decoded = [b"".join(map(token, np.frombuffer(ids or b"", dtype="<u4").tolist())) for ids in packed]

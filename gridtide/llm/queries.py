@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridtide.llm import byte_bpe, decontaminate, embedding_dedup, html_extract, pii, quality, simhash, substring_dedup, token_counts, toxicity
+from gridtide.llm.sql import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -72,7 +73,7 @@ def byte_bpe_codes(spark: SparkSession, folder: str) -> DataFrame:
 
 def byte_bpe_digest(docs: DataFrame) -> DataFrame:
     tokens = byte_bpe.encode(docs, BYTE_BPE, public_tokenizers.PATTERN)
-    decoded = byte_bpe.decode(tokens, BYTE_BPE, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode(tokens, BYTE_BPE)
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
@@ -105,4 +106,3 @@ QUERIES: dict[str, Query] = {
     "op9_decontaminate": decontamination,
     "op10_quality": quality_scores,
 }
-ORACLES: dict[str, str] = {}

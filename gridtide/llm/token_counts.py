@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from gridtide.llm.batches import map_texts, pick
 
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 50_000
 END = 256
 
 

@@ -35,7 +35,7 @@ from gridtide.llm.labelled import SAMPLE_ROWS, held_out, sample
 MODULUS, REST, CUT = 4, 2, 0.3
 STEMS = (4, 5, 6)
 LEAST_ODDS, LEAST_EVIDENCE, LEAST_TEXTS = 3.0, 20.0, 4
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 50_000
 SCOPE = 4
 
 # Function words of the four languages, in natural order.
