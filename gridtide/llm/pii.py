@@ -9,7 +9,9 @@ the term near the entity, a term's point-wise mutual information with the entity
 log(n(e,t) N / (n(e) n(t))), and the entity's information content is log(N / n(e)). Their ratio tells
 how much of the entity a reader learns from the term; 1 means all. From ``generalise`` on the term's
 span is added and replaced by a general word, from ``remove`` on it is taken out. Pairs seen in fewer
-than ``support`` distinct texts say nothing and are left alone, as are texts without base spans.
+than ``support`` distinct texts say nothing and are left alone, as are texts without base spans. The
+corpus is read for n(t) only where the count of documents with the term near any entity, which n(t)
+is at least, leaves the threshold within reach.
 
 Only DataFrame functions run here. Offsets are code points, ends exclusive. Null texts are empty, copies
 of a text are no support for each other, and every input row gives one result row. Possessive
