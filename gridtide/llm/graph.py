@@ -32,9 +32,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _state(links: DataFrame) -> tuple:
-    """Equal for equal sets of links; the links themselves stay on the executors."""
+    """Equal for equal sets of links; the links themselves stay on the executors.
+
+    The hashes have either sign, so a sum of 40-bit parts stays far inside a bigint for any table.
+    """
     mixed = F.xxhash64("a", "b")
-    parts = (F.count("*"), F.sum(F.shiftright(mixed, 8)), F.bit_xor(mixed), F.sum(F.shiftright(F.xxhash64("b", "a"), 8)))
+    parts = (F.count("*"), F.sum(F.shiftright(mixed, 24)), F.bit_xor(mixed), F.sum(F.shiftright(F.xxhash64("b", "a"), 24)))
     return tuple(links.agg(*parts).first())
 
 

@@ -1,4 +1,5 @@
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from gridtide.llm.graph import components
 
@@ -32,3 +33,12 @@ def test_chain_star_and_bad_links(spark):
     star = [(1000, i) for i in range(1001, 1100)]
     links = [*chain, *star, *chain, (5, 5), (None, 3), (4, None), (77_000, 77_000)]
     assert run(spark, links) == plain([*chain, *star])
+
+
+def test_millions_of_links(spark):
+    """Pairs of neighbours; sums over the hashes of so many links must not overflow."""
+    links = spark.range(2_000_000).select((F.col("id") * 2).alias("a"), (F.col("id") * 2 + 1).alias("b"))
+    found = components(links).agg(
+        F.count("*").alias("n"), F.count_if(F.col("component") != F.col("node") - F.col("node") % 2).alias("wrong")
+    )
+    assert tuple(found.first()) == (4_000_000, 0)
