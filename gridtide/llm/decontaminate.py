@@ -18,9 +18,11 @@ from collections.abc import Iterable
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gridtide.llm.batches import map_texts, pick, rewrite_texts
+from gridtide.functions.columns import field
+from gridtide.llm.batches import map_texts, pick, slices
 from gridtide.llm.words import split_alnum
 from gridtide.plans.work import written
 
@@ -190,29 +192,52 @@ def clean(
 
     A document of whose words more than ``most_covered`` are hit goes altogether. A span runs from its
     first word to the end of its last one; what stands around it stays. With several blocks of items
-    the passes run one after the other, each on what the ones before have left.
+    each pass looks at the untouched texts and adds its hits to those of the passes before; the last
+    one judges and cuts, so the result does not depend on the blocks.
     """
     blocks = _blocks(pick(items, item_id=item_col, text=item_text_col), block_words)
-    for block in blocks:
-        shared = _automaton(block, window)
+    columns = docs.columns
+    hits = "hits_" + "_".join(columns)
+    docs = docs.withColumn(hits, F.lit(None).cast(SPANS))
+    for block in blocks[:-1]:
+        docs = written(_marked(docs, _automaton(block, window), text_col, hits))
+    cut = _marked(docs, _automaton(blocks[-1], window), text_col, hits, most_covered)
+    return cut.select(*(field(c) for c in columns))
+
 
-        def start(shared=shared):
-            automaton = shared.value
+def _marked(docs: DataFrame, shared, text_col: str, hits: str, most_covered: float | None = None) -> DataFrame:
+    """The rows with one block's hit ranges added to their hits; with ``most_covered`` also judged and cut."""
+    at, mark = docs.columns.index(text_col), docs.columns.index(hits)
 
-            def work(texts):
-                new, keep = [], []
-                for text in texts:
+    def run(batches):
+        automaton = shared.value
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary())
+            for low, high in slices(texts):
+                part, new, found, keep = batch.slice(low, high - low), [], [], []
+                for text, old in zip(texts.slice(low, high - low).to_pylist(), part.column(mark).to_pylist()):
                     words = split_alnum(text)
-                    spans, _ = automaton.scan(words)
-                    new.append(cut_words(text, spans) if spans else text)
-                    keep.append(sum(high - low for low, high in spans) <= most_covered * len(words))
-                return new, keep
+                    spans = _merged(automaton.scan(words)[0], old)
+                    found.append([{"start": start, "end": end} for start, end in spans])
+                    if most_covered is not None:
+                        new.append(cut_words(text, spans) if spans else text)
+                        keep.append(sum(end - start for start, end in spans) <= most_covered * len(words))
+                field_type = batch.schema.field(mark)
+                part = part.set_column(mark, field_type, pa.array(found, type=field_type.type))
+                if most_covered is not None:
+                    body = pa.array(new, type=pa.binary()).cast(pa.string())
+                    part = part.set_column(at, batch.schema.field(at), body).filter(pa.array(keep, type=pa.bool_()))
+                yield part
+
+    return docs.mapInArrow(run, docs.schema)
 
-            return work
 
-        docs = rewrite_texts(docs, start, text_col)
-        docs = written(docs) if len(blocks) > 1 else docs
-    return docs
+def _merged(spans: list[list[int]], old: list[dict] | None) -> list[list[int]]:
+    """Ranges of this block and of those before, merged."""
+    merged: list[list[int]] = []
+    for low, high in sorted([*spans, *([s["start"], s["end"]] for s in old or ())], key=lambda r: r[1]):
+        _cover(merged, low, high)
+    return merged
 
 
 def _automaton(items: DataFrame, window: int):
@@ -252,10 +277,7 @@ def _scan_more(rows: DataFrame, shared) -> DataFrame:
             for text, old_spans, old_items in zip(texts, keys[1].to_pylist(), keys[2].to_pylist()):
                 words = split_alnum(text)
                 ranges, names = automaton.scan(words)
-                both = [*ranges, *([s["start"], s["end"]] for s in old_spans or ())]
-                merged: list[list[int]] = []
-                for low, high in sorted(both, key=lambda r: r[1]):
-                    _cover(merged, low, high)
+                merged = _merged(ranges, old_spans)
                 counts.append(len(words))
                 hits.append(sum(high - low for low, high in merged))
                 spans.append([{"start": low, "end": high} for low, high in merged])

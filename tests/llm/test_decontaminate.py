@@ -81,3 +81,34 @@ def test_clean(spark, items):
     assert out[1].text == "Before, ; after it all comes much more of this, far more than that."
     assert out[2].text == "clean words only" and out[3].text is None and out[3].spans == 3
     assert 4 not in out
+
+
+@pytest.mark.parametrize("block_words", [1, 12, 50_000])
+def test_clean_does_not_depend_on_the_blocks(spark, block_words):
+    words = [f"w{n}" for n in range(80)]
+    text = lambda low, high: " ".join(words[low:high])
+    # Items that overlap in the documents, and one that only a cut document would hold.
+    items = [("a", text(0, 12)), ("b", text(7, 20)), ("c", text(40, 55)), ("d", text(25, 30) + " " + text(55, 60))]
+    rows = [(1, text(0, 80)), (2, text(0, 20) + " " + text(60, 80)), (3, text(0, 12) + " x x x " + text(40, 55) + " y" * 25)]
+    rows += [(4, text(25, 30) + " " + text(40, 55) + " " + text(55, 60) + " z" * 20), (5, None)]
+    out = decontaminate.clean(
+        spark.createDataFrame(rows, "doc_id bigint, text string"),
+        spark.createDataFrame(items, "item_id string, text string"),
+        block_words=block_words,
+    )
+    expected = {
+        1: " " + text(20, 40) + "  " + text(55, 80),
+        2: " " + text(60, 80),
+        3: " x x x " + " y" * 25,
+        4: text(25, 30) + "  " + text(55, 60) + " z" * 20,
+        5: None,
+    }
+    assert {r.doc_id: r.text for r in out.collect()} == expected
+
+
+def test_clean_judges_all_blocks_together(spark):
+    parts = [" ".join(f"{c}{n}" for n in range(12)) for c in "ab"]
+    docs = spark.createDataFrame([(1, f"{parts[0]} - {parts[1]}" + " own" * 22)], "doc_id bigint, text string")
+    items = spark.createDataFrame(list(zip("ab", parts)), "item_id string, text string")
+    assert decontaminate.clean(docs, items, block_words=1).collect() == []
+    assert decontaminate.clean(docs, items).collect() == []
