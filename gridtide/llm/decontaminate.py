@@ -171,7 +171,8 @@ def find_hits(
 
 
 def _blocks(items: DataFrame, block_words: int) -> list[DataFrame]:
-    """The items in parts of bounded size, by hash."""
+    """The distinct items in parts of bounded size, by hash."""
+    items = written(items.distinct())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-size // (block_words * WORD_BYTES)))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))

@@ -112,3 +112,12 @@ def test_clean_judges_all_blocks_together(spark):
     items = spark.createDataFrame(list(zip("ab", parts)), "item_id string, text string")
     assert decontaminate.clean(docs, items, block_words=1).collect() == []
     assert decontaminate.clean(docs, items).collect() == []
+
+
+def test_copies_of_an_item_make_no_block_larger(spark, edge_docs, edge_rows):
+    copies = [ITEMS[1]] * 500 + ITEMS
+    items = spark.createDataFrame(copies, "item_id string, text string")
+    blocks = decontaminate._blocks(items, 12)
+    assert sum(block.count() for block in blocks) == len(ITEMS)
+    assert len(blocks) < 20
+    assert result(decontaminate.find_hits(edge_docs, items, block_words=50_000)) == plain(edge_rows, ITEMS)
