@@ -3,15 +3,17 @@
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, found by pattern and
 checked (parts, Luhn, number of digits). Whatever they match is a protected entity.
 
-Terms come from corpus statistics. A term is a word of letters within ``REACH`` characters of an
-entity. With N documents, n(e) of them with the entity, n(t) with the term anywhere and n(e,t) with
-the term near the entity, a term's point-wise mutual information with the entity is
-log(n(e,t) N / (n(e) n(t))), and the entity's information content is log(N / n(e)). Their ratio tells
-how much of the entity a reader learns from the term; 1 means all. From ``generalise`` on the term's
-span is added and replaced by a general word, from ``remove`` on it is taken out. Pairs seen in fewer
-than ``support`` distinct texts say nothing and are left alone, as are texts without base spans. The
-corpus is read for n(t) only where the count of documents with the term near any entity, which n(t)
-is at least, leaves the threshold within reach.
+Terms come from corpus statistics. A term is a word of letters anywhere in a document, outside its base
+spans. With N documents, n(e) of them with the entity, n(t) with the term anywhere and n(e,t) with both,
+a term's point-wise mutual information with the entity is log(n(e,t) N / (n(e) n(t))), and the entity's
+information content is log(N / n(e)). Their ratio tells how much of the entity a reader learns from the
+term; 1 means all. In documents that hold the entity, every occurrence of the term becomes a span: from
+``generalise`` on it is replaced by a general word, from ``remove`` on it is taken out. Pairs seen in
+fewer than ``support`` distinct texts say nothing and are left alone, as are texts without base spans.
+
+As n(e,t) is n(e) at most, a term can reach the threshold g with an entity only if n(t) is at most
+N (n(e) / N)^g. The count of documents with base spans and the term, which n(t) is at least, prunes terms
+and pairs by that before the corpus is read for n(t).
 
 Only DataFrame functions run here. Offsets are code points, ends exclusive. Null texts are empty, copies
 of a text are no support for each other, and every input row gives one result row. Possessive
@@ -27,7 +29,7 @@ from gridtide.llm.batches import pick
 from gridtide.plans.work import written
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, GENERALISE, REMOVE, REACH = 3, 0.9, 1.0, 60
+SUPPORT, GENERALISE, REMOVE = 3, 0.9, 1.0
 # Terms up to this number (about 3 MB) are looked up by broadcast while the texts are read; for more of
 # them the counts of all words are joined. Sanitised texts up to FEW_TEXTS get their terms by broadcast.
 FEW_TERMS, FEW_TEXTS = 200_000, 10_000
@@ -40,6 +42,7 @@ PATTERNS = {"email": _EMAIL, "ip": _IP, "card": _CARD, "phone": _PHONE}
 _HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 _SPAN = "struct<start:int,kind:int,end:int,value:string>"
 _WORD = r"\p{L}{3,}"
+_NO_TERMS = "cast(array() as array<struct<start:int,end:int,value:string,removed:boolean>>)"
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -105,68 +108,105 @@ def detect(
     """doc_id, ``base`` spans (start, kind, end, value) and ``terms`` (start, end, value, removed)."""
     texts = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     base = written(_based(texts))
-    terms = _term_spans(base, texts, support, generalise, remove)
-    base = base.select("doc_id", "content", F.expr(f"transform(spans, s -> cast(struct(s.start, s.kind, s.end, s.value) as {_SPAN}))").alias("base"))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string,removed:boolean>>)")
-    if terms is None:
-        return base.select("doc_id", "base", none.alias("terms"))
-    return base.join(terms, "content", "left").select("doc_id", "base", F.coalesce("terms", none).alias("terms"))
+    words = _words_of_texts(base, texts, support, generalise, remove)
+    spans = F.expr(f"transform(spans, s -> cast(struct(s.start, s.kind, s.end, s.value) as {_SPAN}))").alias("base")
+    if words is None:
+        return base.select("doc_id", spans, F.expr(_NO_TERMS).alias("terms"))
+    return base.join(words, "content", "left").select("doc_id", spans, _occurrences(F.col("rest"), F.col("words")).alias("terms"))
 
 
 def _based(texts: DataFrame) -> DataFrame:
-    """Base spans with the text around them; the texts themselves are left behind."""
+    """Base spans and, where there are any, the text with blanks for them; other texts are left behind."""
     spans = texts.select("doc_id", "text", base_spans(F.col("text")).alias("spans"))
-    around = F.transform(
+    return spans.select(
+        F.monotonically_increasing_id().alias("row"),
+        "doc_id",
+        F.when(F.size("spans") > 0, _content(F.col("text"))).alias("content"),
         "spans",
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            s["kind"].alias("kind"),
-            s["end"].alias("end"),
-            s["value"].alias("value"),
-            F.greatest(s["start"] - REACH, F.lit(0)).alias("low"),
-            F.substring(F.col("text"), F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH))).alias("left"),
-            F.substring(F.col("text"), s["end"] + 1, F.lit(REACH)).alias("right"),
-        ),
+        F.when(F.size("spans") > 0, _blanked(F.col("text"), F.col("spans"))).alias("rest"),
     )
-    return spans.select("doc_id", _content(F.col("text")).alias("content"), around.alias("spans"))
 
 
-def _term_spans(base: DataFrame, texts: DataFrame, support: int, generalise: float, remove: float) -> DataFrame | None:
-    """content and its term spans; None where no pair of entity and term has enough support."""
-    entities = (
-        base.filter(F.size("spans") > 0)
-        .groupBy("content")
-        .agg(F.first("spans").alias("spans"), F.count("*").alias("copies"))
-        .select("content", "copies", F.explode("spans").alias("s"))
-        .select("content", "copies", F.concat("s.kind", F.lit(":"), F.lower("s.value")).alias("entity"), "s")
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with a blank for every character of these sorted spans."""
+    begin = F.expr("struct(0 AS at, cast(array() AS array<string>) AS out)")
+
+    def step(done: Column, span: Column) -> Column:
+        before = F.substring(text, done["at"] + 1, F.greatest(span["start"] - done["at"], F.lit(0)))
+        blanks = F.repeat(F.lit(" "), F.greatest(span["end"] - F.greatest(span["start"], done["at"]), F.lit(0)))
+        return F.struct(F.greatest(done["at"], span["end"]).alias("at"), F.concat(done["out"], F.array(before, blanks)).alias("out"))
+
+    rest = lambda done: F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text)))
+    return F.aggregate(spans, begin, step, rest)
+
+
+def _terms(text: Column) -> Column:
+    """The distinct words in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lambda w: F.lower(w)))
+
+
+def _occurrences(text: Column, words: Column) -> Column:
+    """Spans of all occurrences in the text of the words of a map to ``removed``; empty for a null map."""
+    parts = F.arrays_zip(F.split(text, _WORD, -1).alias("gap"), F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)).alias("value"))
+    begin = F.expr(f"struct(0 AS at, {_NO_TERMS} AS out)")
+
+    def step(done: Column, part: Column) -> Column:
+        start = done["at"] + F.length(part["gap"])
+        end = start + F.length(part["value"])
+        removed = F.try_element_at(words, F.lower(part["value"]))
+        place = F.struct(start.alias("start"), end.alias("end"), part["value"].alias("value"), removed.alias("removed"))
+        out = F.when(removed.isNull(), done["out"]).otherwise(F.concat(done["out"], F.array(place)))
+        return F.when(part["value"].isNull(), done).otherwise(F.struct(end.alias("at"), out.alias("out")))
+
+    return F.when(words.isNull() | text.isNull(), F.expr(_NO_TERMS)).otherwise(F.aggregate(parts, begin, step, lambda done: done["out"]))
+
+
+def _words_of_texts(base: DataFrame, texts: DataFrame, support: int, generalise: float, remove: float) -> DataFrame | None:
+    """content and its disclosing words, a map to ``removed``; None where there are none."""
+    total = base.count()
+    some = base.filter("content IS NOT NULL")
+    chosen = written(some.groupBy("content").agg(F.min("row").alias("row"), F.count("*").alias("copies")))
+    single = some.join(chosen.select("row", "copies"), "row")
+    names = F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"]))))
+    entities = single.select("row", "copies", F.explode(names).alias("entity"))
+    known = entities.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("n_texts"))
+    most = F.lit(float(total)) * F.pow(F.col("n_entity") / F.lit(float(total)), F.lit(float(generalise))) * (1 + 1e-9)
+    known = known.filter((F.col("n_texts") >= support) & (F.col("n_entity") < total))
+    known = written(known.select("entity", "n_entity", most.alias("most")))
+    bound = known.agg(F.max("most")).first()[0]
+    if bound is None:
+        return None
+    held = entities.join(known, "entity").groupBy("row").agg(
+        F.collect_list(F.struct("entity", "n_entity", "most")).alias("entities"), F.max("most").alias("most")
     )
-    # A word cut by the edge of the context is no term: its outer neighbour must be in the context.
-    left = F.transform(_places(F.col("s.left"), _WORD), lambda p: F.struct((p["start"] + F.col("s.low")).alias("start"), (p["end"] + F.col("s.low")).alias("end"), p["value"].alias("value")))
-    left = F.filter(left, lambda p: (p["start"] > F.col("s.low")) | (F.col("s.low") == 0))
-    right = F.transform(_places(F.col("s.right"), _WORD), lambda p: F.struct((p["start"] + F.col("s.end")).alias("start"), (p["end"] + F.col("s.end")).alias("end"), p["value"].alias("value")))
-    right = F.filter(right, lambda p: p["end"] < F.col("s.end") + REACH)
-    near = written(
-        entities.select("content", "copies", "entity", F.explode(F.concat(left, right)).alias("t")).select(
-            "content", "copies", "entity", F.lower("t.value").alias("term"), "t.start", "t.end", "t.value"
-        )
+    held = written(single.join(held, "row").select("row", "content", "copies", "entities", "most", _terms(F.col("rest")).alias("terms")))
+    beside = held.select("copies", F.explode("terms").alias("term")).groupBy("term").agg(
+        F.sum("copies").alias("n_term"), F.count("*").alias("n_texts")
     )
-    both = near.select("entity", "term", "content", "copies").distinct().groupBy("entity", "term")
-    pairs = both.agg(F.sum("copies").alias("n_both"), F.count("*").alias("n_texts"))
-    pairs = written(pairs.filter(F.col("n_texts") >= support))
-    known = entities.select("entity", "content", "copies").distinct().groupBy("entity").agg(F.sum("copies").alias("n_entity"))
-    total = base.count()
-    # A term stands in at least as many documents as it does near entities. Pairs that fall short with
-    # that count already, as with all common words, need no look at the corpus.
-    beside = near.select("term", "content", "copies").distinct().groupBy("term").agg(F.sum("copies").alias("n_term"))
-    likely = written(_disclosing(pairs.join(known, "entity").join(beside, "term"), total, generalise).drop("n_term"))
+    beside = written(beside.filter((F.col("n_texts") >= support) & (F.col("n_term") <= bound)).drop("n_texts"))
+    pairs = _together(held, beside).groupBy("entity", "n_entity", "term", "n_term").agg(
+        F.sum("copies").alias("n_both"), F.count("*").alias("n_texts")
+    )
+    likely = written(_disclosing(pairs.filter(F.col("n_texts") >= support), total, generalise).drop("information", "shared", "n_texts"))
     if likely.isEmpty():
         return None
     counts = _term_counts(texts, likely.select("term").distinct())
-    scored = _disclosing(likely.drop("information", "shared").join(counts, "term"), total, generalise).select(
-        "entity", "term", (F.col("shared") >= F.lit(remove) * F.col("information")).alias("removed")
-    )
-    spans = near.join(scored, ["entity", "term"]).select("content", F.struct("start", "end", "value", "removed").alias("t"))
-    return spans.groupBy("content").agg(F.array_sort(F.collect_set("t")).alias("terms"))
+    scored = _disclosing(likely.drop("n_term").join(counts, "term"), total, generalise)
+    scored = written(scored.select("entity", "term", "n_term", (F.col("shared") >= F.lit(remove) * F.col("information")).alias("removed")))
+    words = _together(held, scored.select("term", "n_term").distinct()).join(scored.drop("n_term"), ["entity", "term"])
+    words = words.groupBy("row", "term").agg(F.max("removed").alias("removed"))
+    words = words.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("words"))
+    words = written(words.join(held.select("row", "content"), "row").select("content", "words"))
+    few = words.count() <= FEW_TEXTS and (words.agg(F.max(F.size("words"))).first()[0] or 0) <= 100
+    return F.broadcast(words) if few else words
+
+
+def _together(held: DataFrame, terms: DataFrame) -> DataFrame:
+    """One row for each text, entity and term in it that the term's count lets reach the threshold."""
+    words = held.select("row", "copies", "most", F.explode("terms").alias("term"))
+    words = words.join(F.broadcast(terms) if terms.count() <= FEW_TERMS else terms, "term").filter("n_term <= most").drop("most")
+    words = words.join(held.select("row", F.explode("entities").alias("e")), "row").filter("n_term <= e.most")
+    return words.select("row", "copies", "term", "n_term", "e.entity", "e.n_entity")
 
 
 def _disclosing(pairs: DataFrame, total: int, share: float) -> DataFrame:
@@ -179,7 +219,7 @@ def _disclosing(pairs: DataFrame, total: int, share: float) -> DataFrame:
 
 def _term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """Number of documents that hold each of these terms; summed up before any shuffle."""
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term"))
+    words = texts.select(F.explode(_terms(F.col("text"))).alias("term"))
     terms = written(terms)
     few = terms.count() <= FEW_TERMS
     if few:
@@ -205,16 +245,17 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     text = field(text_col)
     texts = docs.select(F.lit(None).cast("bigint").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     options = {"support": SUPPORT, "generalise": GENERALISE, "remove": REMOVE} | thresholds
-    terms = _term_spans(written(_based(texts)), texts, **options)
+    words = _words_of_texts(written(_based(texts)), texts, **options)
     own = "own_row_" + "_".join(docs.columns)
     row = docs.select(F.struct(*(field(c) for c in docs.columns)).alias(own), F.coalesce(text, F.lit("")).alias("body"))
-    if terms is None:
-        row = row.withColumn("terms", F.expr("cast(array() as array<struct<start:int,end:int,value:string,removed:boolean>>)"))
+    if words is None:
+        row = row.withColumn("base", base_spans(F.col("body"))).withColumn("terms", F.expr(_NO_TERMS))
     else:
-        terms = written(terms)
-        few = terms.count() <= FEW_TEXTS and terms.agg(F.max(F.size("terms"))).first()[0] <= 100
-        row = row.withColumn("content", _content(F.col("body"))).join(F.broadcast(terms) if few else terms, "content", "left")
-    row = row.withColumn("spans", _words_for(base_spans(F.col("body")), F.col("terms")))
+        row = row.withColumn("content", _content(F.col("body"))).join(words, "content", "left")
+        row = row.withColumn("base", base_spans(F.col("body")))
+        rest = F.when(F.col("words").isNotNull(), _blanked(F.col("body"), F.col("base")))
+        row = row.withColumn("rest", rest).withColumn("terms", _occurrences(F.col("rest"), F.col("words")))
+    row = row.withColumn("spans", _words_for(F.col("base"), F.col("terms")))
     row = row.withColumn("clean", _replaced(F.col("body"), F.col("spans")))
     old = F.col(own)
     return row.select(
@@ -228,12 +269,11 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 def _words_for(base: Column, terms: Column) -> Column:
     """All spans with the words that stand in for them, sorted."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string,removed:boolean>>)")
     first = F.transform(
         base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["kind"] + 1).alias("word"))
     )
     second = F.transform(
-        F.coalesce(terms, none),
+        terms,
         lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["removed"], "").otherwise("[TERM]").alias("word")),
     )
     return F.array_sort(F.concat(first, second))

@@ -121,3 +121,18 @@ def test_sanitise_keeps_rows_and_columns(edge_docs, edge_rows):
     assert all(r.key == "k" and r.terms == "t" for r in rows)
     nine = next(r.text for r in rows if r.doc_id == 9)
     assert "[EMAIL]" in nine and "[CARD]" in nine and "[PHONE]" in nine and "[IP]" in nine and "4111" not in nine
+
+
+def test_terms_far_from_the_entity(spark):
+    """A revealing word stands anywhere in the text; all of its occurrences go, those in base spans do not."""
+    fill = " ".join(["of the weather and of other things"] * 12)
+    rows = [(i, f"boss@corp.example {fill} Zanzibar {'abcdefghij'[i]} {fill} zanzibar") for i in range(6)]
+    rows += [(100 + i, f"the {fill} number {chr(97 + i) * 5} boss") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: [(t.start, t.end, t.value) for t in r.terms] for r in pii.detect(docs).collect()}
+    for i, text in rows:
+        places = [(m.start(), m.end(), m.group()) for m in re.finditer("(?i)zanzibar", text)]
+        assert found[i] == places
+    texts = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert texts[0] == f"[EMAIL] {fill}  a {fill} "
+    assert texts[100] == dict(rows)[100]
