@@ -290,10 +290,11 @@ def render(page: Page, kept: np.ndarray) -> str:
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, html_col: str = "html", **options) -> boosting.Trees:
     """Trees from the seeds of a bounded sample of distinct pages, chosen by hash."""
     html = pages.select(field(html_col).alias("html")).filter("html IS NOT NULL")
-    count = html.count()
+    count = html.select(F.xxhash64("html")).distinct().count()
     steps = 1_000_000
     if count > sample_pages:
         html = html.filter(F.pmod(F.xxhash64("html"), F.lit(steps)) < int(steps * sample_pages / count))
+    html = html.distinct()
 
     def start():
         def work(keys, texts):

@@ -22,7 +22,8 @@ def sample(
     """(label, text) of labelled documents outside the held-out part.
 
     The ids are chosen by hash, so the same rows are taken however the tables are stored. Of repeated
-    labels of one id the larger counts; null labels, ids and texts without label are left out.
+    labels of one id the larger counts, of repeated documents one; null labels, ids and texts without label
+    are left out.
     """
     known = pick(labels, doc_id="doc_id", label=label).filter("doc_id IS NOT NULL AND label IS NOT NULL")
     known = known.filter(~held_out(F.col("doc_id"), modulus, rest)).groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -30,4 +31,5 @@ def sample(
     share = F.pmod(F.xxhash64("doc_id"), F.lit(_STEPS)) < int(_STEPS * min(1.0, rows / max(1, count)))
     chosen = known.filter(share) if count > rows else known
     texts = pick(docs, doc_id="doc_id", text="text")
-    return texts.join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("bigint").alias("label"), "text")
+    rows_once = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])
+    return rows_once.select(F.col("label").cast("bigint").alias("label"), "text")

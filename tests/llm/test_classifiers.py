@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
-from gridtide.llm import boosting, quality, queries, toxicity
+from gridtide.llm import boosting, labelled, quality, queries, toxicity
 
 CASES = [(queries.toxic_scores, "toxic", 4, 2, 0.85), (queries.quality_scores, "quality", 5, 0, 0.95)]
 
@@ -91,3 +91,10 @@ def test_composition_is_the_product_of_its_parts():
         for symbol in random.integers(0, 6, 12).tolist():
             assert both.factor[c, symbol] == pytest.approx(one.factor[a, symbol] * two.factor[b, symbol])
             a, b, c = one.step[a, symbol], two.step[b, symbol], both.step[c, symbol]
+
+
+def test_copies_of_a_document_enter_the_sample_once(spark):
+    docs = spark.createDataFrame([(1, "one")] * 50 + [(2, "two"), (2, "other")], "doc_id bigint, text string")
+    labels_of = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    rows = labelled.sample(docs, labels_of, "quality", 1_000_003, -1).collect()
+    assert sorted((r.label, r.text) for r in rows) == [(0, "other"), (0, "two"), (1, "one")]

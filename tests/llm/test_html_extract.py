@@ -75,3 +75,13 @@ def test_decoding_is_the_best_consistent_labelling():
 def test_broken_markup_keeps_its_text(model):
     page = html_extract.Page("<div><p>a<div>b</p></b>c<ul><li>d<li>e</ul><table><tr><td>f<td>g</table></div>h")
     assert html_extract.render(page, np.ones(len(page.tag), dtype=bool)) == "a b c d e f g h"
+
+
+def test_copies_of_a_page_do_not_enter_the_sample_again(spark, monkeypatch):
+    page = lambda n: f"<html><body><article><p>Text {n} of this page, long enough.</p></article><nav><a href='/'>x{n}</a></nav></body></html>"
+    rows = [(page(n),) for n in range(8)]
+    sizes = []
+    monkeypatch.setattr(html_extract.boosting, "fit", lambda x, y, **options: sizes.append(len(x)))
+    for copies in (1, 200):
+        html_extract.fit(spark.createDataFrame(rows + rows[:1] * (copies - 1), "html string"))
+    assert sizes[0] == sizes[1] > 0
