@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridtide.llm import byte_bpe, decontaminate, embedding_dedup, html_extract, pii, quality, simhash, substring_dedup, token_counts, toxicity
+from gridtide.llm import (
+    byte_bpe,
+    decontaminate,
+    embedding_dedup,
+    html_extract,
+    lexical_search,
+    pii,
+    quality,
+    simhash,
+    substring_dedup,
+    token_counts,
+    topk_search,
+    toxicity,
+    whitening,
+)
 from gridtide.llm.sql import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +108,29 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def whitened(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whiten(table(spark, folder, "embeddings"))
+    at = F.col("component") - 1
+    each = found.select("*", F.posexplode("whitened").alias("at", "value")).withColumn("component", F.col("at") + 1)
+    return each.select(
+        "vec_id",
+        "component",
+        "n",
+        F.col("deviation").try_cast("bigint").alias("deviation"),
+        F.col("value").alias("whitened"),
+        F.get("explained", at).alias("explained"),
+        "identity_error",
+    )
+
+
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return topk_search.search(table(spark, folder, "embeddings"))
+
+
+def ranked_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_dedup": simhash_dedup,
     "op2_substring_dedup": substring,
@@ -105,4 +142,7 @@ QUERIES: dict[str, Query] = {
     "op8_embedding_dedup": embedding_links,
     "op9_decontaminate": decontamination,
     "op10_quality": quality_scores,
+    "op11_whitening": whitened,
+    "op12_topk_search": nearest_vectors,
+    "op13_lexical_search": ranked_documents,
 }

@@ -42,3 +42,26 @@ named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS n
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(counted.n, 0) AS BIGINT) AS n_hit,
  CAST(coalesce(named.n, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(counted.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+ORACLES["op12_topk_search"] = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT row_number() OVER () AS own, vec_id, list_transform(e, lambda x: floor(256 * x)) AS e FROM v
+ WHERE len(e) > 0 AND list_count(e) = len(e) AND isfinite(list_sum(e))),
+pair AS (SELECT a.own, a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+ FROM good a JOIN good b ON a.own <> b.own AND len(a.e) = len(b.e) WHERE a.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS place FROM pair)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5"""
+
+ORACLES["op13_lexical_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS own, doc_id, {_ALNUM_WORDS} AS words FROM documents),
+total AS (SELECT count(*) FILTER (WHERE len(words) > 0) AS docs, CAST(sum(len(words)) AS BIGINT) AS terms FROM d),
+wanted AS (SELECT DISTINCT item_id, unnest({_ALNUM_WORDS}) AS term FROM benchmark),
+tf AS (SELECT own, doc_id, len(words) AS n, term, count(*) AS tf FROM d, unnest(words) AS u(term)
+ WHERE term IN (SELECT term FROM wanted) GROUP BY own, doc_id, len(words), term),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+ FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+gain AS (SELECT own, doc_id, tf.term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms)))) AS g
+ FROM tf JOIN weight USING (term), total),
+scored AS (SELECT item_id, own, doc_id, CAST(sum(g) AS BIGINT) AS score FROM wanted JOIN gain USING (term) GROUP BY item_id, own, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 50"""
