@@ -64,7 +64,7 @@ def search(
     parts = max(1, -(-count // min(block_rows, fit)))
     # A small table still makes enough cells to keep the cluster busy.
     slots = max(1, -(-wanted // min(block_queries, fit)), min(-(-CELLS // parts), -(-wanted // 32)))
-    index = written(_numbered(stored, "part", parts).groupBy("size", "part").applyInArrow(_build, _INDEX))
+    index = written(_numbered(stored, "part", parts).groupBy("size", "part").applyInArrow(_builder(), _INDEX))
     asked = _numbered(asked, "slot", slots).select("*", F.explode(_up_to(parts)).alias("part"))
     cells = index.select("*", F.explode(_up_to(slots)).alias("slot"))
     key = ["size", "part", "slot"]
@@ -87,25 +87,27 @@ def _matrix(rows: pa.Table) -> np.ndarray:
     return rows.column("v").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, rows.column("size")[0].as_py())
 
 
-def _build(rows: pa.Table) -> pa.Table:
-    """One block of the index. Places follow vec_id, so that of equal rows the smallest id comes first."""
-    null = rows.column("vec_id").is_null().to_numpy()
-    order = np.lexsort((rows.column("vec_id").fill_null(0).to_numpy(), null))
-    block = Slices.of(_matrix(rows)[order])
-    rows = rows.take(pa.array(order))
-    first = rows.slice(0, 1)
-    return pa.table(
-        {
-            "size": first.column("size"),
-            "part": first.column("part"),
-            "own": [rows.column("own").to_pylist()],
-            "vec_id": [rows.column("vec_id").to_pylist()],
-            "base": [block.base.tolist()],
-            "widths": [block.widths.tolist()],
-            "slices": [block.bits.tobytes()],
-        },
-        schema=arrow_schema(_INDEX),
-    )
+def _builder():
+    """One block of the index from its rows. Places follow vec_id, so that of equal rows the smallest id comes first."""
+    out = arrow_schema(_INDEX)
+
+    def run(rows: pa.Table) -> pa.Table:
+        null = rows.column("vec_id").is_null().to_numpy()
+        order = np.lexsort((rows.column("vec_id").fill_null(0).to_numpy(), null))
+        block = Slices.of(_matrix(rows)[order])
+        rows = rows.take(pa.array(order))
+        columns = [
+            rows.column("size").to_pylist()[:1],
+            rows.column("part").to_pylist()[:1],
+            [rows.column("own").to_pylist()],
+            [rows.column("vec_id").to_pylist()],
+            [block.base.tolist()],
+            [block.widths.tolist()],
+            [block.bits.tobytes()],
+        ]
+        return pa.Table.from_batches([record_batch(out, columns)])
+
+    return run
 
 
 def _cell(top: int):
