@@ -383,6 +383,19 @@ def _catalogue() -> str:
     )
 
 
+def _stored_profile() -> str:
+    columns = {
+        "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double",
+        "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string",
+        "l_shipdate": "timestamp_ntz",
+    }
+    return " UNION ALL ".join(
+        f"SELECT CAST({i} AS INTEGER) AS position, '{n}' AS name, '{t}' AS dtype,"
+        f" {'false' if t in ('string', 'timestamp_ntz') else 'true'} AS is_numeric, count(*) - count({n}) AS null_count FROM lineitem"
+        for i, (n, t) in enumerate(columns.items())
+    )
+
+
 def _display_rank() -> str:
     years = ", ".join(f"format('{{:,.0f}}', \"{y}\") AS \"{y}\"" for y in YEARS)
     return f"SELECT Rank, Country, {years} FROM ({_country_rank()})"
@@ -492,6 +505,9 @@ def all_oracles() -> dict[str, str]:
         "report_country_rank": found["exposure_country_rank"],
         "report_overview": found["run_summary"],
         "report_display_country_year": _display_rank(),
+        "stream_delta_report": _grouped("country", _environment(True)),
+        "stream_delta_overview": found["run_summary"],
+        "field_profile_stored": _stored_profile(),
     }
     risk_measures = _moments({"Risk_Index": "CAST(risk AS DOUBLE)"}, extremes=True)
     valid_risk = RISK_GRID + ", valid_risk AS (SELECT * FROM risky WHERE Built_Up_Age BETWEEN 5 AND 50)"

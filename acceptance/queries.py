@@ -27,9 +27,18 @@ from gridtide.sources.demo_grid import (
     FLOOD,
     demo_country_labels,
     demo_grid,
+    grid_from,
     streaming_demo_grid,
+    table,
+)
+from gridtide.streaming.incremental import (
+    arrived_report,
+    finish,
+    latest_report_state,
+    read_arriving,
+    stream_report_state,
+    stream_risk,
 )
-from gridtide.streaming.incremental import finish, latest_report_state, stream_report_state, stream_risk
 
 Query = Callable[[SparkSession, str], DataFrame]
 # Added before rounding on both sides. Means of decimal data often end exactly halfway between two
@@ -181,6 +190,11 @@ def field_samples(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("name", F.col("sample_values")[0].alias("sample"))
 
 
+def field_profile_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Null counts of a stored table from its files' statistics."""
+    return profile.stored_field_profile(spark, f"{folder}/lineitem.parquet").drop("sample_values")
+
+
 def preview(spark: SparkSession, folder: str) -> DataFrame:
     return scan.preview(few(spark, folder), 100, FEW)
 
@@ -414,6 +428,28 @@ def stream_env_by_income(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(T.environment_table(latest_report_state(spark, f"{base}/state"), S.INCOME))
 
 
+ARRIVALS = 5
+
+
+def _arrived(spark: SparkSession, folder: str, **only) -> str:
+    """The grid as files that arrive one by one, taken by a stream that merges every two segments."""
+    base = work_folder(spark)
+    lines = table(spark, folder, "lineitem")
+    lines.repartitionByRange(ARRIVALS, "l_orderkey").write.parquet(f"{base}/lines")
+    arriving = read_arriving(spark, f"{base}/lines", lines.schema, files_per_batch=1)
+    cells = grid_from(arriving, table(spark, folder, "orders"), table(spark, folder, "customer"))
+    finish(stream_report_state(cells, f"{base}/state", f"{base}/checkpoint", FLOOD, fan=2, **only))
+    return f"{base}/state"
+
+
+def _arrived_table(name: str, **only) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        state = _arrived(spark, folder, **only)
+        return rounded(arrived_report(spark, state, demo_country_labels(spark, folder), FLOOD)[name])
+
+    return run
+
+
 def stream_risk_named(spark: SparkSession, folder: str) -> DataFrame:
     """Columns of other names, given with the stream."""
     base = work_folder(spark)
@@ -465,6 +501,7 @@ def all_queries() -> dict[str, Query]:
         "dataset_profile": dataset_profile,
         "file_profile": file_profile,
         "field_profile": field_profile,
+        "field_profile_stored": field_profile_stored,
         "field_samples": field_samples,
         "preview": preview,
         **{key: _derive(expressions) for key, expressions in DERIVED.items()},
@@ -498,6 +535,8 @@ def all_queries() -> dict[str, Query]:
         "report_catalogue": report_catalogue,
         "stream_env_by_income": stream_env_by_income,
         "stream_risk_named": stream_risk_named,
+        "stream_delta_report": _arrived_table("C4_Env_Country"),
+        "stream_delta_overview": _arrived_table(OVERVIEW, environment=[]),
         "exposure_years_wide": exposure_years_wide,
         "report_area": _report_table("A_Area_Stats"),
         "report_env_by_country": _report_table("C4_Env_Country"),

@@ -26,6 +26,14 @@ CATEGORY = "Category"
 IS_ALL = "Is_All"
 CELLS = "cells"
 FLOODED = "flooded"
+# The rows of one key meet in so many groups first.
+SALTS = 32
+# Moments of a list of (n, mean, m2) with n > 0; null without any.
+_FOLD = (
+    "aggregate({rows}, cast(NULL AS struct<n: bigint, mean: double, m2: double>), (a, x) -> if(a IS NULL, x,"
+    " named_struct('n', a.n + x.n, 'mean', a.mean + (x.mean - a.mean) * (x.n / (a.n + x.n)),"
+    " 'm2', a.m2 + x.m2 + (x.mean - a.mean) * (x.mean - a.mean) * a.n * (x.n / (a.n + x.n)))))"
+)
 
 
 def moment_value(name: str, exclude_zero: bool) -> str:
@@ -105,25 +113,32 @@ def part(name: str, kind: str) -> str:
 def merge(state: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Combine the state rows that share ``keys``, for these state columns.
 
-    Squared deviations are re-centred on the merged mean, so values with a large common offset lose
-    no precision. The window and the aggregate use the same keys and so the same shuffle.
+    Sums and extremes combine before the shuffle. Moments are combined in a tree of two levels: first
+    among the rows of a key that share one of ``SALTS`` numbers, then among these results, so that no
+    task sees all rows of a key. Each step moves the mean by the difference of the two and adds its
+    square to the squared deviations, so values with a large common offset lose no precision.
     """
-    aggregates, centres = [], []
-    over = f"OVER (PARTITION BY {', '.join(map(quoted, keys))})"
-    for column in columns:
-        name, _, kind = column.rpartition("__")
-        n, mean, centre = part(name, "n"), part(name, "mean"), part(name, "centre")
-        if kind == "mean":
-            centres.append(f"sum({n} * {mean}) {over} / nullif(sum({n}) {over}, 0) AS {centre}")
-            merged = f"max({centre})"
-        elif kind == "m2":
-            merged = f"sum({quoted(column)} + {n} * ({mean} - {centre}) * ({mean} - {centre}))"
-        else:
-            merged = f"{kind if kind in ('min', 'max') else 'sum'}({quoted(column)})"
-        aggregates.append(f"{merged} AS {quoted(column)}")
-    if centres:
-        state = state.selectExpr("*", *centres)
-    return state.groupBy(*map(quoted, keys)).agg(*map(F.expr, aggregates))
+    moments = [name for name, _, kind in (column.rpartition("__") for column in columns) if kind == "m2"]
+    if moments:
+        salt = f"pmod(xxhash64({', '.join(map(quoted, state.columns))}), {SALTS}L) AS __salt"
+        state = _combined(state.selectExpr("*", salt), [*keys, "__salt"], columns, moments)
+    return _combined(state, keys, columns, moments)
+
+
+def _combined(state: DataFrame, keys: Sequence[str], columns: Sequence[str], moments: Sequence[str]) -> DataFrame:
+    parts = {part(name, kind) for name in moments for kind in ("n", "mean", "m2")}
+    plain = {quoted(c): c.rpartition("__")[2] for c in columns if quoted(c) not in parts}
+    aggregates = [f"{kind if kind in ('min', 'max') else 'sum'}({c}) AS {c}" for c, kind in plain.items()]
+    for name in moments:
+        n, mean, m2 = (part(name, kind) for kind in ("n", "mean", "m2"))
+        rows = f"collect_list(named_struct('n', cast({n} AS bigint), 'mean', {mean}, 'm2', {m2})) FILTER (WHERE {n} > 0)"
+        aggregates.append(f"{_FOLD.format(rows=rows)} AS {part(name, 'all')}")
+    grouped = state.groupBy(*map(quoted, keys)).agg(*map(F.expr, aggregates))
+    shown = {quoted(c): quoted(c) for c in columns}
+    for name in moments:
+        whole = part(name, "all")
+        shown |= {part(name, "n"): f"coalesce({whole}.n, 0L)", part(name, "mean"): f"{whole}.mean", part(name, "m2"): f"{whole}.m2"}
+    return grouped.selectExpr(*map(quoted, keys), *(f"{shown[quoted(c)]} AS {quoted(c)}" for c in columns))
 
 
 def by_category(

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gridtide import schema as S
 from gridtide.functions.columns import field, quoted
+from gridtide.operators.distinct import set_size
 from gridtide.operators.labels import Labels, dictionary
+from gridtide.operators.rank import ranked
 from gridtide.operators.summary import CATEGORY, CELLS, FLOODED, IS_ALL, by_category, by_label, merge, part
 
 _POPULATION, _EXPOSED = f"{S.POPULATION}__sum", f"{S.EXPOSED_POPULATION}__sum"
@@ -161,16 +163,15 @@ def years_to_columns(long: DataFrame, key: str) -> DataFrame:
 def country_rank_table(state: DataFrame, labels: Labels = None) -> DataFrame:
     """Countries by exposed population of the last year, largest first, sums rounded half to even.
 
-    Years the input lacks show 0; without any year column there are no rows. The window sees one
-    aggregated row per country label, so its single task stays small at any number of cells.
+    Years the input lacks show 0; without any year column there are no rows. The countries are ranked
+    by ranges, so that open codes may be many, and stored on the way.
     """
     sums = _year_sums(state)
     wide = country_year_table(state, labels) if sums else country_year_table(state.filter("false"), labels)
     years = {y: f"coalesce(`{y}`, 0.0D)" if str(y) in sums else "0.0D" for y in S.YEARS}
     wide = wide.selectExpr("Country", *(f"{text} AS `{y}`" for y, text in years.items()))
-    rank = F.row_number().over(Window.orderBy(field(str(S.YEARS[-1])).desc(), F.col("Country")))
-    ranked = wide.withColumn("Rank", rank)
-    return ranked.selectExpr("Rank", "Country", *(f"bround(`{y}`, 0) AS `{y}`" for y in S.YEARS)).orderBy("Rank")
+    places = ranked(wide, [field(str(S.YEARS[-1])).desc(), F.col("Country").asc()])
+    return places.selectExpr("Rank", "Country", *(f"bround(`{y}`, 0) AS `{y}`" for y in S.YEARS)).orderBy("Rank")
 
 
 def income_year_table(state: DataFrame) -> DataFrame:
@@ -185,8 +186,11 @@ def income_year_table(state: DataFrame) -> DataFrame:
     return joined.selectExpr(f"{CATEGORY} AS Income", *years)
 
 
-def run_summary(state: DataFrame, flood: str | None = None, total_rows: int | None = None) -> DataFrame:
-    """One row of counts, over a state that keeps its raw codes.
+def run_summary(
+    state: DataFrame, flood: str | None = None, total_rows: int | None = None, codes: DataFrame | None = None
+) -> DataFrame:
+    """One row of counts. Distinct codes come from ``codes`` (merged ``code_sets``), or without it from a
+    state that keeps its raw codes.
 
     Without ``total_rows`` the state must also hold the cells of no valid age (``keep_invalid``).
     """
@@ -197,10 +201,17 @@ def run_summary(state: DataFrame, flood: str | None = None, total_rows: int | No
     measures = {
         "total_rows": f"coalesce(sum({CELLS}), 0L)" if total_rows is None else f"{total_rows}L",
         "valid_rows": f"coalesce(sum({CELLS}) FILTER (WHERE {S.AGE} IS NOT NULL), 0L)",
-        "countries_count": distinct(S.COUNTRY.column),
-        "continents_count": distinct(S.CONTINENT.column),
-        "income_levels_count": distinct(S.INCOME.column),
         "ages_count": distinct(S.AGE),
     }
-    counts = state.agg(*(F.expr(f"{value} AS {name}") for name, value in measures.items()))
-    return counts.withColumn("flood_column", F.lit(flood or "N/A"))
+    counted = {"countries_count": S.COUNTRY, "continents_count": S.CONTINENT, "income_levels_count": S.INCOME}
+    order = ["total_rows", "valid_rows", *counted, "ages_count"]
+    make = distinct if codes is None else set_size
+    found = {name: make(dim.column) for name, dim in counted.items()}
+    if codes is None:
+        counts = state.agg(*(F.expr(f"{value} AS {name}") for name, value in (measures | found).items()))
+    else:
+        # Two rows, one of each side.
+        counts = state.agg(*(F.expr(f"{value} AS {name}") for name, value in measures.items())).withColumn("one", F.lit(1))
+        sizes = codes.agg(*(F.expr(f"{value} AS {name}") for name, value in found.items())).withColumn("one", F.lit(1))
+        counts = counts.join(F.broadcast(sizes), "one")
+    return counts.select(*order).withColumn("flood_column", F.lit(flood or "N/A"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from gridtide import schema as S
 from gridtide.functions.display import format_report_values, with_headers
 from gridtide.operators import tables as T
+from gridtide.operators.distinct import code_sets
 from gridtide.operators.labels import Labels, dictionary, with_label
 from gridtide.operators.summary import summarise
 from gridtide.plans.work import written
@@ -55,6 +56,8 @@ OVERVIEW = "Overview"
 CATALOGUE = "Catalogue"
 INCOME_YEARS = "Exposure_Income_Year"
 
+# The overview counts the distinct raw codes of these columns.
+COUNTED = (S.COUNTRY.column, S.CONTINENT.column, S.INCOME.column)
 REPORT_TOTALS = (S.POPULATION, *(S.exposure_column(year) for year in S.YEARS))
 
 
@@ -68,9 +71,10 @@ def report_state(
     dims: Sequence[S.Dimension] = tuple(S.DIMENSIONS.values()),
     totals: Sequence[str] = REPORT_TOTALS,
 ) -> DataFrame:
-    """Everything the report needs, grouped once by age and all four codes.
+    """Everything the report's tables need, grouped once by age and all four codes.
 
-    Cells of no valid age are filtered in the scan; ``keep_invalid`` counts them instead, for inputs
+    Codes that make no group of their own are folded (``summarise``), so the state has at most ages x
+    labels rows; the overview counts raw codes from ``code_sets``. Cells of no valid age are filtered in the scan; ``keep_invalid`` counts them instead, for inputs
     that can be read only once. Fewer ``dims``, ``environment`` factors and ``totals`` make a smaller
     state.
     """
@@ -82,7 +86,7 @@ def report_state(
         totals=totals,
         exclude_zero=exclude_zero,
         keep_invalid=keep_invalid,
-        fold_codes=False,
+        fold_codes=True,
     )
 
 
@@ -92,12 +96,14 @@ def report_tables(
     flood: str | None = None,
     environment: Sequence[str] = S.ENVIRONMENT,
     total_rows: int | None = None,
+    codes: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """All report tables from the state, by table name. Store the state before using several.
 
-    ``total_rows`` counts the input's rows where the state holds only those of valid age.
+    ``total_rows`` counts the input's rows where the state holds only those of valid age; ``codes`` are
+    the ``code_sets`` of the overview, which without them counts the state's folded codes.
     """
-    tables = {OVERVIEW: T.run_summary(state, flood, total_rows)}
+    tables = {OVERVIEW: T.run_summary(state, flood, total_rows, codes)}
     labels = dictionary(state.sparkSession, labels)
     for sheet in SHEETS:
         dim = DIMENSION_OF.get(sheet.name.rsplit("_", 1)[1])
@@ -185,8 +191,9 @@ def build_report(
     elif flood not in cells.columns:
         flood = None
     state = written(report_state(cells, flood, exclude_zero=exclude_zero, environment=environment))
+    codes = written(code_sets(cells, COUNTED))
     # Counting reads no column. The state itself reads only cells of valid age.
-    tables = report_tables(state, labels, flood, environment, cells.count())
+    tables = report_tables(state, labels, flood, environment, cells.count(), codes)
     tables[CATALOGUE] = report_catalogue(state, labels, environment)
     return tables
 

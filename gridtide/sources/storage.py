@@ -7,6 +7,7 @@ import posixpath
 from typing import NamedTuple
 from urllib.parse import urlsplit
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 # Different names of one store, and ports that a name without one stands for.
@@ -85,6 +86,24 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"Could not move {source} to {target}")
 
 
+def create(spark: SparkSession, path: str, text: str = "") -> bool:
+    """Write a small new file; false if one of this name is there already, which then stays as it is."""
+    fs, name = _open(spark, path)
+    if fs.exists(name):
+        return False
+    try:
+        out = fs.create(name, False)
+    except Py4JJavaError:
+        if fs.exists(name):
+            return False
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
 def children(spark: SparkSession, path: str) -> list[tuple[str, float]]:
     """Paths right below a folder, with their modification times in seconds; none if it is missing."""
     fs, name = _open(spark, path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +10,19 @@ from pyspark.sql.types import StructType
 
 from gridtide import schema as S
 from gridtide.functions.hazard import Mapping
-from gridtide.plans.report import REPORT_TOTALS, report_state
+from gridtide.operators.distinct import code_sets, merge_sets
+from gridtide.operators.labels import Labels
+from gridtide.operators.summary import merge
+from gridtide.plans.report import CATALOGUE, COUNTED, REPORT_TOTALS, report_catalogue, report_state, report_tables
 from gridtide.plans.risk import risk_output
-from gridtide.sources import storage
+from gridtide.plans.work import written
 from gridtide.sources.binding import detect_flood_column
+from gridtide.streaming import segments
 
-BATCH = "batch="
-# Superseded states are deleted beyond this number, but none before it is this old, so that whoever
-# reads a state has that long to finish.
-KEPT_BATCHES, GRACE_SECONDS = 3, 24 * 3600
+# Tables of a segment, segments of a tier before they are merged, and how long whoever reads a segment
+# that has been merged has to finish.
+STATE, CODES = "state", "codes"
+FAN, GRACE_SECONDS = 8, 24 * 3600
 
 
 def read_arriving(
@@ -62,30 +65,30 @@ def stream_report_state(
     environment: Sequence[str] = S.ENVIRONMENT,
     dims: Sequence[S.Dimension] = tuple(S.DIMENSIONS.values()),
     totals: Sequence[str] = REPORT_TOTALS,
-    kept_batches: int = KEPT_BATCHES,
+    fan: int = FAN,
     grace_seconds: float = GRACE_SECONDS,
 ) -> StreamingQuery:
     """Keep the report state running over all files so far; options as for the batch report.
 
-    The streaming state is the small (age, codes) aggregate, bounded by the number of code
-    combinations, so it needs no watermark. Each batch writes it whole under its batch number, and a
-    replayed batch overwrites the same folder.
+    A batch is aggregated by itself and stored as a segment (``segments.py``): mergeable rows of the groups
+    it touches, and the sets of its raw codes. Nothing is kept in the stream's own state, so it needs no
+    watermark and no batch rewrites what it does not change. A replayed batch counts once.
     """
     if flood == "auto":
         flood = detect_flood_column(cells.columns)
+    spark = cells.sparkSession
+    counted = [dim.column for dim in dims if dim.column in COUNTED]
 
-    def store(state: DataFrame, batch: int) -> None:
-        state.write.mode("overwrite").parquet(f"{output}/{BATCH}{batch:012d}")
-        finished = _finished_batches(cells.sparkSession, output)
-        for old, written_at in finished[: max(0, len(finished) - kept_batches)]:
-            if time.time() - written_at >= grace_seconds:
-                storage.delete(cells.sparkSession, old)
+    def store(arrived: DataFrame, batch: int) -> None:
+        state = report_state(
+            arrived, flood, exclude_zero=exclude_zero, environment=environment, keep_invalid=True, dims=dims, totals=totals
+        )
+        segments.add(spark, output, batch, batch, {STATE: state, CODES: code_sets(arrived, counted)})
+        segments.compact(spark, output, {STATE: _merged_state, CODES: merge_sets}, fan)
+        segments.sweep(spark, output, grace_seconds)
 
-    state = report_state(
-        cells, flood, exclude_zero=exclude_zero, environment=environment, keep_invalid=True, dims=dims, totals=totals
-    )
     return (
-        state.writeStream.outputMode("complete")
+        cells.writeStream.outputMode("update")
         .foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -93,21 +96,47 @@ def stream_report_state(
     )
 
 
-def _finished_batches(spark: SparkSession, output: str) -> list[tuple[str, float]]:
-    """Folders of completely written batches with their time of writing, oldest first."""
-    found = [(path, at) for path, at in storage.children(spark, output) if path.rsplit("/", 1)[1].startswith(BATCH)]
-    return sorted((path, at) for path, at in found if storage.exists(spark, f"{path}/_SUCCESS"))
+def _merged_state(rows: DataFrame) -> DataFrame:
+    keys = [name for name in rows.columns if name in (S.AGE, *S.CODE_COLUMNS)]
+    return merge(rows, keys, [name for name in rows.columns if name not in keys])
+
+
+def _visible(spark: SparkSession, output: str) -> list[segments.Segment]:
+    found = segments.visible(segments.finished(spark, output))
+    if not found:
+        raise FileNotFoundError(f"No finished batch below {output}")
+    return found
 
 
 def latest_report_state(spark: SparkSession, output: str) -> DataFrame:
-    """The state of the last batch, ready for the report tables.
+    """The state over all batches so far, ready for the report tables.
 
-    The frame reads its folder lazily. A running stream keeps that folder for ``grace_seconds``.
+    The frame reads its folders lazily. A running stream keeps them for ``grace_seconds``.
     """
-    finished = _finished_batches(spark, output)
-    if not finished:
-        raise FileNotFoundError(f"No finished batch below {output}")
-    return spark.read.parquet(finished[-1][0])
+    found = _visible(spark, output)
+    rows = segments.read(spark, found, STATE)
+    return rows if len(found) == 1 else _merged_state(rows)
+
+
+def latest_code_sets(spark: SparkSession, output: str) -> DataFrame:
+    """The sets of raw codes over all batches so far."""
+    found = _visible(spark, output)
+    rows = segments.read(spark, found, CODES)
+    return rows if len(found) == 1 else merge_sets(rows)
+
+
+def arrived_report(
+    spark: SparkSession,
+    output: str,
+    labels: Labels = None,
+    flood: str | None = None,
+    environment: Sequence[str] = S.ENVIRONMENT,
+) -> dict[str, DataFrame]:
+    """Every report table over all files that a stream has taken so far."""
+    state, codes = written(latest_report_state(spark, output)), written(latest_code_sets(spark, output))
+    tables = report_tables(state, labels, flood, environment, codes=codes)
+    tables[CATALOGUE] = report_catalogue(state, labels, environment)
+    return tables
 
 
 def finish(query: StreamingQuery, timeout: float | None = None) -> None:

@@ -7,11 +7,13 @@ import pytest
 from gridtide import schema as S
 from gridtide.operators import tables as T
 from gridtide.operators.fields import derive_field
+from gridtide.operators.distinct import code_sets
 from gridtide.operators.filters import filter_codes
 from gridtide.operators.labels import with_label
 from gridtide.operators.summary import summarise
 from gridtide.plans.report import report_state
 from gridtide.plans.risk import risk_output
+from gridtide.sources.profile import statistics_counts
 from gridtide.sources.scan import scan_for_report, scan_grid
 from tests.grid import COUNTRIES, make_cells
 from tests.test_risk import make_input
@@ -50,8 +52,9 @@ def test_labels_join_the_aggregate_not_the_cells(cells):
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "CartesianProduct" not in text
     join = text.index("BroadcastHashJoin")
     assert join < text.index("partial_count")
-    # Aggregate of the cells, roll-up with its window, report order.
-    assert exchanges(text) == 3 and "Python" not in text
+    # Aggregate of the cells, two levels of merging, report order.
+    assert exchanges(text) == 4 and "Python" not in text
+    assert "Window" not in text and "__salt" in text
 
 
 def test_row_labels_broadcast_the_dictionary(cells):
@@ -79,3 +82,31 @@ def test_code_filters_reach_the_scan(spark, cells):
     for part in ("EqualTo(Developed,2.0)", "In(Sovereig, [10.0,11.0])", "GreaterThanOrEqual(Built_Up_Age,35)"):
         assert part in pushed
     spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_merged_moments_have_no_window(cells):
+    state = summarise(cells, list(S.DIMENSIONS.values()), moments=S.ENVIRONMENT)
+    for dim in S.DIMENSIONS.values():
+        assert "Window" not in plan(T.environment_table(state, dim, COUNTRIES))
+
+
+def test_code_sets_shuffle_distinct_combinations(spark, cells):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    text = plan(code_sets(cells))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "Python" not in text and "In(Built_Up_Age" in text
+    read = re.search(r"ReadSchema: struct<(.*?)>", text).group(1)
+    assert sorted(c.split(":")[0] for c in read.split(",")) == sorted([S.AGE, *S.CODE_COLUMNS])
+
+
+def test_rank_has_no_unpartitioned_window(cells):
+    state = summarise(cells, [S.COUNTRY], totals=["POP_Exposure_2025"])
+    text = plan(T.country_rank_table(state, COUNTRIES))
+    assert "Window" not in text and "SinglePartition" not in text
+
+
+def test_null_counts_are_pushed_into_the_footers(spark, folder, cells):
+    cells.write.parquet(f"{folder}/t")
+    text = plan(statistics_counts(spark, f"{folder}/t", ["Slope", "Flooded_100"]))
+    assert "PushedAggregation: [COUNT(*), COUNT(Slope), COUNT(Flooded_100)]" in text
+    assert "BatchScan" in text and "ReadSchema: struct<count(*):bigint" in text

@@ -1,5 +1,6 @@
 import os
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from gridtide import schema as S
 from gridtide.operators.filters import filter_codes, valid_age
 from gridtide.sources import profile, scan, sinks, storage
 from tests.conftest import TESTDATA
+from tests.grid import make_cells
 
 
 def parquet_files(folder):
@@ -121,3 +123,26 @@ def test_a_failed_write_keeps_the_old_table(spark, folder):
 
 def test_default_name():
     assert sinks.default_field_output("/data/a/grid.parquet") == "/data/a/calc_grid.parquet"
+
+
+def test_null_counts_from_statistics_equal_a_scan(spark, folder):
+    cells = spark.createDataFrame(make_cells(300)).selectExpr(
+        "*", "if(Slope > 0, named_struct('a', DEM), null) AS nested", "array(DEM) AS list", "nullif(Slope, 0) AS `a.b c`", "cast(NULL AS int) AS none", "1 AS rows"
+    )
+    cells.repartition(3).write.parquet(f"{folder}/t")
+    wanted = profile.field_profile(scan.scan_grid(spark, f"{folder}/t")).drop("sample_values")
+    found = profile.stored_field_profile(spark, f"{folder}/t")
+    assert found.columns == profile.field_profile(cells).columns
+    assert sorted(found.drop("sample_values").collect()) == sorted(wanted.collect())
+    few = profile.stored_field_profile(spark, f"{folder}/t", names=["none", "a.b c"]).collect()
+    assert sorted((r["name"], r["null_count"] > 0) for r in few) == [("a.b c", True), ("none", True)]
+    spark.createDataFrame([], "a int, b string").write.parquet(f"{folder}/empty")
+    assert [r["null_count"] for r in profile.stored_field_profile(spark, f"{folder}/empty").collect()] == [0, 0]
+
+
+def test_null_counts_without_statistics(spark, folder):
+    os.mkdir(f"{folder}/t")
+    table = pa.table({"a": [1, None, 3], "b": ["x", None, None]})
+    pq.write_table(table, f"{folder}/t/one.parquet", write_statistics=False)
+    found = profile.stored_field_profile(spark, f"{folder}/t").orderBy("position").collect()
+    assert [(r["name"], r["null_count"]) for r in found] == [("a", 1), ("b", 2)]
