@@ -51,6 +51,7 @@ def search(
     item_col: str = "item_id",
     item_text_col: str = "text",
     block_terms: int = BLOCK_TERMS,
+    block_docs: int = BLOCK_DOCS,
 ) -> DataFrame:
     """item_id, rank (from 1), doc_id and score of each item's ``top`` best documents."""
     rows = pick(docs, doc_id=id_col, text=text_col)
@@ -61,7 +62,7 @@ def search(
     found = None
     for at in range(blocks):
         here = [(r.item, r.terms) for r in queries.filter(part == at).select("item", "terms").collect()]
-        best = _best(rows, here, top)
+        best = _best(rows, here, top, block_docs)
         best = best if blocks == 1 else written(best)
         found = best if found is None else found.union(best)
     order = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
@@ -86,7 +87,7 @@ def _item_terms(items: DataFrame) -> DataFrame:
     return grouped.withColumn("item", F.monotonically_increasing_id())
 
 
-def _best(rows: DataFrame, queries: list[tuple[int, list[bytes]]], top: int) -> DataFrame:
+def _best(rows: DataFrame, queries: list[tuple[int, list[bytes]]], top: int, block_docs: int) -> DataFrame:
     """Rows ``FOUND``: for each task the documents that may be among the best of each item."""
     spark = rows.sparkSession
     terms = sorted({bytes(term) for _, words in queries for term in words})
@@ -99,7 +100,7 @@ def _best(rows: DataFrame, queries: list[tuple[int, list[bytes]]], top: int) ->
         weights[term] = math.floor(1000 * math.log((2 * documents + 2) / (2 * frequency + 1)))
     wanted = {item: np.array([number[bytes(t)] for t in words_], dtype=np.int64) for item, words_ in queries}
     shared = spark.sparkContext.broadcast((weights, wanted, documents, words))
-    return counted.filter(F.size("terms") > 0).mapInArrow(_ranker(shared, top), FOUND)
+    return counted.filter(F.size("terms") > 0).mapInArrow(_ranker(shared, top, block_docs), FOUND)
 
 
 def _count(rows: DataFrame, shared) -> DataFrame:
@@ -122,14 +123,14 @@ def _count(rows: DataFrame, shared) -> DataFrame:
     return map_texts(rows.select("doc_id", "text"), start, COUNTED)
 
 
-def _ranker(shared, top: int):
+def _ranker(shared, top: int, block_docs: int):
     out = arrow_schema(FOUND)
 
     def run(batches):
         weights, wanted, documents, words = shared.value
         best = {item: _Best(top) for item in wanted}
         for batch in batches:
-            for low, high in _cuts(batch.column(2).offsets.to_numpy()):
+            for low, high in _cuts(batch.column(2).offsets.to_numpy(), block_docs):
                 block = _Block(batch.slice(low, high - low), weights, documents, words)
                 for item, terms in wanted.items():
                     block.search(terms, best[item])
@@ -141,11 +142,12 @@ def _ranker(shared, top: int):
     return run
 
 
-def _cuts(offsets: np.ndarray):
+def _cuts(offsets: np.ndarray, block_docs: int):
+    """Row ranges of at most ``block_docs`` documents and about BLOCK_POSTINGS terms."""
     low = 0
     while low < len(offsets) - 1:
         high = int(np.searchsorted(offsets, offsets[low] + BLOCK_POSTINGS, side="right")) - 1
-        high = min(max(high, low + 1), low + BLOCK_DOCS, len(offsets) - 1)
+        high = min(max(high, low + 1), low + block_docs, len(offsets) - 1)
         yield low, high
         low = high
 

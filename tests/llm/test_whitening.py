@@ -1,0 +1,129 @@
+import math
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from gridtide.llm import whitening
+from gridtide.llm.queries import whitened
+
+SCHEMA = "vec_id bigint, embedding array<double>, size string, n string, whitened string, explained string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, v, "s", "n", "w", "e") for i, v in rows], SCHEMA).repartition(3)
+
+
+def sound(rows):
+    return [(i, v) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+
+
+def plain(rows):
+    """n, deviations by brute force in whole numbers, and numpy's eigenvalues and whitening."""
+    x = [[math.floor(64 * c) + 1_000_000 for c in v] for _, v in rows]
+    n, dims = len(x), len(x[0])
+    sums = [sum(row[j] for row in x) for j in range(dims)]
+    deviations = [sum((n * row[j] - sums[j]) ** 2 for j in range(dims)) for row in x]
+    centred = np.array([[float(row[j] - Fraction(sums[j], n)) for j in range(dims)] for row in x])
+    covariance = centred.T @ centred / n
+    values, vectors = np.linalg.eigh(covariance)
+    return n, deviations, centred, covariance, values[::-1], vectors[:, ::-1]
+
+
+def compare(found, rows, most=32):
+    n, deviations, centred, covariance, values, vectors = plain(rows)
+    kept = min(most, int((values > 1e-10 * values[0]).sum()))
+    got = sorted((r for r in found), key=lambda r: (r.vec_id, r.deviation))
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0], deviations[i]))
+    assert [r.vec_id for r in got] == [rows[i][0] for i in order]
+    assert [int(r.deviation) for r in got] == [deviations[i] for i in order]
+    assert {r.n for r in got} == {n}
+    white = np.array([r.whitened for r in got])
+    assert white.shape == (n, kept)
+    assert np.allclose(got[0].explained, values[:kept] / np.trace(covariance), rtol=1e-9)
+    assert np.abs(white.T @ white / n - np.eye(kept)).max() < 1e-6
+    assert 0 <= got[0].identity_error < 1e-6
+    true = (centred @ vectors[:, :kept] / np.sqrt(values[:kept]))[order]
+    alone = [k for k in range(kept) if all(abs(values[k] - values[o]) > 1e-6 * values[0] for o in range(len(values)) if o != k)]
+    for k in alone:
+        assert np.allclose(white[:, k], true[:, k], atol=1e-6) or np.allclose(white[:, k], -true[:, k], atol=1e-6)
+    return alone
+
+
+def test_query(spark, small):
+    rows = sound([(r.vec_id, r.embedding) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()])
+    found = whitened(spark, small).collect()
+    assert len(found) == 32 * len(rows)
+    n, deviations, _, covariance, values, _ = plain(rows)
+    assert {(r.vec_id, r.deviation) for r in found} == {(i, d) for (i, _), d in zip(rows, deviations)}
+    assert {r.n for r in found} == {n} and {r.component for r in found} == set(range(1, 33))
+    for r in found[:64]:
+        assert r.explained == pytest.approx(values[r.component - 1] / np.trace(covariance), rel=1e-9)
+    whole = spark.read.parquet(f"{small}/embeddings.parquet")
+    assert compare(whitening.whiten(whole).collect(), rows)
+
+
+def test_edges(spark):
+    random = np.random.default_rng(3)
+    rows = [(i, random.standard_normal(6).tolist()) for i in range(40)]
+    rows += [(7, rows[7][1]), (-3, [0.0] * 6), (99, [1e6, -5.5, 0, 0, 0, 1])]
+    bad = [(100, None), (101, [1.0, None, 1, 1, 1, 1]), (102, [float("nan")] * 6), (103, [float("-inf"), 1, 1, 1, 1, 1]), (104, []), (None, None)]
+    compare(whitening.whiten(frame(spark, rows + bad)).collect(), rows)
+    assert whitening.whiten(frame(spark, rows).limit(0)).collect() == []
+    assert whitening.whiten(frame(spark, bad)).collect() == []
+
+
+def test_each_length_is_a_set_of_its_own(spark):
+    random = np.random.default_rng(4)
+    short = [(i, random.standard_normal(3).tolist()) for i in range(20)]
+    long = [(100 + i, random.standard_normal(5).tolist()) for i in range(30)]
+    found = whitening.whiten(frame(spark, short + long)).collect()
+    compare([r for r in found if r.vec_id < 100], short)
+    compare([r for r in found if r.vec_id >= 100], long)
+
+
+def test_no_variance_and_fewer_components(spark):
+    same = whitening.whiten(frame(spark, [(i, [0.5, 0.25]) for i in range(5)])).collect()
+    assert [(r.n, int(r.deviation), r.whitened, r.explained) for r in same] == [(5, 0, [], [])] * 5
+    one = whitening.whiten(frame(spark, [(None, [1.0, 2.0, 3.0])])).collect()
+    assert [(r.vec_id, r.n, r.whitened) for r in one] == [(None, 1, [])]
+    flat = [(i, [float(i), 2.0 * i, 1.0]) for i in range(10)]
+    compare(whitening.whiten(frame(spark, flat)).collect(), flat)
+    random = np.random.default_rng(5)
+    rows = [(i, random.standard_normal(6).tolist()) for i in range(40)]
+    compare(whitening.whiten(frame(spark, rows), components=2).collect(), rows, 2)
+
+
+def test_far_entries_stay_exact(spark):
+    rows = [(i, [1e15 * i, float(i * i)]) for i in range(6)]
+    compare(whitening.whiten(frame(spark, rows)).collect(), rows)
+    found = whitening.whiten(frame(spark, [(1, [1e300, 0.0]), (2, [0.0, 1.0])])).collect()
+    assert sorted(int(r.deviation) for r in found if r.deviation is not None) == []  # more than 38 digits
+
+
+def test_too_many_dimensions_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(whitening, "MOST_ENTRIES", 20)
+    with pytest.raises(ValueError, match="more than 20"):
+        whitening.whiten(frame(spark, [(1, [1.0] * 5)]))
+
+
+@pytest.mark.parametrize("kind", ["random", "identity", "blocks", "rank", "clustered", "diagonal", "one", "zero"])
+def test_leading_eigenvectors(kind):
+    random = np.random.default_rng(6)
+    turn = np.linalg.qr(random.standard_normal((40, 40)))[0]
+    matrix = {
+        "random": np.cov(random.standard_normal((300, 64)).T),
+        "identity": np.eye(40) * 3.0,
+        "blocks": np.kron(np.eye(9), [[2.0, 1.0], [1.0, 2.0]]),
+        "rank": np.cov(random.standard_normal((10, 50)).T),
+        "clustered": turn @ np.diag([5.0] * 7 + [5.0 - 1e-9] * 7 + [1.0] * 26) @ turn.T,
+        "diagonal": np.diag(np.arange(30.0)),
+        "one": np.array([[2.5]]),
+        "zero": np.zeros((4, 4)),
+    }[kind]
+    values, vectors = whitening.leading((matrix + matrix.T) / 2, 32)
+    true = np.linalg.eigvalsh(matrix)[::-1]
+    assert len(values) == min(32, int((true > 1e-11 * true[0]).sum()))
+    assert np.allclose(values, true[: len(values)], rtol=1e-12, atol=1e-13 * max(1.0, true[0]))
+    assert np.allclose(vectors.T @ vectors, np.eye(len(values)), atol=1e-12)
+    assert np.allclose(matrix @ vectors, vectors * values, atol=1e-12 * max(1.0, true[0]))
