@@ -383,6 +383,24 @@ def _catalogue() -> str:
     )
 
 
+def _graph() -> str:
+    """Ten fields in the order in which they build on one another."""
+    steps = (
+        "exp(-Distance_from_River / CAST(1000 AS DOUBLE)) AS f2, abs(Distance_from_River % CAST(7 AS DOUBLE)) + Slope AS f5",
+        "sqrt(f5) + f2 AS f3, sin(f5) * f2 - sqrt(f5) AS f10",
+        "f3 / (f2 + 1) AS f1",
+        "pow(greatest(f1, f3), 2) AS f4",
+        "ln(f4 + f5 + 1) AS f6",
+        "least(f6, f10) AS f7",
+        "f7 - f1 * f2 AS f8",
+        "(f8 + f7) / (f2 + f3 + 1) AS f9",
+    )
+    source = "grid"
+    for step in steps:
+        source = f"(SELECT *, {step} FROM {source})"
+    return _special({f"f{i}": f"f{i}" for i in range(1, 11)}, 6, source)
+
+
 def _stored_profile() -> str:
     columns = {
         "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double",
@@ -508,6 +526,7 @@ def all_oracles() -> dict[str, str]:
         "stream_delta_report": _grouped("country", _environment(True)),
         "stream_delta_overview": found["run_summary"],
         "field_profile_stored": _stored_profile(),
+        "derive_graph": _graph(),
     }
     risk_measures = _moments({"Risk_Index": "CAST(risk AS DOUBLE)"}, extremes=True)
     valid_risk = RISK_GRID + ", valid_risk AS (SELECT * FROM risky WHERE Built_Up_Age BETWEEN 5 AND 50)"

@@ -112,6 +112,21 @@ DERIVED = {
 }
 
 
+# Ten fields that use one another, given in no order.
+GRAPH = {
+    "f1": "[f3] / ([f2] + 1)",
+    "f2": "exp(-[Distance_from_River] / 1000)",
+    "f3": "sqrt([f5]) + [f2]",
+    "f4": "max([f1], [f3]) ^ 2",
+    "f5": "abs([Distance_from_River] % 7) + [Slope]",
+    "f6": "log([f4] + [f5] + 1)",
+    "f7": "min([f6], [f10])",
+    "f8": "[f7] - [f1] * [f2]",
+    "f9": "([f8] + [f7]) / (exp(-[Distance_from_River] / 1000) + [f3] + 1)",
+    "f10": "sin([f5]) * [f2] - sqrt([f5])",
+}
+
+
 def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
     return frame.select(
         *(
@@ -161,6 +176,11 @@ def _derive(expressions: dict[str, str]) -> Query:
     return run
 
 
+def derive_graph(spark: SparkSession, folder: str) -> DataFrame:
+    cells = P.derive_fields(demo_grid(spark, folder), GRAPH)
+    return special(cells.select(*GRAPH), list(GRAPH), 6)
+
+
 def scan_grid(spark: SparkSession, folder: str) -> DataFrame:
     return special(demo_grid(spark, folder), ["DEM"])
 
@@ -505,6 +525,7 @@ def all_queries() -> dict[str, Query]:
         "field_samples": field_samples,
         "preview": preview,
         **{key: _derive(expressions) for key, expressions in DERIVED.items()},
+        "derive_graph": derive_graph,
         "drop_fields": drop_fields,
         "add_constant_field": add_constant_field,
         "rename_fields": rename_fields,

@@ -94,9 +94,9 @@ def check_expression(text: str, names: Iterable[str]) -> str:
     return body
 
 
-def compile_expression(text: str, schema: StructType) -> Compiled:
-    """Turn the text into a double column over a frame with this schema."""
-    body = check_expression(text, schema.names)
+def parse_expression(text: str, names: Iterable[str]) -> tuple[ast.AST, dict[str, str]]:
+    """The syntax tree of a checked expression, and the field that each of its names stands for."""
+    body = check_expression(text, names)
     stem = "ref"
     while stem in body:
         stem += "_"
@@ -109,15 +109,50 @@ def compile_expression(text: str, schema: StructType) -> Compiled:
 
     source = _REFERENCE.sub(placeholder, body).replace("^", "**")
     try:
-        tree = ast.parse(source.strip(), mode="eval")
+        return ast.parse(source.strip(), mode="eval").body, fields
+    except (SyntaxError, ValueError, OverflowError, RecursionError, MemoryError) as error:
+        raise ExpressionError(f"Cannot read expression: {error}") from None
+
+
+def compile_expression(text: str, schema: StructType) -> Compiled:
+    """Turn the text into a double column over a frame with this schema."""
+    tree, fields = parse_expression(text, schema.names)
+    try:
         builder = _Builder(fields, schema)
-        return Compiled(builder.steps, builder.column(tree.body).cast("double"))
+        return Compiled(builder.steps, builder.column(tree).cast("double"))
     except ExpressionError:
         raise
-    except (SyntaxError, ValueError, OverflowError, RecursionError, MemoryError) as error:
+    except (ValueError, OverflowError, RecursionError, MemoryError) as error:
         raise ExpressionError(f"Cannot read expression: {error}") from None
 
 
+def operation(node: ast.AST) -> tuple[str, tuple[ast.AST, ...]]:
+    """What an inner node of a tree computes, and its operands; raises if it is not allowed."""
+    if isinstance(node, ast.BinOp) and type(node.op) in _BINARY:
+        return type(node.op).__name__, (node.left, node.right)
+    if isinstance(node, ast.UnaryOp) and type(node.op) in _UNARY:
+        return type(node.op).__name__, (node.operand,)
+    if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and not node.keywords:
+        name = node.func.id.lower()
+        if name not in FUNCTIONS:
+            raise ExpressionError(f"Unknown function: {node.func.id}")
+        if len(node.args) != FUNCTIONS[name][0]:
+            raise ExpressionError(f"{name} takes {FUNCTIONS[name][0]} argument(s), got {len(node.args)}")
+        return name, tuple(node.args)
+    raise ExpressionError(f"Not allowed in an expression: {ast.unparse(node)}")
+
+
+# What ``operation`` names, as a builder of columns, and those that use an operand more than once.
+BUILDERS = {kind.__name__: build for kind, build in (_BINARY | _UNARY).items()} | {n: build for n, (_, build) in FUNCTIONS.items()}
+REPEATING = {kind.__name__ for kind in _REPEATING_OPERATORS} | _REPEATING_FUNCTIONS
+
+
+def number_field(name: str, schema: StructType) -> Column:
+    if not isinstance(schema[name].dataType, (NumericType, BooleanType)):
+        raise ExpressionError(f"Field is not numeric: [{name}]")
+    return C.number(name)
+
+
 class _Builder:
     def __init__(self, fields: dict[str, str], schema: StructType) -> None:
         self.fields, self.schema = fields, schema
@@ -139,22 +174,6 @@ class _Builder:
         if isinstance(node, ast.Constant) and type(node.value) in (int, float):
             return F.lit(float(node.value))
         if isinstance(node, ast.Name) and node.id in self.fields:
-            name = self.fields[node.id]
-            if not isinstance(self.schema[name].dataType, (NumericType, BooleanType)):
-                raise ExpressionError(f"Field is not numeric: [{name}]")
-            return C.number(name)
-        if isinstance(node, ast.BinOp) and type(node.op) in _BINARY:
-            operand = self.once if isinstance(node.op, _REPEATING_OPERATORS) else self.column
-            return _BINARY[type(node.op)](operand(node.left), operand(node.right))
-        if isinstance(node, ast.UnaryOp) and type(node.op) in _UNARY:
-            return _UNARY[type(node.op)](self.column(node.operand))
-        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and not node.keywords:
-            name = node.func.id.lower()
-            if name not in FUNCTIONS:
-                raise ExpressionError(f"Unknown function: {node.func.id}")
-            arity, build = FUNCTIONS[name]
-            if len(node.args) != arity:
-                raise ExpressionError(f"{name} takes {arity} argument(s), got {len(node.args)}")
-            operand = self.once if name in _REPEATING_FUNCTIONS else self.column
-            return build(*map(operand, node.args))
-        raise ExpressionError(f"Not allowed in an expression: {ast.unparse(node)}")
+            return number_field(self.fields[node.id], self.schema)
+        kind, operands = operation(node)
+        return BUILDERS[kind](*map(self.once if kind in REPEATING else self.column, operands))

@@ -13,6 +13,7 @@ from pyspark.sql.types import NumericType
 
 from gridtide.functions.columns import field
 from gridtide.functions.expressions import compile_expression
+from gridtide.functions.graph import compile_fields
 from gridtide.sources.binding import require_columns
 
 # Offered type name -> Spark type.
@@ -59,6 +60,19 @@ def derive_field(cells: DataFrame, name: str, expression: str) -> DataFrame:
     return put_columns(compiled.over(cells), {_new_name(name): compiled.result}, cells.columns)
 
 
+def derive_fields(cells: DataFrame, definitions: Mapping[str, str]) -> DataFrame:
+    """Add or replace several double columns whose expressions may use one another, in any order.
+
+    ``[name]`` is the new field where there is one; only in its own expression it is the column that
+    it replaces. Parts that several fields share are computed once.
+    """
+    named = {_new_name(name): text for name, text in definitions.items()}
+    if len(named) < len(definitions):
+        raise ValueError("A field is defined twice")
+    compiled = compile_fields(named, cells.schema)
+    return put_columns(compiled.over(cells), compiled.results, cells.columns)
+
+
 def add_constant_field(
     cells: DataFrame, name: str, dtype: str = "Float64", default: str | None = "null"
 ) -> DataFrame:
