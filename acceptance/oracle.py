@@ -527,6 +527,9 @@ def all_oracles() -> dict[str, str]:
         "stream_delta_overview": found["run_summary"],
         "field_profile_stored": _stored_profile(),
         "derive_graph": _graph(),
+        "filter_clustered": f"{GRID} SELECT Developed, Income_Classification, Sovereig, Country, Slope, POP_2025"
+        " FROM grid WHERE Country IN (110, 200) AND Built_Up_Age = 25",
+        "scan_versioned": f"{GRID} SELECT Built_Up_Age, Slope, Distance_from_River FROM grid",
     }
     risk_measures = _moments({"Risk_Index": "CAST(risk AS DOUBLE)"}, extremes=True)
     valid_risk = RISK_GRID + ", valid_risk AS (SELECT * FROM risky WHERE Built_Up_Age BETWEEN 5 AND 50)"

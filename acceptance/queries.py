@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridtide import schema as S
 from gridtide.functions.columns import INF, field, is_floating, number
 from gridtide.functions.display import format_report_values
-from gridtide.operators import fields as P
+from gridtide.operators import fields as P, layout
 from gridtide.operators import tables as T
 from gridtide.operators.filters import filter_codes, matches, valid_age
 from gridtide.operators.labels import with_label
@@ -23,6 +23,7 @@ from gridtide.plans.report import CATALOGUE, OVERVIEW, build_report, display_tex
 from gridtide.plans.risk import risk_output, with_ead, with_risk
 from gridtide.plans.work import work_folder
 from gridtide.sources import profile, scan
+from gridtide.sources.sinks import write_fields
 from gridtide.sources.demo_grid import (
     FLOOD,
     demo_country_labels,
@@ -298,6 +299,23 @@ def filter_by_codes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def filter_clustered(spark: SparkSession, folder: str) -> DataFrame:
+    """The grid stored along a space-filling order of its codes, then one country and age of it."""
+    path = f"{work_folder(spark)}/grid"
+    write_fields(demo_grid(spark, folder), path, [folder], cluster_by=layout.CODES)
+    found = filter_codes(scan.scan_grid(spark, path), {S.COUNTRY.column: [110, 200], S.AGE: 25})
+    return found.select(*S.CODE_COLUMNS, "Slope", S.POPULATION)
+
+
+def scan_versioned(spark: SparkSession, folder: str) -> DataFrame:
+    """A table published twice; the scan reads the second version."""
+    path = f"{work_folder(spark)}/grid"
+    cells = few(spark, folder)
+    write_fields(valid_age(cells), path, [folder], versioned=True)
+    write_fields(P.reorder_fields(cells, FEW[:3]), path, [folder], versioned=True)
+    return scan.scan_grid(spark, path)
+
+
 def filter_older_developing(spark: SparkSession, folder: str) -> DataFrame:
     criteria = {"Developed": 2, "Income_Classification": [1, 4], S.AGE: (">=", 35)}
     return filter_codes(demo_grid(spark, folder), criteria).select(
@@ -537,6 +555,8 @@ def all_queries() -> dict[str, Query]:
         "filter_valid_age": filter_valid_age,
         "filter_by_codes": filter_by_codes,
         "filter_older_developing": filter_older_developing,
+        "filter_clustered": filter_clustered,
+        "scan_versioned": scan_versioned,
         "ead": ead,
         "risk_index": risk_index,
         "ead_and_risk": ead_and_risk,

@@ -3,6 +3,7 @@
 from gridtide.operators.fields import (
     add_constant_field,
     derive_field,
+    derive_fields,
     drop_fields,
     manage_fields,
     move_field,
@@ -17,11 +18,13 @@ from gridtide.operators.summary import summarise
 from gridtide.plans.report import build_report, write_report
 from gridtide.plans.risk import risk_output, run_risk, with_ead, with_risk
 from gridtide.sources.scan import preview, read_code_labels, scan_grid
+from gridtide.sources.sinks import write_fields, write_risk
 
 __all__ = [
     "add_constant_field",
     "build_report",
     "derive_field",
+    "derive_fields",
     "drop_fields",
     "filter_codes",
     "manage_fields",
@@ -40,5 +43,7 @@ __all__ = [
     "with_ead",
     "with_label",
     "with_risk",
+    "write_fields",
     "write_report",
+    "write_risk",
 ]

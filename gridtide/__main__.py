@@ -32,10 +32,10 @@ from gridtide.plans.report import build_report, write_report
 from gridtide.plans.risk import run_risk
 from gridtide.plans.session import configure
 from gridtide.plans.work import clear_work
-from gridtide.sources.profile import field_profile, file_profile
+from gridtide.sources.profile import file_profile, stored_field_profile
 from gridtide.sources.scan import preview, read_code_labels, scan_grid
 from gridtide.sources.sinks import default_field_output, write_fields
-from gridtide.streaming.incremental import finish, read_arriving, stream_report_state, stream_risk
+from gridtide.streaming.incremental import arrived_report, finish, read_arriving, stream_report_state, stream_risk
 
 
 def _pair(text: str) -> tuple[str, str]:
@@ -72,12 +72,14 @@ def parser() -> argparse.ArgumentParser:
     orders.add_argument("--az", action="store_true")
     orders.add_argument("--by-type", action="store_true")
     fields.add_argument("--move", type=_pair, action="append", default=[], help="after the ordering, by new name")
+    fields.add_argument("--cluster-by", type=_names, default=[], help="lay the rows out for filters on these fields")
 
     risk = commands.add_parser("risk")
     report = commands.add_parser("report")
     stream = commands.add_parser("stream").add_subparsers(dest="kind", required=True)
     stream_risk_, stream_report = stream.add_parser("risk"), stream.add_parser("report")
-    for one in (risk, report, stream_risk_, stream_report):
+    arrived = commands.add_parser("arrived", help="the report over what a report stream has taken so far")
+    for one in (risk, report, arrived, stream_risk_, stream_report):
         one.add_argument("input")
         one.add_argument("output")
     for one in (stream_risk_, stream_report):
@@ -90,8 +92,12 @@ def parser() -> argparse.ArgumentParser:
     for one in (report, stream_report):
         one.add_argument("--flood", default="auto")
         one.add_argument("--keep-zeros", action="store_true")
-    report.add_argument("--countries", help="Parquet with the columns code and label")
-    report.add_argument("--csv", action="store_true")
+    arrived.add_argument("--flood", help="name of the flood column that the stream found")
+    for one in (report, arrived):
+        one.add_argument("--countries", help="Parquet with the columns code and label")
+        one.add_argument("--csv", action="store_true")
+    for one in (fields, risk, report, arrived):
+        one.add_argument("--versioned", action="store_true", help="publish by a manifest, for storage without rename")
     return main_parser
 
 
@@ -125,22 +131,24 @@ def run(spark: SparkSession, arguments: Sequence[str]) -> None:
     if args.command == "profile":
         cells = scan_grid(spark, args.input)
         file_profile(cells).show(truncate=False)
-        field_profile(cells).orderBy("position").show(len(cells.columns), truncate=False)
+        stored_field_profile(spark, args.input).orderBy("position").show(len(cells.columns), truncate=False)
     elif args.command == "preview":
         preview(scan_grid(spark, args.input), args.rows, args.order_by).show(args.rows, truncate=False)
     elif args.command == "stream":
         _stream(spark, args)
     elif args.command == "fields":
         cells = _edited(scan_grid(spark, args.input), args)
-        write_fields(cells, args.output or default_field_output(args.input), [args.input])
+        output = args.output or default_field_output(args.input)
+        write_fields(cells, output, [args.input], cluster_by=args.cluster_by, versioned=args.versioned)
     elif args.command == "risk":
-        run_risk(spark, args.input, args.output, args.map, args.exposure, args.vulnerability)
+        run_risk(spark, args.input, args.output, args.map, args.exposure, args.vulnerability, versioned=args.versioned)
     else:
         labels = read_code_labels(spark, args.countries) if args.countries else None
-        tables = build_report(
-            scan_grid(spark, args.input), labels, args.flood, exclude_zero=not args.keep_zeros
-        )
-        write_report(tables, args.output, [args.input], csv=args.csv)
+        if args.command == "arrived":
+            tables = arrived_report(spark, args.input, labels, args.flood)
+        else:
+            tables = build_report(scan_grid(spark, args.input), labels, args.flood, exclude_zero=not args.keep_zeros)
+        write_report(tables, args.output, [args.input], csv=args.csv, versioned=args.versioned)
 
 
 def main() -> None:

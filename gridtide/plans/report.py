@@ -16,7 +16,7 @@ from gridtide.operators.summary import summarise
 from gridtide.plans.work import written
 from gridtide.sources.binding import detect_flood_column
 from gridtide.sources.scan import scan_for_report
-from gridtide.sources.sinks import refuse_overlap, staged
+from gridtide.sources.sinks import put_in_place, refuse_overlap
 
 
 class Sheet(NamedTuple):
@@ -198,10 +198,13 @@ def build_report(
     return tables
 
 
-def write_report(tables: dict[str, DataFrame], output: str, inputs: list[str], *, csv: bool = False) -> list[str]:
+def write_report(
+    tables: dict[str, DataFrame], output: str, inputs: list[str], *, csv: bool = False, versioned: bool = False
+) -> list[str]:
     """One Parquet folder per table below ``output``, and with ``csv`` its display text beside it.
 
-    The whole report is put in place at once: until then an old report stays as it is.
+    The whole report is put in place at once: until then an old report stays as it is. A ``versioned``
+    one is found with ``stored_path``.
     """
     spark = next(iter(tables.values())).sparkSession
     refuse_overlap(spark, output, inputs)
@@ -213,7 +216,7 @@ def write_report(tables: dict[str, DataFrame], output: str, inputs: list[str], *
                 stored = spark.read.schema(table.schema).parquet(f"{folder}/{name}")
                 display_text(name, stored).write.option("header", True).csv(f"{folder}/{name}_csv")
 
-    staged(spark, output, write)
+    put_in_place(spark, output, write, versioned)
     return list(tables)
 
 

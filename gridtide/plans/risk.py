@@ -52,6 +52,8 @@ def run_risk(
     mapping: Mapping | None = None,
     exposure: str = S.EXPOSURE,
     vulnerability: str = S.VULNERABILITY,
+    *,
+    versioned: bool = False,
 ) -> None:
     cells = scan_grid(spark, input_path)
-    write_risk(risk_output(cells, mapping, exposure, vulnerability), output_path, [input_path])
+    write_risk(risk_output(cells, mapping, exposure, vulnerability), output_path, [input_path], versioned=versioned)

@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridtide import schema as S
 from gridtide.functions.columns import field
+from gridtide.sources import manifest
 from gridtide.sources.binding import report_columns, require_columns
 
 
 def scan_grid(spark: SparkSession, path: str) -> DataFrame:
-    """Lazy scan of one Parquet file or a directory of them."""
-    return spark.read.parquet(path)
+    """Lazy scan of one Parquet file, a directory of them, or the current version of a published table."""
+    return spark.read.parquet(stored_path(spark, path))
+
+
+def stored_path(spark: SparkSession, path: str) -> str:
+    """Where the data of a table is: the path itself, unless the table is published by a manifest."""
+    return manifest.current(spark, path) or path
 
 
 def scan_columns(cells: DataFrame, names: Sequence[str]) -> DataFrame:

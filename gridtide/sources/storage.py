@@ -104,6 +104,16 @@ def create(spark: SparkSession, path: str, text: str = "") -> bool:
     return True
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """The content of a small file."""
+    fs, name = _open(spark, path)
+    source = fs.open(name)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
 def children(spark: SparkSession, path: str) -> list[tuple[str, float]]:
     """Paths right below a folder, with their modification times in seconds; none if it is missing."""
     fs, name = _open(spark, path)

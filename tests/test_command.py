@@ -2,10 +2,10 @@ import pytest
 
 from gridtide import schema as S
 from gridtide.__main__ import run
-from tests.grid import make_cells
-from tests.test_risk import make_input
+from gridtide.sources.scan import scan_grid, stored_path
 from gridtide.streaming.incremental import latest_report_state
 from tests.grid import make_cells
+from tests.test_risk import make_input
 
 
 def test_profile(spark, folder, capsys):
@@ -54,3 +54,11 @@ def test_stream_command(spark, folder):
     cells.write.parquet(f"{folder}/in")
     run(spark, ["stream", "report", f"{folder}/in", f"{folder}/state", f"{folder}/c", "--keep-zeros"])
     assert latest_report_state(spark, f"{folder}/state").count() > 0
+    run(spark, ["arrived", f"{folder}/state", f"{folder}/out", "--flood", "Flooded_100", "--versioned"])
+    assert spark.read.parquet(f"{stored_path(spark, f'{folder}/out')}/Overview").first()["total_rows"] == 60
+
+
+def test_published_and_clustered_fields(spark, folder):
+    spark.createDataFrame(make_cells(60)).write.parquet(f"{folder}/in")
+    run(spark, ["fields", f"{folder}/in", f"{folder}/out", "--cluster-by", f"{S.AGE},Country", "--versioned"])
+    assert scan_grid(spark, f"{folder}/out").count() == 60
