@@ -13,21 +13,22 @@ features, so that density alone decides where a page says nothing, and main text
 stood in a menu, notice, advert or the like, as no main text.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and
-joined in page order by one space. Scripts, styles, heads and form controls never count as text. Null
-and empty pages, and pages without main text, give an empty text. One row per input row.
+joined in page order by one space. Scripts, styles, heads and form controls never count as text; hidden
+and embedded elements (math, object, svg, noscript and the like) are judged like any other. Null and
+empty pages, and pages without main text, give an empty text. One row per input row.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from gridtide.functions.columns import field
-from gridtide.llm import boosting
+from gridtide.llm import boosting, labelled
 from gridtide.llm.batches import map_texts
 
 SAMPLE_PAGES, SAMPLE_NODES = 600, 60
@@ -38,10 +39,8 @@ BLOCKS = (
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul"
 ).split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
-NO_TEXT = (
-    "applet audio button canvas datalist embed frameset head iframe input map math meter noframes noscript object option "
-    "progress script select style svg template textarea title video"
-).split()
+# Scripts, styles, what stands in the head, and the controls of forms hold no text of a page.
+NO_TEXT = "button datalist embed frameset head iframe input noframes option script select style template textarea title".split()
 ENDS_P = set(BLOCKS) - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -68,11 +67,27 @@ _BLOCK, _VOID, _NO_TEXT = set(BLOCKS), set(VOID), set(NO_TEXT)
 FEATURES = 27
 # Columns of the node's own and its ancestors' tags and tokens.
 NAMED = slice(0, 9)
-MAIN_OWN, SIDE_TAG, SIDE_TOKEN, ABOVE_SIDE = [0, 2], 1, 3, 5
+MAIN_OWN, SIDE_TAG, SIDE_TOKEN, ABOVE_SIDE, TEXT_TAG, PARAGRAPHS = [0, 2], 1, 3, 5, 8, 18
+
+
+class _Open:
+    """An open element."""
+
+    __slots__ = ("at", "blocks", "linked", "node", "shown", "tag", "there")
+
+    def __init__(self, tag: str, at: int, blocks: int, node: int, shown: bool, linked: bool) -> None:
+        # ``at`` grows with the depth; ``blocks`` counts the open blocks up to and with this one.
+        self.tag, self.at, self.blocks = tag, at, blocks
+        self.node, self.shown, self.linked = node, shown, linked
+        self.there = True
 
 
 class Page(HTMLParser):
-    """Tree of a page in document order: parents come before children."""
+    """Tree of a page in document order: parents come before children.
+
+    Every tag costs the same however many elements are open: the open elements of each name are a
+    stack of their own.
+    """
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
@@ -81,18 +96,19 @@ class Page(HTMLParser):
         self.inner = [0]
         self.runs: list[tuple[int, int, bool, str]] = []
         self.block = 0
-        # Open elements: name, node, whether text counts, whether inside a link.
-        self.open: list[tuple[str, int, bool, bool]] = [("#root", 0, True, False)]
-        self.count: Counter[str] = Counter()
+        root = _Open("#root", 0, 0, 0, True, False)
+        self.open: list[_Open] = [root]
+        self.named: defaultdict[str, list[_Open]] = defaultdict(list, {"#root": [root]})
         self.feed(html)
         self.close()
 
     def handle_starttag(self, tag, attrs):
-        if tag in ENDS_P and self.count["p"]:
-            self._close({"p"}, {"table", "td", "th", "#root", "button", "object"})
+        if tag in ENDS_P and self.named["p"]:
+            self._close(("p",), ("table", "td", "th", "button", "object"))
         if tag in CLOSES:
             self._close(*CLOSES[tag])
-        _, node, shown, linked = self.open[-1]
+        above = self.open[-1]
+        node = above.node
         self.inner[node] += 1
         if tag in _BLOCK or tag == "br":
             self.block += 1
@@ -101,14 +117,15 @@ class Page(HTMLParser):
         named = dict(attrs)
         words = " ".join(filter(None, (named.get(k) for k in ("class", "id", "itemprop", "data-component"))))
         role = (named.get("role") or "").lower()
-        hidden = "hidden" in named or "display:none" in (named.get("style") or "").replace(" ", "").lower()
         if tag in _BLOCK or words or role:
             tokens = {t.lower() for t in _TOKEN.findall(words)}
             node = self._node(tag, node)
             self.main[node] = len(tokens & MAIN_TOKENS) + (role in ("main", "article"))
             self.side[node] = len(tokens & SIDE_TOKENS) + (role in SIDE_ROLES)
-        self.count[tag] += 1
-        self.open.append((tag, node, shown and tag not in _NO_TEXT and not hidden, linked or tag == "a"))
+        shown, linked = above.shown and tag not in _NO_TEXT, above.linked or tag == "a"
+        new = _Open(tag, above.at + 1, above.blocks + (tag in _BLOCK), node, shown, linked)
+        self.open.append(new)
+        self.named[tag].append(new)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -118,32 +135,39 @@ class Page(HTMLParser):
     def handle_endtag(self, tag):
         if tag in _BLOCK or tag == "br":
             self.block += 1
-        if not self.count[tag]:
+        if not self.named[tag]:
             return
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at][0] == tag:
-                # An inline end tag does not close blocks: then only the element itself ends.
-                crosses = tag not in _BLOCK and any(name in _BLOCK for name, *_ in self.open[at + 1 :])
-                self._end(at, at + 1 if crosses else len(self.open))
-                return
-
-    def _end(self, low, high):
-        self.count.subtract(name for name, *_ in self.open[low:high])
-        del self.open[low:high]
+        element = self.named[tag][-1]
+        if tag not in _BLOCK and self.open[-1].blocks > element.blocks:
+            # An inline end tag does not close blocks: then only the element itself ends.
+            self.named[tag].pop()
+            element.there = False
+        else:
+            self._end(element)
 
     def handle_data(self, data):
-        _, node, shown, linked = self.open[-1]
-        if shown:
-            self.runs.append((node, self.block, linked, data))
+        top = self.open[-1]
+        if top.shown:
+            self.runs.append((top.node, self.block, top.linked, data))
+
+    def _end(self, element: _Open) -> None:
+        """The element ends, and all that is open above it."""
+        while True:
+            top = self.open.pop()
+            if top.there:
+                self.named[top.tag].pop()
+            if top is element:
+                break
+        while not self.open[-1].there:
+            self.open.pop()
 
     def _close(self, names, stop):
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at][0] in names:
-                self._end(at, len(self.open))
-                self.block += 1
-                return
-            if self.open[at][0] in stop:
-                return
+        """The innermost open element of these names ends, unless one of ``stop`` is open inside it."""
+        found = max((self.named[name][-1] for name in names if self.named[name]), key=lambda e: e.at, default=None)
+        if found is None or any(self.named[name][-1].at > found.at for name in stop if self.named[name]):
+            return
+        self._end(found)
+        self.block += 1
 
     def _node(self, tag, parent):
         self.tag.append(tag)
@@ -288,13 +312,13 @@ def render(page: Page, kept: np.ndarray) -> str:
 
 
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, html_col: str = "html", **options) -> boosting.Trees:
-    """Trees from the seeds of a bounded sample of distinct pages, chosen by hash."""
+    """Trees from the seeds of a bounded sample of distinct pages, chosen by hash.
+
+    Raises if there are pages but none was chosen, which a sample of this size does not meet by chance.
+    """
     html = pages.select(field(html_col).alias("html")).filter("html IS NOT NULL")
     count = html.select(F.xxhash64("html")).distinct().count()
-    steps = 1_000_000
-    if count > sample_pages:
-        html = html.filter(F.pmod(F.xxhash64("html"), F.lit(steps)) < int(steps * sample_pages / count))
-    html = html.distinct()
+    html = html.filter(labelled.share(F.xxhash64("html"), sample_pages, count)).distinct()
 
     def start():
         def work(keys, texts):
@@ -312,6 +336,7 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, html_col: str = "htm
         return work
 
     found = map_texts(html, start, "label bigint, x array<double>", binary=False).toPandas()
+    labelled.require_some(len(found), html, count)
     x = np.array(found["x"].tolist(), dtype=np.float64).reshape(-1, FEATURES)
     y = found["label"].to_numpy(dtype=np.float64)
     order = np.lexsort((*x.T, y))
@@ -320,13 +345,17 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, html_col: str = "htm
 
 
 def varied(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The seeds, the seeds without tags and attributes, and main text put into side elements.
+    """The seeds, the seeds as elements of no telling name, the seeds without tags and attributes, and
+    main text put into side elements.
 
     The last ones count as no main text: an advert inside an article may be as dense as the article.
     """
     bare = x.copy()
     bare[:, NAMED] = 0
-    rows, labels = [x, bare], [y, y]
+    nameless = x.copy()
+    nameless[:, PARAGRAPHS] = np.maximum(0, x[:, PARAGRAPHS] - x[:, TEXT_TAG])
+    nameless[:, TEXT_TAG] = 0
+    rows, labels = [x, nameless, bare], [y, y, y]
     for column in (SIDE_TAG, SIDE_TOKEN, ABOVE_SIDE):
         for source in (x, bare):
             moved = source[y > 0].copy()

@@ -1,10 +1,12 @@
 import html
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from gridtide.llm import html_extract
+from gridtide.llm import html_extract, labelled
 from gridtide.llm.queries import page_texts
 
 ARTICLE = "<p>This sentence, which is rather long, stands in the main text of the page.</p>" * 4
@@ -85,3 +87,59 @@ def test_copies_of_a_page_do_not_enter_the_sample_again(spark, monkeypatch):
     for copies in (1, 200):
         html_extract.fit(spark.createDataFrame(rows + rows[:1] * (copies - 1), "html string"))
     assert sizes[0] == sizes[1] > 0
+
+
+def test_text_of_embedded_and_hidden_elements_is_left_to_the_trees(model):
+    body = "<p>Energy is <math>E</math> here <object>fallback</object></p><p hidden>hid</p><p style='display: none'>den</p><p>Press <button>Go</button> or <svg><text>draw</text></svg><noscript>plain</noscript></p>"
+    for shown in (body, body.replace("<p", "<div").replace("</p", "</div")):
+        text = text_of(model, f"<html><body><nav><a href='/'>Menu</a></nav><article><h1>T</h1>{ARTICLE}{shown}{ARTICLE}</article></body></html>")
+        for words in ("Energy is E here fallback", "hid", "den", "Press or drawplain"):
+            assert f" {words} " in text, words
+        assert "Go" not in text and "Menu" not in text
+
+
+CROSSING = {
+    "inline around blocks": lambda n: "<b><div>" * n + "</b>" * n,
+    "blocks around inline": lambda n: "<div><b>" * n + "</div>" * n + "x",
+    "paragraph under blocks": lambda n: "<p><button>" + "<div>" * n + "x",
+    "items under blocks": lambda n: "<li>" + "<ul><b>" * n + "<li>" * n,
+    "unmatched ends": lambda n: "<i>" * n + "</b></u></p>" * n,
+    "inline in turn": lambda n: "<b><i></b></i>" * n,
+}
+
+
+@pytest.mark.parametrize("kind", sorted(CROSSING))
+def test_crossing_tags_take_linear_time(kind):
+    seconds = []
+    for count in (5_000, 50_000):
+        text = CROSSING[kind](count)
+        start = time.process_time()
+        html_extract.Page(text)
+        seconds.append(time.process_time() - start)
+    assert seconds[1] < 5 and seconds[1] < 25 * max(seconds[0], 0.02)
+
+
+def test_samples_hold_at_any_count(spark, small):
+    mixed = spark.range(200_000).select(F.xxhash64("id").alias("h"))
+    for rows, count, low, high in ((100, 50, 200_000, 200_000), (600, 1_200, 98_000, 102_000), (600, 600 * 200, 900, 1100)):
+        assert low <= mixed.filter(labelled.share(F.col("h"), rows, count)).count() <= high
+    # A pretended table of 10^10 rows: the share is what it should be, not rounded to none.
+    found = spark.range(1).select(F.lit(0).alias("h")).filter(labelled.share(F.col("h").cast("bigint"), 600, 10**10))
+    assert found.count() == 1
+    bound = (1 << 62) * 600 // 10**10
+    edge = spark.createDataFrame([((bound - 1) << 2,), (bound << 2,)], "h bigint")
+    assert edge.filter(labelled.share(F.col("h"), 600, 10**10)).count() == 1
+    with pytest.raises(ValueError, match="empty"):
+        labelled.require_some(0, spark.range(0), 10)
+    labelled.require_some(0, spark.range(0), 0)
+
+
+def test_an_empty_sample_is_an_error(spark, monkeypatch):
+    pages = spark.createDataFrame([(f"<p>{n}</p>",) for n in range(9)], "html string")
+    monkeypatch.setattr(labelled, "share", lambda mixed, rows, count: F.lit(False))
+    with pytest.raises(ValueError, match="empty"):
+        html_extract.fit(pages, sample_pages=3)
+    docs = spark.createDataFrame([(n, f"t{n}") for n in range(9)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(9)], "doc_id bigint, toxic int")
+    with pytest.raises(ValueError, match="empty"):
+        labelled.sample(docs, labels, "toxic", 4, 2, rows=3)
