@@ -32,6 +32,7 @@ from gridtide.plans.work import written
 SHINGLE, SEED, MAX_DIFF = 3, 42, 3
 LEAF, FAN_OUT, SMALL = 1024, 8, 24
 LINKS = "a bigint, b bigint"
+NODES_IN_A_TASK = 100_000
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -181,7 +182,9 @@ def near_duplicates(
     nothing else is reached: then the component is null.
     """
     prints = written(fingerprints(docs, shingle, id_col, text_col))
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # Some MB a task, however many partitions the shuffle has.
+    tasks = -(-prints.count() // NODES_IN_A_TASK) or 1
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).coalesce(tasks))
     reached = components(link_fingerprints(nodes, max_diff)).withColumnRenamed("node", "fp")
     joined = written(reached.join(nodes, "fp"))
     smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -1,3 +1,8 @@
+import time
+
+import numpy as np
+import pandas as pd
+import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -19,7 +24,10 @@ def plain(links):
 
 
 def run(spark, links):
-    return {(r.node, r.component) for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    frame = spark.createDataFrame(links, "a bigint, b bigint")
+    one, rounds = ({(r.node, r.component) for r in components(frame, small=small).collect()} for small in (200_000, 0))
+    assert one == rounds
+    return one
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -42,3 +50,20 @@ def test_millions_of_links(spark):
         F.count("*").alias("n"), F.count_if(F.col("component") != F.col("node") - F.col("node") % 2).alias("wrong")
     )
     assert tuple(found.first()) == (4_000_000, 0)
+
+
+@pytest.mark.parametrize("mixed", [False, True])
+def test_a_long_path_in_one_task(spark, mixed):
+    names = np.arange(100_000)
+    if mixed:
+        np.random.default_rng(1).shuffle(names)
+    links = spark.createDataFrame(pd.DataFrame({"a": names[:-1], "b": names[1:]}))
+    start = time.monotonic()
+    found = components(links).agg(F.count("*"), F.max("component")).first()
+    assert tuple(found) == (100_000, 0) and time.monotonic() - start < 30
+
+
+def test_only_few_links_are_settled_in_one_task(spark):
+    few, many = spark.range(10).selectExpr("id + 1 AS a", "id AS b"), spark.range(11).selectExpr("id + 1 AS a", "id AS b")
+    plans = [components(frame, small=10)._jdf.queryExecution().optimizedPlan().toString() for frame in (few, many)]
+    assert "Aggregate" not in plans[0] and "Aggregate" in plans[1]
