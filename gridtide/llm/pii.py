@@ -17,11 +17,14 @@ and pairs by that before the corpus is read for n(t).
 
 Only DataFrame functions run here. Offsets are code points, ends exclusive. Null texts are empty, copies
 of a text are no support for each other, and every input row gives one result row. Possessive
-quantifiers and look-behinds keep the patterns linear on long runs and match the same spans.
+quantifiers and look-behinds keep the patterns linear on long runs and match the same spans; places
+and pieces of a text with n matches take n log n steps.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridtide.functions.columns import field
@@ -33,6 +36,8 @@ SUPPORT, GENERALISE, REMOVE = 3, 0.9, 1.0
 # Terms up to this number (about 3 MB) are looked up by broadcast while the texts are read; for more of
 # them the counts of all words are joined. Sanitised texts up to FEW_TEXTS get their terms by broadcast.
 FEW_TERMS, FEW_TEXTS = 200_000, 10_000
+# Code points of the parts that a text is cut into for taking pieces out of it.
+CHUNK = 512
 _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
@@ -57,22 +62,76 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, both: Callable[[Column, Column], Column]) -> Column:
+    """Sums, or what ``both`` makes of two, of an array's values up to each place.
+
+    Every pass adds what lies 1, 2, 4 ... places before, so n values take log n passes. A fold that
+    appends to its result would copy it for every value.
+    """
+
+    def doubled(array: Column, number: Column) -> Column:
+        step = F.call_function("shiftleft", F.lit(1), number)
+        return F.transform(array, lambda x, at: F.when(at < step, x).otherwise(both(x, F.get(array, at - step))))
+
+    passes = F.sequence(F.lit(0), F.length(F.bin(F.size(values) - 1)) - 1)
+    return F.when(F.size(values) < 2, values).otherwise(F.aggregate(passes, values, doubled))
+
+
+def _located(text: Column, pattern: str, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` over the values of a pattern's matches and the places where they end.
+
+    The texts between the matches give the places.
+    """
+
+    def ends(gaps: Column, values: Column) -> Column:
+        lengths = F.transform(values, lambda v, at: F.length(v) + F.length(F.get(gaps, at)))
+        return _let(lengths, lambda found: _running(found, lambda x, y: x + y))
+
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return _let(values, lambda v: _let(F.split(text, pattern, -1), lambda gaps: _let(ends(gaps, v), lambda e: body(v, e))))
+
+
 def _places(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of the pattern's matches.
+    """Array of (start, end, value) of the pattern's matches."""
+
+    def listed(values: Column, ends: Column) -> Column:
+        end = lambda at: F.get(ends, at)
+        return F.transform(
+            values, lambda v, at: F.struct((end(at) - F.length(v)).alias("start"), end(at).alias("end"), v.alias("value"))
+        )
+
+    return _located(text, pattern, listed)
 
-    The texts between the matches give their places; one pass adds the lengths up.
+
+def _pieces(text: Column, spans: Column, piece: Callable[[Callable, Column, Column], Column]) -> Column:
+    """The text with a piece for each span, joined once: ``piece(part, done, span)``.
+
+    ``done`` is the end of what earlier spans reach, and ``part(low, high)`` the text between two
+    places. It is taken from chunks of the text, as the text itself would be counted through from its
+    start for every span. Spans are sorted; after the last one the rest of the text follows.
     """
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
-    begin = F.expr("struct(0 AS at, cast(array() AS array<struct<start:int,end:int,value:string>>) AS out)")
 
-    def step(done: Column, part: Column) -> Column:
-        start = done["at"] + F.length(part["gap"])
-        end = start + F.length(part["value"])
-        place = F.struct(start.alias("start"), end.alias("end"), part["value"].alias("value"))
-        found = F.struct(end.alias("at"), F.concat(done["out"], F.array(place)).alias("out"))
-        return F.when(part["value"].isNull(), done).otherwise(found)
+    def over(chunks: Column, found: Column, reach: Column) -> Column:
+        def part(low: Column, high: Column) -> Column:
+            first, last = F.floor(low / CHUNK).cast("int"), F.floor((high - 1) / CHUNK).cast("int")
+            begin = low - first * CHUNK + 1
+            within = F.substring(F.get(chunks, first), begin, high - low)
+            middle = F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+            across = F.concat(F.substring(F.get(chunks, first), begin, F.lit(CHUNK)), middle, F.substring(F.get(chunks, last), F.lit(1), high - last * CHUNK))
+            return F.when(high <= low, "").when(first == last, within).otherwise(across)
+
+        done = lambda at: F.when(at == 0, 0).otherwise(F.get(reach, at - 1))
+        made = F.transform(found, lambda span, at: _let(done(at), lambda d: piece(part, d, span)))
+        return F.concat(F.array_join(made, ""), part(done(F.size(found)), F.length(text)))
 
-    return F.aggregate(parts, begin, step, lambda done: done["out"])
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    reach = lambda found: _let(F.transform(found, lambda s: s["end"]), lambda ends: _running(ends, F.greatest))
+    return _let(chunks, lambda c: _let(spans, lambda found: _let(reach(found), lambda r: over(c, found, r))))
 
 
 def _kind_spans(text: Column, kind: str) -> Column:
@@ -129,15 +188,12 @@ def _based(texts: DataFrame) -> DataFrame:
 
 def _blanked(text: Column, spans: Column) -> Column:
     """The text with a blank for every character of these sorted spans."""
-    begin = F.expr("struct(0 AS at, cast(array() AS array<string>) AS out)")
 
-    def step(done: Column, span: Column) -> Column:
-        before = F.substring(text, done["at"] + 1, F.greatest(span["start"] - done["at"], F.lit(0)))
-        blanks = F.repeat(F.lit(" "), F.greatest(span["end"] - F.greatest(span["start"], done["at"]), F.lit(0)))
-        return F.struct(F.greatest(done["at"], span["end"]).alias("at"), F.concat(done["out"], F.array(before, blanks)).alias("out"))
+    def piece(part: Callable, done: Column, span: Column) -> Column:
+        blanks = F.repeat(F.lit(" "), F.greatest(span["end"] - F.greatest(span["start"], done), F.lit(0)))
+        return F.concat(part(done, span["start"]), blanks)
 
-    rest = lambda done: F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text)))
-    return F.aggregate(spans, begin, step, rest)
+    return _pieces(text, spans, piece)
 
 
 def _terms(text: Column) -> Column:
@@ -147,18 +203,16 @@ def _terms(text: Column) -> Column:
 
 def _occurrences(text: Column, words: Column) -> Column:
     """Spans of all occurrences in the text of the words of a map to ``removed``; empty for a null map."""
-    parts = F.arrays_zip(F.split(text, _WORD, -1).alias("gap"), F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)).alias("value"))
-    begin = F.expr(f"struct(0 AS at, {_NO_TERMS} AS out)")
 
-    def step(done: Column, part: Column) -> Column:
-        start = done["at"] + F.length(part["gap"])
-        end = start + F.length(part["value"])
-        removed = F.try_element_at(words, F.lower(part["value"]))
-        place = F.struct(start.alias("start"), end.alias("end"), part["value"].alias("value"), removed.alias("removed"))
-        out = F.when(removed.isNull(), done["out"]).otherwise(F.concat(done["out"], F.array(place)))
-        return F.when(part["value"].isNull(), done).otherwise(F.struct(end.alias("at"), out.alias("out")))
+    def listed(values: Column, ends: Column) -> Column:
+        def span(value: Column, at: Column) -> Column:
+            end = F.get(ends, at)
+            removed = F.try_element_at(words, F.lower(value))
+            return F.struct((end - F.length(value)).alias("start"), end.alias("end"), value.alias("value"), removed.alias("removed"))
 
-    return F.when(words.isNull() | text.isNull(), F.expr(_NO_TERMS)).otherwise(F.aggregate(parts, begin, step, lambda done: done["out"]))
+        return F.filter(F.transform(values, span), lambda s: s["removed"].isNotNull())
+
+    return F.when(words.isNull() | text.isNull(), F.expr(_NO_TERMS)).otherwise(_located(text, _WORD, listed))
 
 
 def _words_of_texts(base: DataFrame, texts: DataFrame, support: int, generalise: float, remove: float) -> DataFrame | None:
@@ -280,12 +334,7 @@ def _words_for(base: Column, terms: Column) -> Column:
 
 
 def _replaced(text: Column, spans: Column) -> Column:
-    begin = F.expr("struct(0 AS at, cast(array() AS array<string>) AS out)")
-
-    def step(done: Column, span: Column) -> Column:
-        piece = F.array(F.substring(text, done["at"] + 1, span["start"] - done["at"]), span["word"])
-        more = F.when(span["start"] >= done["at"], F.concat(done["out"], piece)).otherwise(done["out"])
-        return F.struct(F.greatest(done["at"], span["end"]).alias("at"), more.alias("out"))
+    def piece(part: Callable, done: Column, span: Column) -> Column:
+        return F.when(span["start"] >= done, F.concat(part(done, span["start"]), span["word"])).otherwise("")
 
-    rest = lambda done: F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, begin, step, rest))
+    return F.when(F.size(spans) == 0, text).otherwise(_pieces(text, spans, piece))
