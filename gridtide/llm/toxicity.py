@@ -33,6 +33,7 @@ from gridtide.llm.batches import map_texts, pick, rewrite_texts
 from gridtide.llm.labelled import SAMPLE_ROWS, held_out, sample
 
 MODULUS, REST, CUT = 4, 2, 0.3
+UNLEARNED = 0.01
 STEMS = (4, 5, 6)
 LEAST_ODDS, LEAST_EVIDENCE, LEAST_TEXTS = 3.0, 20.0, 4
 KNOWN_WORDS = 50_000
@@ -244,9 +245,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> S
 
 
 def _regression(rows: np.ndarray, labels: np.ndarray, penalty: float = 0.1) -> np.ndarray:
-    """Logistic weights with the intercept last, by Newton steps; only the length may count against."""
+    """Logistic weights with the intercept last, by Newton steps; only the length may count against.
+
+    Without any row nothing has been learned, and every text scores UNLEARNED: a filter keeps it.
+    """
     x = np.hstack([rows, np.ones((len(rows), 1))])
     weights = np.zeros(x.shape[1])
+    if not len(rows):
+        weights[-1] = np.log(UNLEARNED / (1 - UNLEARNED))
+        return weights
     chance = (labels.sum() + 0.5) / (len(labels) + 1.0)
     weights[-1] = np.log(chance / (1 - chance))
     ridge = np.eye(x.shape[1]) * penalty
