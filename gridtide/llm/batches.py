@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
@@ -21,6 +21,11 @@ def pick(frame: DataFrame, **columns: str) -> DataFrame:
     return frame.select(*(field(source).alias(name) for name, source in columns.items()))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(schema))
 
@@ -58,25 +63,27 @@ def map_texts(
 
 
 def rewrite_texts(
-    docs: DataFrame, start: Callable[[], Callable[[list], tuple[Sequence, Sequence]]], text_col: str
+    docs: DataFrame, start: Callable[[], Callable[..., tuple[Sequence, Sequence]]], text_col: str, beside: str | None = None
 ) -> DataFrame:
     """All columns of the documents, with texts replaced and rows left out.
 
-    ``start`` runs once per task and returns a function of a list of texts (bytes or None) that gives
-    the new texts and, for each, whether its row stays.
+    ``start`` runs once per task and returns a function of a list of texts (bytes or None), and of the
+    values of the column ``beside`` if there is one, that gives the new texts and, for each, whether its
+    row stays.
     """
     at = docs.columns.index(text_col)
+    other = None if beside is None else docs.columns.index(beside)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
             texts = batch.column(at).cast(pa.binary())
             for low, high in slices(texts):
-                new, keep = work(texts.slice(low, high - low).to_pylist())
-                part = batch.slice(low, high - low).set_column(
-                    at, batch.schema.field(at), pa.array(new, type=pa.binary()).cast(pa.string())
-                )
-                yield part.filter(pa.array(keep, type=pa.bool_()))
+                part = batch.slice(low, high - low)
+                given = [texts.slice(low, high - low).to_pylist()]
+                new, keep = work(*given, *([] if other is None else [part.column(other).to_pylist()]))
+                body = pa.array(new, type=pa.binary()).cast(pa.string())
+                yield part.set_column(at, batch.schema.field(at), body).filter(pa.array(keep, type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

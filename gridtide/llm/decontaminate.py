@@ -5,31 +5,34 @@ it; the length of the longest match ending at each word tells which words lie in
 item. A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is
 one window.
 
-Items are few beside the documents, but their size is checked: they are cut into blocks of at most
-``BLOCK_WORDS`` words, and each block's automaton is broadcast in a pass of its own over the documents,
-carrying the hits found so far. Null texts have no words; a null item_id counts as the empty string;
-items with the same id are one item; a null doc_id stays null.
+Items are few beside the documents, but their size is checked: they are cut into blocks of about
+``BLOCK_WORDS`` words, and each block's automaton is broadcast in a pass of its own over the documents.
+A pass over one of several blocks passes on the hits alone, under a digest of the text they are in, never
+texts; the hits of all blocks are merged by that digest. Items longer than a block become pieces that
+overlap by a window less one word, so that every window lies in one piece. Null texts have no words; a
+null item_id counts as the empty string; items with the same id are one item; a null doc_id stays null.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridtide.functions.columns import field
-from gridtide.llm.batches import map_texts, pick, slices
+from gridtide.llm.batches import let, map_texts, pick, rewrite_texts
 from gridtide.llm.words import split_alnum
 from gridtide.plans.work import written
 
 WINDOW = 10
 # A document with a larger share of hit words is dropped; below it only the spans go.
 MOST_COVERED = 0.5
-BLOCK_WORDS = 50_000
+BLOCK_WORDS = 100_000
 WORD_BYTES = 5
 # Word bytes of a text as it stands: ASCII letters, digits, and every byte above 127.
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -161,24 +164,79 @@ def find_hits(
 ) -> DataFrame:
     """One row per document: word count, hit words, their ranges and the items (as text, sorted)."""
     rows = pick(docs, doc_id=id_col, text=text_col)
-    blocks = _blocks(pick(items, item_id=item_col, text=item_text_col), block_words)
+    blocks = _blocks(pick(items, item_id=item_col, text=item_text_col), block_words, window)
     if len(blocks) == 1:
         return _scan(rows, _automaton(blocks[0], window))
-    found = rows.select("doc_id", F.lit(None).cast(SPANS).alias("spans"), F.lit(None).cast(NAMES).alias("items"), "text")
-    for block in blocks:
-        found = written(_scan_more(found, _automaton(block, window)))
-    return found.drop("text")
+    hits = _hits_of_texts(rows.select("text"), blocks, window)
+    facts = map_texts(rows.select("doc_id", _digest(F.col("text")).alias("digest"), "text"), _counter, "doc_id bigint, digest string, n_words bigint")
+    found = facts.join(hits, "digest", "left")
+    span = "aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.expr(f"coalesce({span}, 0L)").alias("n_hit"),
+        F.coalesce("spans", F.expr(f"cast(array() AS {SPANS})")).alias("spans"),
+        F.coalesce("items", F.expr(f"cast(array() AS {NAMES})")).alias("items"),
+    )
 
 
-def _blocks(items: DataFrame, block_words: int) -> list[DataFrame]:
-    """The distinct items in parts of bounded size, by hash."""
-    items = written(items.distinct())
+def _digest(text: Column) -> Column:
+    return F.md5(text.cast("binary"))
+
+
+def _counter():
+    return lambda keys, texts: [(keys[0], keys[1], [len(split_alnum(text)) for text in texts])]
+
+
+def _hits_of_texts(texts: DataFrame, blocks: list[DataFrame], window: int) -> DataFrame:
+    """digest, spans (merged) and items (sorted) of every distinct text with a hit in some block."""
+    named = texts.filter("text IS NOT NULL").select(_digest(F.col("text")).alias("digest"), "text")
+    passes = [written(_hits(named, _automaton(block, window)).dropDuplicates(["digest"])) for block in blocks]
+    together = reduce(DataFrame.union, passes).groupBy("digest").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    )
+    return written(together.select("digest", _merged_ranges(F.col("spans")).alias("spans"), "items"))
+
+
+def _merged_ranges(spans: Column) -> Column:
+    """Sorted ranges of which those that touch or overlap are one: one place in each text with hits."""
+
+    def runs(places: Column) -> Column:
+        # A run starts where the place before is missing, and ends where the next one is.
+        starts = F.filter(places, lambda p, at: (at == 0) | (F.get(places, at - 1) < p - 1))
+        ends = F.filter(places, lambda p, at: (at == F.size(places) - 1) | (F.get(places, at + 1) > p + 1))
+        return F.zip_with(starts, ends, lambda low, high: F.struct(low.alias("start"), (high + 1).alias("end")))
+
+    return let(F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["end"] - 1))))), runs)
+
+
+def _blocks(items: DataFrame, block_words: int, window: int = WINDOW) -> list[DataFrame]:
+    """The distinct items in parts of bounded size, by hash; long ones as overlapping pieces."""
+    items = written(_in_pieces(items.distinct(), max(block_words, 1), window))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-size // (block_words * WORD_BYTES)))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
     return [items.filter(part == at) if count > 1 else items for at in range(count)]
 
 
+def _in_pieces(items: DataFrame, most: int, window: int) -> DataFrame:
+    kind = items.schema["item_id"].dataType.simpleString()
+
+    def start():
+        def work(keys, texts):
+            rows, pieces = [], []
+            for at, text in enumerate(texts):
+                words = split_alnum(text)
+                for low in range(0, max(1, len(words) - window + 1), most):
+                    rows.append(at)
+                    pieces.append(b" ".join(words[low : low + most + window - 1]))
+            yield keys[0].take(pa.array(rows, type=pa.int64())), pieces
+
+        return work
+
+    return map_texts(items.select("item_id", "text"), start, f"item_id {kind}, text string")
+
+
 def clean(
     docs: DataFrame,
     items: DataFrame,
@@ -192,53 +250,41 @@ def clean(
     """The documents without the spans that benchmark items cover; all columns stay.
 
     A document of whose words more than ``most_covered`` are hit goes altogether. A span runs from its
-    first word to the end of its last one; what stands around it stays. With several blocks of items
-    each pass looks at the untouched texts and adds its hits to those of the passes before; the last
-    one judges and cuts, so the result does not depend on the blocks.
+    first word to the end of its last one; what stands around it stays. The hits of all blocks are found
+    on the untouched texts and judged and cut together, so the result does not depend on the blocks.
     """
-    blocks = _blocks(pick(items, item_id=item_col, text=item_text_col), block_words)
+    blocks = _blocks(pick(items, item_id=item_col, text=item_text_col), block_words, window)
     columns = docs.columns
-    hits = "hits_" + "_".join(columns)
-    docs = docs.withColumn(hits, F.lit(None).cast(SPANS))
-    for block in blocks[:-1]:
-        docs = written(_marked(docs, _automaton(block, window), text_col, hits))
-    cut = _marked(docs, _automaton(blocks[-1], window), text_col, hits, most_covered)
-    return cut.select(*(field(c) for c in columns))
+    if len(blocks) == 1:
+        shared = _automaton(blocks[0], window)
 
+        def start():
+            scan = shared.value.scan
+            return lambda texts: _cut([(text, scan(split_alnum(text))[0]) for text in texts], most_covered)
 
-def _marked(docs: DataFrame, shared, text_col: str, hits: str, most_covered: float | None = None) -> DataFrame:
-    """The rows with one block's hit ranges added to their hits; with ``most_covered`` also judged and cut."""
-    at, mark = docs.columns.index(text_col), docs.columns.index(hits)
+        return rewrite_texts(docs, start, text_col)
+    hits = _hits_of_texts(docs.select(field(text_col).alias("text")), blocks, window)
+    own, mark = (f"{name}_of_{'_'.join(columns)}" for name in ("row", "hits"))
+    named = docs.select(F.struct(*(field(c) for c in columns)).alias(own), _digest(field(text_col)).alias("digest"))
+    marked = named.join(hits.select("digest", F.col("spans").alias(mark)), "digest", "left")
+    marked = marked.select(*(F.col(own)[c].alias(c) for c in columns), mark)
 
-    def run(batches):
-        automaton = shared.value
-        for batch in batches:
-            texts = batch.column(at).cast(pa.binary())
-            for low, high in slices(texts):
-                part, new, found, keep = batch.slice(low, high - low), [], [], []
-                for text, old in zip(texts.slice(low, high - low).to_pylist(), part.column(mark).to_pylist()):
-                    words = split_alnum(text)
-                    spans = _merged(automaton.scan(words)[0], old)
-                    found.append([{"start": start, "end": end} for start, end in spans])
-                    if most_covered is not None:
-                        new.append(cut_words(text, spans) if spans else text)
-                        keep.append(sum(end - start for start, end in spans) <= most_covered * len(words))
-                field_type = batch.schema.field(mark)
-                part = part.set_column(mark, field_type, pa.array(found, type=field_type.type))
-                if most_covered is not None:
-                    body = pa.array(new, type=pa.binary()).cast(pa.string())
-                    part = part.set_column(at, batch.schema.field(at), body).filter(pa.array(keep, type=pa.bool_()))
-                yield part
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def _merged(spans: list[list[int]], old: list[dict] | None) -> list[list[int]]:
-    """Ranges of this block and of those before, merged."""
-    merged: list[list[int]] = []
-    for low, high in sorted([*spans, *([s["start"], s["end"]] for s in old or ())], key=lambda r: r[1]):
-        _cover(merged, low, high)
-    return merged
+    def start_marked():
+        def work(texts, spans):
+            return _cut([(text, [(s["start"], s["end"]) for s in found or ()]) for text, found in zip(texts, spans)], most_covered)
+
+        return work
+
+    cut = rewrite_texts(marked, start_marked, text_col, beside=mark)
+    return cut.select(*(field(c) for c in columns))
+
+
+def _cut(found: list[tuple[bytes, list]], most_covered: float) -> tuple[list[bytes], list[bool]]:
+    new, keep = [], []
+    for text, spans in found:
+        new.append(cut_words(text, spans) if spans else text)
+        keep.append(sum(end - start for start, end in spans) <= most_covered * len(split_alnum(text)) if spans else True)
+    return new, keep
 
 
 def _automaton(items: DataFrame, window: int):
@@ -267,27 +313,25 @@ def _scan(rows: DataFrame, shared) -> DataFrame:
     return map_texts(rows, start, HITS)
 
 
-def _scan_more(rows: DataFrame, shared) -> DataFrame:
-    """As ``_scan``, for rows that carry the hits of earlier blocks and keep their texts."""
+def _hits(rows: DataFrame, shared) -> DataFrame:
+    """digest, spans and items of the texts that this block hits."""
 
     def start():
         automaton = shared.value
 
         def work(keys, texts):
-            counts, hits, spans, items = [], [], [], []
-            for text, old_spans, old_items in zip(texts, keys[1].to_pylist(), keys[2].to_pylist()):
-                words = split_alnum(text)
-                ranges, names = automaton.scan(words)
-                merged = _merged(ranges, old_spans)
-                counts.append(len(words))
-                hits.append(sum(high - low for low, high in merged))
-                spans.append([{"start": low, "end": high} for low, high in merged])
-                items.append(sorted(names.union(old_items or ())))
-            yield keys[0], counts, hits, spans, items, texts
+            rows, spans, items = [], [], []
+            for at, text in enumerate(texts):
+                ranges, names = automaton.scan(split_alnum(text))
+                if ranges:
+                    rows.append(at)
+                    spans.append([{"start": low, "end": high} for low, high in ranges])
+                    items.append(sorted(names))
+            yield keys[0].take(pa.array(rows, type=pa.int64())), spans, items
 
         return work
 
-    return map_texts(rows.select("doc_id", "spans", "items", "text"), start, f"{HITS}, text string")
+    return map_texts(rows, start, f"digest string, spans {SPANS}, items {NAMES}")
 
 
 def cut_words(text: bytes, spans: list[list[int]]) -> bytes:

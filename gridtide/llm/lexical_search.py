@@ -11,8 +11,9 @@ what is left cannot be in the result. At equality the search goes on, since a sm
 Terms whose maxima together stay below that score make no candidates (but count in their masks).
 
 Each task keeps the best documents of every item over all its blocks; these meet in a ranked window.
-Items are few beside the documents, but this is not taken for granted: they are cut into blocks of
-about ``block_terms`` terms, one broadcast and two passes each.
+Items are few beside the documents, but this is not taken for granted. The texts are read once for
+every ``vocabulary`` distinct terms or so, which is once for all but enormous item tables, and the stored
+counts once for every block of about ``block_terms`` terms of items. Both are parts by hash of the item.
 
 Null and empty texts hold no term, so they count nowhere. Rows with the same item_id form one item of
 all their terms; items and documents without a common term of positive weight have no rows. Rows with
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from gridtide.llm.words import split_alnum
 from gridtide.plans.work import written
 
 TOP = 50
-BLOCK_TERMS = 200_000
+VOCABULARY, BLOCK_TERMS = 400_000, 1_000_000
 # Documents and term occurrences of a block, within a batch of rows.
 BLOCK_DOCS, BLOCK_POSTINGS = 8_192, 1_000_000
 # Terms found in this many documents of a block get a bitmap that all items share.
@@ -50,26 +52,33 @@ def search(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    vocabulary: int = VOCABULARY,
     block_terms: int = BLOCK_TERMS,
     block_docs: int = BLOCK_DOCS,
 ) -> DataFrame:
     """item_id, rank (from 1), doc_id and score of each item's ``top`` best documents."""
     rows = pick(docs, doc_id=id_col, text=text_col)
     queries = written(_item_terms(pick(items, text=item_text_col, item_id=item_col)))
-    size = queries.agg(F.sum(F.size("terms"))).first()[0] or 0
-    blocks = max(1, -(-size // block_terms))
-    part = F.pmod(F.xxhash64("item"), F.lit(blocks))
-    found = None
-    for at in range(blocks):
-        here = [(r.item, r.terms) for r in queries.filter(part == at).select("item", "terms").collect()]
-        best = _best(rows, here, top, block_docs)
-        best = best if blocks == 1 else written(best)
-        found = best if found is None else found.union(best)
+    distinct = queries.select(F.explode("terms").alias("term")).distinct().count()
+    found = []
+    for group in _parts(queries, -(-distinct // vocabulary)):
+        index = _Index(rows, group)
+        size = group.agg(F.sum(F.size("terms"))).first()[0] or 0
+        found += [index.best(block, top, block_docs) for block in _parts(group, -(-size // block_terms))]
+    every = found[0] if len(found) == 1 else reduce(DataFrame.union, map(written, found))
     order = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    ranked = every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return ranked.join(queries.select("item", "item_id"), "item").select("item_id", "rank", "doc_id", "score")
 
 
+def _parts(queries: DataFrame, count: int) -> list[DataFrame]:
+    """The items in this many parts by hash. Parts of parts divide them anew."""
+    if count <= 1:
+        return [queries]
+    part = F.pmod(F.xxhash64("item", F.lit(count)), F.lit(count))
+    return [queries.filter(part == at) for at in range(count)]
+
+
 def _item_terms(items: DataFrame) -> DataFrame:
     """(item, item_id, terms): one row per item_id that has a term."""
     kind = items.schema["item_id"].dataType.simpleString()
@@ -87,20 +96,28 @@ def _item_terms(items: DataFrame) -> DataFrame:
     return grouped.withColumn("item", F.monotonically_increasing_id())
 
 
-def _best(rows: DataFrame, queries: list[tuple[int, list[bytes]]], top: int, block_docs: int) -> DataFrame:
-    """Rows ``FOUND``: for each task the documents that may be among the best of each item."""
-    spark = rows.sparkSession
-    terms = sorted({bytes(term) for _, words in queries for term in words})
-    number = {term: at for at, term in enumerate(terms)}
-    counted = written(_count(rows, spark.sparkContext.broadcast(number)).filter("n > 0"))
-    documents, words = counted.agg(F.count("*"), F.sum("n")).first()
-    held = counted.select(F.explode("terms").alias("term")).groupBy("term").count().collect()
-    weights = np.zeros(len(terms), dtype=np.int64)
-    for term, frequency in held:
-        weights[term] = math.floor(1000 * math.log((2 * documents + 2) / (2 * frequency + 1)))
-    wanted = {item: np.array([number[bytes(t)] for t in words_], dtype=np.int64) for item, words_ in queries}
-    shared = spark.sparkContext.broadcast((weights, wanted, documents, words))
-    return counted.filter(F.size("terms") > 0).mapInArrow(_ranker(shared, top, block_docs), FOUND)
+class _Index:
+    """The documents' counts of the terms of some items, stored, and what the weights follow from."""
+
+    def __init__(self, rows: DataFrame, queries: DataFrame) -> None:
+        self.spark = rows.sparkSession
+        terms = sorted(bytes(r.term) for r in queries.select(F.explode("terms").alias("term")).distinct().collect())
+        self.number = {term: at for at, term in enumerate(terms)}
+        counted = written(_count(rows, self.spark.sparkContext.broadcast(self.number)).filter("n > 0"))
+        self.documents, self.words = counted.agg(F.count("*"), F.sum("n")).first()
+        self.counted = counted.filter(F.size("terms") > 0)
+        held = self.counted.select(F.explode("terms").alias("term")).groupBy("term").count().collect()
+        self.weights = np.zeros(len(terms), dtype=np.int64)
+        for term, frequency in held:
+            self.weights[term] = math.floor(1000 * math.log((2 * self.documents + 2) / (2 * frequency + 1)))
+
+    def best(self, queries: DataFrame, top: int, block_docs: int) -> DataFrame:
+        """Rows ``FOUND``: for each task the documents that may be among the best of each item."""
+        wanted = {
+            r.item: np.array([self.number[bytes(t)] for t in r.terms], dtype=np.int64) for r in queries.select("item", "terms").collect()
+        }
+        shared = self.spark.sparkContext.broadcast((self.weights, wanted, self.documents, self.words))
+        return self.counted.mapInArrow(_ranker(shared, top, block_docs), FOUND)
 
 
 def _count(rows: DataFrame, shared) -> DataFrame:

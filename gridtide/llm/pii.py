@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridtide.functions.columns import field
-from gridtide.llm.batches import pick
+from gridtide.llm.batches import let, pick
 from gridtide.plans.work import written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -62,11 +62,6 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` over a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _running(values: Column, both: Callable[[Column, Column], Column]) -> Column:
     """Sums, or what ``both`` makes of two, of an array's values up to each place.
 
@@ -90,10 +85,10 @@ def _located(text: Column, pattern: str, body: Callable[[Column, Column], Column
 
     def ends(gaps: Column, values: Column) -> Column:
         lengths = F.transform(values, lambda v, at: F.length(v) + F.length(F.get(gaps, at)))
-        return _let(lengths, lambda found: _running(found, lambda x, y: x + y))
+        return let(lengths, lambda found: _running(found, lambda x, y: x + y))
 
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return _let(values, lambda v: _let(F.split(text, pattern, -1), lambda gaps: _let(ends(gaps, v), lambda e: body(v, e))))
+    return let(values, lambda v: let(F.split(text, pattern, -1), lambda gaps: let(ends(gaps, v), lambda e: body(v, e))))
 
 
 def _places(text: Column, pattern: str) -> Column:
@@ -126,12 +121,12 @@ def _pieces(text: Column, spans: Column, piece: Callable[[Callable, Column, Colu
             return F.when(high <= low, "").when(first == last, within).otherwise(across)
 
         done = lambda at: F.when(at == 0, 0).otherwise(F.get(reach, at - 1))
-        made = F.transform(found, lambda span, at: _let(done(at), lambda d: piece(part, d, span)))
+        made = F.transform(found, lambda span, at: let(done(at), lambda d: piece(part, d, span)))
         return F.concat(F.array_join(made, ""), part(done(F.size(found)), F.length(text)))
 
     chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
-    reach = lambda found: _let(F.transform(found, lambda s: s["end"]), lambda ends: _running(ends, F.greatest))
-    return _let(chunks, lambda c: _let(spans, lambda found: _let(reach(found), lambda r: over(c, found, r))))
+    reach = lambda found: let(F.transform(found, lambda s: s["end"]), lambda ends: _running(ends, F.greatest))
+    return let(chunks, lambda c: let(spans, lambda found: let(reach(found), lambda r: over(c, found, r))))
 
 
 def _kind_spans(text: Column, kind: str) -> Column:

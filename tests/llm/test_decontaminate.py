@@ -1,10 +1,12 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridtide.llm import decontaminate
 from gridtide.llm.queries import decontamination
 from gridtide.llm.words import split_alnum
+from gridtide.plans.work import written
 from tests.llm.conftest import in_order
 
 ITEMS = [
@@ -59,7 +61,7 @@ def test_query(spark, small, small_rows):
     assert in_order(tuple(r[c] for c in columns) for r in rows.collect()) == in_order(expected)
 
 
-@pytest.mark.parametrize("block_words", [1, 12, 50_000])
+@pytest.mark.parametrize("block_words", [1, 12, 100_000])
 def test_edges_in_one_block_and_many(edge_docs, edge_rows, items, block_words):
     found = decontaminate.find_hits(edge_docs, items, block_words=block_words)
     assert result(found) == plain(edge_rows, ITEMS)
@@ -83,7 +85,7 @@ def test_clean(spark, items):
     assert 4 not in out
 
 
-@pytest.mark.parametrize("block_words", [1, 12, 50_000])
+@pytest.mark.parametrize("block_words", [1, 12, 100_000])
 def test_clean_does_not_depend_on_the_blocks(spark, block_words):
     words = [f"w{n}" for n in range(80)]
     text = lambda low, high: " ".join(words[low:high])
@@ -121,3 +123,38 @@ def test_copies_of_an_item_make_no_block_larger(spark, edge_docs, edge_rows):
     assert sum(block.count() for block in blocks) == len(ITEMS)
     assert len(blocks) < 20
     assert result(decontaminate.find_hits(edge_docs, items, block_words=50_000)) == plain(edge_rows, ITEMS)
+
+
+def test_one_item_longer_than_a_block(spark):
+    """A windowed item of 400 words in pieces, and documents that hold stretches of it across their edges."""
+    words = [f"w{i}" for i in range(400)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "short item")], "item_id bigint, text string")
+    rows = [(i, " ".join(["x"] * (i % 3) + words[i * 7 : i * 7 + 25] + ["y"])) for i in range(55)] + [(99, "a short item here"), (100, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    pieces = decontaminate._in_pieces(items, 30, 10).collect()
+    assert len(pieces) == 15 and max(len(r.text.split()) for r in pieces) == 39
+    for block_words in (30, 100_000):
+        found = decontaminate.find_hits(docs, items, block_words=block_words)
+        assert result(found) == plain(rows, [(1, " ".join(words)), (2, "short item")])
+
+
+def test_passes_over_blocks_carry_hits_not_texts(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(decontaminate, "written", lambda frame: stored.append(frame.columns) or written(frame))
+    rows = [(i, f"one two three four five six seven eight nine ten eleven {i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = spark.createDataFrame([(n, f"one two three four five six seven eight nine ten item{n}") for n in range(6)], "item_id bigint, text string")
+    assert decontaminate.find_hits(docs, items, block_words=12).filter("n_hit = 10").count() == 20
+    # The items with their texts once, then passes and their union.
+    assert stored[0] == ["item_id", "text"] and len(stored) > 3
+    assert all(columns == ["digest", "spans", "items"] for columns in stored[1:])
+    stored.clear()
+    assert decontaminate.clean(docs, items, block_words=12).count() == 0
+    assert all("text" not in columns for columns in stored[1:])
+
+
+def test_merged_ranges(spark):
+    spans = [(5, 8), (1, 3), (3, 4), (20, 21), (6, 12), (21, 25)]
+    frame = spark.createDataFrame([(spans,), ([(2, 3)],)], f"s {decontaminate.SPANS}")
+    found = [[tuple(s) for s in r[0]] for r in frame.select(decontaminate._merged_ranges(F.col("s"))).collect()]
+    assert found == [[(1, 4), (5, 12), (20, 25)], [(2, 3)]]

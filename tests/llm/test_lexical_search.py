@@ -64,9 +64,9 @@ def test_query(spark, small, small_rows):
     assert result(ranked_documents(spark, small)) == plain(small_rows, items)
 
 
-@pytest.mark.parametrize(("top", "block_terms"), [(50, 200_000), (3, 200_000), (2, 4), (1, 1)])
-def test_edges(spark, edge_rows, top, block_terms):
-    found = lexical_search.search(*frames(spark, edge_rows, ITEMS), top=top, block_terms=block_terms)
+@pytest.mark.parametrize(("top", "vocabulary", "block_terms"), [(50, 200_000, 200_000), (3, 200_000, 4), (2, 4, 200_000), (1, 5, 3)])
+def test_edges(spark, edge_rows, top, vocabulary, block_terms):
+    found = lexical_search.search(*frames(spark, edge_rows, ITEMS), top=top, vocabulary=vocabulary, block_terms=block_terms)
     assert result(found) == plain(edge_rows, ITEMS, top)
     assert found.columns == ["item_id", "rank", "doc_id", "score"]
 
