@@ -7,8 +7,9 @@ stay small) and the number of tables from the recall asked for at the threshold;
 found with higher probability. Then two passes over the buckets, both on leaves of bounded size
 (leaves.py), so that a hot bucket is spread over tasks:
 
-1. Signatures only (all tables' bits): a vector with a bucket partner whose signature differs in no
-   more bits than a pair at the threshold does, five standard deviations allowed, is a candidate.
+1. Short signatures only, of a fixed number of bits: a vector with a bucket partner whose signature
+   differs in no more bits than a pair at the threshold does, five standard deviations allowed, is a
+   candidate.
 2. Vectors of candidates only: exact cosines in double precision. A pair counts in the first table in
    which its signatures share a key, so each link is counted once although it is found often. A leaf
    returns counts per vector and a spanning star of each component, never its pairs.
@@ -30,8 +31,10 @@ from gridtide.llm.graph import components, star
 from gridtide.plans.work import written
 
 THRESHOLD, RECALL, SEED, LEAF = 0.9, 0.97, 20_240, 512
-# Bits per table: log2 of the number of vectors less this, so that a bucket holds about 2^4.
-BUCKET_BITS = 4
+# Bits per table: log2 of the number of vectors less this, so that a bucket holds about 2^8. Larger
+# buckets cost bit counts inside tasks and save tables, each of which is a shuffled row per vector.
+BUCKET_BITS = 8
+SIGNATURE_BITS = 256
 _FOUND = "kind int, a bigint, b bigint"
 
 
@@ -42,15 +45,15 @@ class Planes:
         agree = 1.0 - np.arccos(threshold) / np.pi
         self.bits = int(np.clip(np.ceil(np.log2(max(2, count))) - BUCKET_BITS, 4, 30))
         self.tables = int(np.ceil(np.log(1 - recall) / np.log(1 - agree**self.bits)))
-        self.words = -(-self.bits * self.tables // 64)
-        total = self.bits * self.tables
-        apart = (1 - agree) * total
+        self.total = max(self.bits * self.tables, SIGNATURE_BITS)
+        self.words = -(-self.total // 64)
+        apart = (1 - agree) * SIGNATURE_BITS
         self.most = int(np.ceil(apart + 5 * np.sqrt(apart * agree)))
         self.seed = seed
 
     def signatures(self, vectors: np.ndarray) -> np.ndarray:
-        """(rows, words) packed sign bits; table t has the bits from t * bits on."""
-        normals = np.random.default_rng([self.seed, vectors.shape[1]]).standard_normal((vectors.shape[1], self.bits * self.tables))
+        """(rows, words) packed sign bits; table t has the bits from t * bits on, the short signature the first."""
+        normals = np.random.default_rng([self.seed, vectors.shape[1]]).standard_normal((vectors.shape[1], self.total))
         signs = vectors @ normals >= 0
         packed = np.zeros((len(vectors), self.words * 8), dtype=np.uint8)
         bytes_ = np.packbits(signs, axis=1, bitorder="little")
@@ -147,7 +150,8 @@ def _signed(array: pa.Array) -> np.ndarray:
 
 def _candidates(signed: DataFrame, planes: Planes, leaf: int) -> DataFrame:
     """own, signature and keys of the vectors with a close signature in some bucket."""
-    cut = written(leaves.cut(_buckets(signed), ["own", "signature"], leaf))
+    short = F.slice("signature", 1, SIGNATURE_BITS // 64)
+    cut = written(leaves.cut(_buckets(signed.select("own", short.alias("signature"), "keys")), ["own", "signature"], leaf))
     most = planes.most
 
     def apart(one: np.ndarray, two: np.ndarray) -> np.ndarray:

@@ -15,8 +15,10 @@ with a smaller doc_id. Levels have lengths that double up to the asked one (13:
 
 Documents with equal word sequences are one document here, the copy with the smallest doc_id; the
 other copies are removed whole (if they hold a window at all). Before any shuffle each task combines:
-of windows that repeat within a slice of the input it already knows the answer and sends one row, so
-a passage that a third of all documents share arrives as one row per slice, not per document.
+of windows that repeat within a slice of the input it already knows the answer and sends one row, and
+it remembers the most shared of them, up to HOT_KEYS, for its later slices. So a passage that a third of all
+documents share arrives as about one row per task, not per document or slice. (Spreading the answer
+over a window needs the rows in one place; aggregates and a join back would move all rows twice more.)
 
 Windows are compared by 128-bit hashes at the last level; 64-bit ones at the levels before can only
 add candidates. Documents count as equal by a 64-bit hash of their words. Null and empty texts have no
@@ -45,6 +47,11 @@ _LAST = "key bigint, second bigint, doc_id bigint, content bigint, places array<
 _KEPT = "doc_id bigint, content bigint, n_removed bigint, spans array<struct<start:int,end:int>>, sha string, kept string"
 
 
+# A task remembers so many hashes that this many documents of one slice share.
+HOT_KEYS, HOT_DOCUMENTS = 1 << 17, 3
+_NO_ID = np.iinfo(np.int64).max
+
+
 def levels(window: int) -> list[int]:
     out = [window]
     while -(-out[0] // 2) >= SHORTEST:
@@ -60,6 +67,32 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64).view(np.int64)
 
 
+class _Hot:
+    """Hashes that several documents of one task share, with the smallest doc_id of those so far.
+
+    What is not remembered is only sent and compared like any other row.
+    """
+
+    def __init__(self) -> None:
+        self.one, self.two = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
+        self.least = np.empty(0, dtype=np.int64)
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is remembered, and where."""
+        if not len(self.one):
+            return np.zeros(len(one), dtype=bool), np.zeros(len(one), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.one, one), len(self.one) - 1)
+        return (self.one[at] == one) & (self.two[at] == two), at
+
+    def add(self, one: np.ndarray, two: np.ndarray, least: np.ndarray) -> None:
+        room = HOT_KEYS - len(self.one)
+        if room <= 0 or not len(one):
+            return
+        every = [np.concatenate(pair) for pair in zip((self.one, self.two, self.least), (one[:room], two[:room], least[:room]))]
+        self.one, at = np.unique(every[0], return_index=True)
+        self.two, self.least = every[1][at], every[2][at]
+
+
 class _Anchors:
     """Anchors (hash, content, place) of one slice; repeats within the slice are settled here."""
 
@@ -72,7 +105,7 @@ class _Anchors:
         self.hash.append(values)
         self.place.append(places)
 
-    def settle(self):
+    def settle(self, hot: _Hot):
         """Rows to send (hash, content, place), and per owner the places known to repeat."""
         contents = np.array(self.content, dtype=np.uint64)
         sure: list[list[int]] = [[] for _ in contents]
@@ -86,13 +119,19 @@ class _Anchors:
         group = np.cumsum(first) - 1
         shared = np.zeros(group[-1] + 1, dtype=bool)
         shared[group[1:][(group[1:] == group[:-1]) & (owner[1:] != owner[:-1])]] = True
-        known = shared[group]
+        heads = value[first]
+        none = np.zeros(len(heads), dtype=np.uint64)
+        before, _ = hot.find(heads, none)
+        known = (shared | before)[group]
+        often = shared & ~before & (np.bincount(group) >= HOT_DOCUMENTS)
+        hot.add(heads[often], none[often], np.zeros(int(often.sum()), dtype=np.int64))
         by_owner = np.argsort(owner[known], kind="stable")
         owners, places = owner[known][by_owner], place[known][by_owner]
         ends = np.searchsorted(owners, np.arange(len(contents) + 1))
         for at in np.unique(owners).tolist():
             sure[at] = places[ends[at] : ends[at + 1]].tolist()
-        send = ~known | first
+        # Of a hash that an earlier slice has found to repeat, that slice has sent a row.
+        send = (~known | first) & ~before[group]
         return value[send], contents[owner[send]], place[send], sure
 
 
@@ -102,6 +141,7 @@ def _first_level(docs: DataFrame, lengths: list[int]) -> DataFrame:
 
     def start():
         seen: set[int] = set()
+        hot = _Hot()
 
         def work(keys, texts):
             ids = keys[0].to_pylist()
@@ -120,7 +160,7 @@ def _first_level(docs: DataFrame, lengths: list[int]) -> DataFrame:
                 places = np.unique(minimizers(values, longer - length + 1))
                 anchors.add(contents[-1], values[places], places)
                 owners.append(at)
-            value, content, place, settled = anchors.settle()
+            value, content, place, settled = anchors.settle(hot)
             sure = [[] for _ in texts]
             for at, places in zip(owners, settled):
                 sure[at] = places
@@ -155,6 +195,8 @@ def _next_level(marked: DataFrame, lengths: list[int], level: int) -> DataFrame:
     length, longer = lengths[level], lengths[level + 1]
 
     def start():
+        hot = _Hot()
+
         def work(keys, texts):
             anchors, owners, ids = _Anchors(), [], []
             for doc_id, content, marks, text in _marked(keys, texts):
@@ -167,7 +209,7 @@ def _next_level(marked: DataFrame, lengths: list[int], level: int) -> DataFrame:
                 anchors.add(content, values[places], places)
                 owners.append(doc_id)
                 ids.append(content)
-            value, content, place, sure = anchors.settle()
+            value, content, place, sure = anchors.settle(hot)
             none = [None] * len(ids)
             owned = _signed(np.array(ids, dtype=np.uint64))
             yield owned, owned, none, sure, owners
@@ -191,6 +233,8 @@ def _last_level(marked: DataFrame, lengths: list[int]) -> DataFrame:
     length = lengths[-1]
 
     def start():
+        hot = _Hot()
+
         def work(keys, texts):
             parts, ids, contents = [], [], []
             for doc_id, content, marks, text in _marked(keys, texts):
@@ -209,8 +253,14 @@ def _last_level(marked: DataFrame, lengths: list[int]) -> DataFrame:
             one, two, doc, owner, place = one[order], two[order], doc[order], owner[order], place[order]
             fresh = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
             group = np.cumsum(fresh) - 1
-            least = doc[np.flatnonzero(fresh)][group]
-            sure = doc > least
+            # The smallest doc_id of each window in this task so far.
+            least = doc[fresh]
+            before, at = hot.find(one[fresh], two[fresh])
+            least[before] = np.minimum(least[before], hot.least[at[before]])
+            hot.least[at[before]] = least[before]
+            often = ~before & (np.bincount(group) >= HOT_DOCUMENTS)
+            hot.add(one[fresh][often], two[fresh][often], least[often])
+            sure = doc > least[group]
             content = np.array(contents, dtype=np.uint64)
             # Settled: one row per document with all its places.
             pick_ = np.argsort(owner[sure], kind="stable")
@@ -357,6 +407,8 @@ def _whole_level(marked: DataFrame, lengths: list[int], level: int, doubled: boo
     length = lengths[level]
 
     def start():
+        hot = _Hot()
+
         def work(keys, texts):
             anchors, owners, ids = _Anchors(), [], []
             for doc_id, content, marks, text in _marked(keys, texts):
@@ -370,7 +422,7 @@ def _whole_level(marked: DataFrame, lengths: list[int], level: int, doubled: boo
                 anchors.add(content, windows(hashed, length)[places], places)
                 owners.append(doc_id)
                 ids.append(content)
-            value, content, place, sure = anchors.settle()
+            value, content, place, sure = anchors.settle(hot)
             none = [None] * len(ids)
             owned = _signed(np.array(ids, dtype=np.uint64))
             yield owned, owned, none, sure, owners

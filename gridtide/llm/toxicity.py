@@ -245,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> S
 
 
 def _regression(rows: np.ndarray, labels: np.ndarray, penalty: float = 0.1) -> np.ndarray:
-    """Logistic weights with the intercept last, by Newton steps; only the length may count against.
+    """Logistic weights with the intercept last, by damped Newton steps; only the length may count against.
 
     Without any row nothing has been learned, and every text scores UNLEARNED: a filter keeps it.
     """
@@ -258,18 +258,39 @@ def _regression(rows: np.ndarray, labels: np.ndarray, penalty: float = 0.1) -> n
     weights[-1] = np.log(chance / (1 - chance))
     ridge = np.eye(x.shape[1]) * penalty
     ridge[-1, -1] = 1e-6
-    for _ in range(30):
+    # All but the length and the intercept stay at zero or above.
+    low = np.arange(len(weights)) < len(weights) - 2
+    loss = _loss(x, labels, weights, ridge)
+    for _ in range(200):
         p = _sigmoid(x @ weights)
-        slope = x.T @ (labels - p) - ridge @ weights
+        slope = ridge @ weights - x.T @ (labels - p)
         curve = (x * (p * (1 - p))[:, None]).T @ x + ridge
-        move = np.linalg.solve(curve, slope)
-        weights = weights + np.clip(move, -2, 2)
-        weights[:-2] = np.maximum(weights[:-2], 0.0)
-        if np.abs(move).max() < 1e-8:
+        free = np.flatnonzero(~(low & (weights <= 0) & (slope > 0)))
+        move = np.zeros(len(weights))
+        move[free] = -np.linalg.solve(curve[np.ix_(free, free)], slope[free])
+        # Half steps until the loss falls: a whole Newton step may leap far beyond the optimum.
+        size = 1.0
+        while size > 1e-12:
+            new = weights + size * move
+            new[low] = np.maximum(new[low], 0.0)
+            after = _loss(x, labels, new, ridge)
+            if after <= loss + 1e-4 * slope @ (new - weights):
+                break
+            size /= 2
+        else:
+            break
+        done = np.abs(new - weights).max() < 1e-9
+        weights, loss = new, after
+        if done:
             break
     return weights
 
 
+def _loss(x: np.ndarray, labels: np.ndarray, weights: np.ndarray, ridge: np.ndarray) -> float:
+    margin = x @ weights
+    return float(np.logaddexp(0.0, margin).sum() - labels @ margin + 0.5 * weights @ ridge @ weights)
+
+
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of every row: near 1 where the text is likely toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)

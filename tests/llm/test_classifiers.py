@@ -20,6 +20,18 @@ def test_held_out_accuracy(spark, query, label, modulus, rest, least):
     assert np.mean([y == p for y, p in known]) >= least
 
 
+@pytest.mark.parametrize(("query", "label", "recall", "precision"), [(queries.toxic_scores, "toxic", 0.9, 0.85), (queries.quality_scores, "quality", 0.97, 0.97)])
+def test_held_out_recall_and_precision(spark, query, label, recall, precision):
+    """On a table large enough that a classifier which always says 0 fails."""
+    folder = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    known = [(labels[r.doc_id], r.predicted) for r in query(spark, folder).collect() if r.held_out and r.doc_id in labels]
+    right = sum(y and p for y, p in known)
+    assert sum(y for y, _ in known) > 100
+    assert right >= recall * sum(y for y, _ in known)
+    assert right >= precision * sum(p for _, p in known)
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_edges(spark, edge_docs, edge_rows, no_docs, module):
     label = "quality" if module is quality else "toxic"
@@ -98,3 +110,67 @@ def test_copies_of_a_document_enter_the_sample_once(spark):
     labels_of = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
     rows = labelled.sample(docs, labels_of, "quality", 1_000_003, -1).collect()
     assert sorted((r.label, r.text) for r in rows) == [(0, "other"), (0, "two"), (1, "one")]
+
+
+def plain_path(symbols):
+    """The five rules read one by one, without states."""
+    kinds = [hit[0] if hit else toxicity.OTHER for hit in symbols]
+    score = threat = 0.0
+    for at, hit in enumerate(symbols):
+        if not hit or not hit[1]:
+            continue
+        near = kinds[max(0, at - toxicity.SCOPE) : at]
+        gain = hit[1]
+        if hit[0] == toxicity.THREAT:
+            gain *= 1.0 if toxicity.TARGET in near else 0.25
+        if hit[0] == toxicity.INSULT:
+            gain *= 1.5 if toxicity.TARGET in near else 1.0
+        if toxicity.NEGATION in near:
+            gain *= 0.3
+        if toxicity.REPORT in kinds[:at]:
+            gain *= 0.6
+        score += gain
+        threat = max(threat, gain if hit[0] == toxicity.THREAT else 0.0)
+    return score, threat
+
+
+def test_grammar_equals_the_rules_read_one_by_one(scorer):
+    random = np.random.default_rng(6)
+    for _ in range(400):
+        symbols = []
+        for kind in random.choice(6, size=int(random.integers(1, 16)), p=[0.4, 0.15, 0.15, 0.1, 0.1, 0.1]).tolist():
+            weight = float(random.integers(1, 9)) if kind in (toxicity.INSULT, toxicity.THREAT) else 0.0
+            symbols.append((kind, weight) if kind else None)
+        kinds = {hit[0] for hit in symbols if hit}
+        wanted = plain_path(symbols)
+        if toxicity.TARGET in kinds and not kinds & {toxicity.NEGATION, toxicity.REPORT}:
+            wanted = max(wanted, plain_path(symbols[::-1]))
+        assert scorer._clause(symbols) == pytest.approx(wanted)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_regression_reaches_the_optimum(seed):
+    """Separable and other rows: no small change of the weights lowers the loss, and classes come apart."""
+    random = np.random.default_rng(seed)
+    count = [60, 2000, 20_000][seed % 3]
+    labels = (random.random(count) < 0.1).astype(float)
+    rows = np.abs(random.standard_normal((count, toxicity.FEATURES))) * 0.3
+    rows[:, :4] = (labels * (2 + random.random(count)))[:, None] * random.random(4) * 3 + (random.random(count) < 0.02 * (seed > 2))[:, None]
+    rows[:, -1] = np.log1p(random.integers(0, 5000, count))
+    weights = toxicity._regression(rows, labels)
+    x, ridge = np.hstack([rows, np.ones((count, 1))]), np.eye(toxicity.FEATURES + 1) * 0.1
+    ridge[-1, -1] = 1e-6
+    best = toxicity._loss(x, labels, weights, ridge)
+    for at in range(len(weights)):
+        for change in (-1e-2, 1e-2):
+            near = weights.copy()
+            near[at] = near[at] + change if at >= toxicity.FEATURES - 1 else max(0.0, near[at] + change)
+            assert toxicity._loss(x, labels, near, ridge) >= best - 1e-6
+    assert (weights[:-2] >= 0).all()
+    scores = toxicity._sigmoid(x @ weights)
+    assert (scores[labels == 1] >= 0.3).mean() > 0.98 and (scores[labels == 0] < 0.3).mean() > 0.98
+
+
+def test_nothing_learned_scores_low():
+    weights = toxicity._regression(np.zeros((0, toxicity.FEATURES)), np.zeros(0))
+    assert toxicity._sigmoid(weights[-1:])[0] == pytest.approx(toxicity.UNLEARNED)

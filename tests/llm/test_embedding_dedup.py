@@ -63,3 +63,32 @@ def test_recall_and_dense_groups_over_many_leaves(spark, leaf):
     assert 0.95 * links(true) <= links(found) <= links(true)
     assert all(f[1] <= t[1] for f, t in zip(sorted(found, key=lambda r: r[0]), sorted(true, key=lambda r: r[0])))
     assert np.mean([f == t for f, t in zip(found, true)]) > 0.95
+
+
+def test_what_a_vector_sends_stays_small():
+    """Bytes per vector over all tables of the first pass: key, id, rank and the short signature."""
+    for count, most in ((10**5, 1_000), (10**8, 5_000), (10**10, 12_000)):
+        planes = embedding_dedup.Planes(count, 0.9, 0.97, 1)
+        assert planes.tables * (24 + embedding_dedup.SIGNATURE_BITS // 8) < most
+        assert planes.words * 8 < 700
+
+
+def test_recall_of_random_close_pairs(spark):
+    """Pairs at a cosine of about 0.9 to 0.95 among many others."""
+    random = np.random.default_rng(12)
+    rows = [(i, v.tolist()) for i, v in enumerate(random.standard_normal((3000, 32)))]
+    for i in range(400):
+        one = np.array(rows[i][1])
+        noise = random.standard_normal(32)
+        noise -= noise @ one / (one @ one) * one
+        cosine = 0.9 + 0.05 * random.random()
+        rows.append((5000 + i, (one + noise * np.linalg.norm(one) / np.linalg.norm(noise) * np.sqrt(1 / cosine**2 - 1)).tolist()))
+    links = lambda out: {r[0]: r[1] for r in out}
+    found = links(result(embedding_dedup.link(frame(spark, rows))))
+    v = np.array([x for _, x in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    close = v @ v.T >= 0.9
+    np.fill_diagonal(close, False)
+    true = {i: int(n) for (i, _), n in zip(rows, close.sum(axis=1))}
+    assert all(found[i] <= true[i] for i in true)
+    assert sum(found.values()) >= 0.95 * sum(true.values())

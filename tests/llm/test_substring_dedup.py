@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
@@ -87,3 +88,44 @@ def test_longest_repeats_double_until_none_survive(spark, edge_docs, edge_rows):
 
     assert found == in_order((i, len(w), longest(w)) for i, w in words)
     assert {r[2] for r in found} >= {0, 10}
+
+
+@pytest.mark.parametrize("order", ["up", "down", "mixed"])
+def test_a_passage_in_every_document_over_many_slices(spark, order):
+    """Shared passages beside long texts of their own, so that a slice holds few documents."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    own = lambda i: " ".join(f"d{i}w{k}" for k in range(12_000))
+    rows = [(i, f"{own(i)} {passage} {own(i + 1) if i % 5 == 0 else own(i * 1000)}") for i in range(60)]
+    rows += [(100 + i, f"{passage} end{i % 3}") for i in range(9)] + [(None, passage), (7, passage)]
+    random = np.random.default_rng(1)
+    rows = rows[::-1] if order == "down" else [rows[i] for i in random.permutation(len(rows))] if order == "mixed" else rows
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2)
+
+    assert result(substring_dedup.remove_repeats(docs)) == plain(rows)
+
+
+def test_hot_hashes_are_sent_once_by_a_task():
+    """The rows that slices of one task send for a passage that all of their documents hold."""
+    random = np.random.default_rng(2)
+    passage = random.integers(0, 2**63, 20).astype(np.uint64)
+    hot, sent = substring_dedup._Hot(), []
+    for slice_ in range(50):
+        anchors = substring_dedup._Anchors()
+        for content in range(4):
+            own = random.integers(0, 2**63, 5).astype(np.uint64)
+            anchors.add(slice_ * 10 + content, np.concatenate([passage, own]), np.arange(25))
+        value, content, place, sure = anchors.settle(hot)
+        sent.append(int(np.isin(value, passage).sum()))
+        assert len(value) == sent[-1] + 20
+        assert all(sorted(places) == list(range(20)) for places in sure)
+    assert sent == [20] + [0] * 49
+
+
+def test_remembered_hashes_are_bounded(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT_KEYS", 10)
+    hot = substring_dedup._Hot()
+    values = np.arange(30, dtype=np.uint64)
+    hot.add(values[:7], values[:7], np.full(7, 5))
+    hot.add(values[7:], values[7:], np.full(23, 6))
+    assert len(hot.one) == 10 and hot.find(values, values)[0].sum() == 10
+    assert not hot.find(values[:3], values[3:6])[0].any()
