@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import NumericType
 
 from gridtide.functions.columns import field
 from gridtide.functions.expressions import compile_expression
 from gridtide.functions.graph import compile_fields
+from gridtide.plans.session import SETTINGS
 from gridtide.sources.binding import require_columns
 
 # Offered type name -> Spark type.
@@ -54,9 +55,22 @@ def put_columns(cells: DataFrame, new: Mapping[str, Column], names: Sequence[str
     return cells.select(*kept, *(new[name].alias(name) for name in extra))
 
 
+# A size of methods, and what Spark has for it where nobody has chosen one.
+METHOD_LIMIT, METHOD_LIMIT_UNSET = "spark.sql.codegen.hugeMethodLimit", "65535"
+
+
+def _small_methods(spark: SparkSession) -> None:
+    """Formulas with intermediate columns, fused into one method, soon exceed what the JVM compiles. The
+    session setting that avoids it (plans/session.py) changes no result; one that was chosen stays."""
+    if spark.conf.get(METHOD_LIMIT) == METHOD_LIMIT_UNSET:
+        spark.conf.set(METHOD_LIMIT, SETTINGS[METHOD_LIMIT])
+
+
 def derive_field(cells: DataFrame, name: str, expression: str) -> DataFrame:
     """Add or replace a double column computed from an expression text."""
     compiled = compile_expression(expression, cells.schema)
+    if compiled.steps:
+        _small_methods(cells.sparkSession)
     return put_columns(compiled.over(cells), {_new_name(name): compiled.result}, cells.columns)
 
 
@@ -70,6 +84,8 @@ def derive_fields(cells: DataFrame, definitions: Mapping[str, str]) -> DataFrame
     if len(named) < len(definitions):
         raise ValueError("A field is defined twice")
     compiled = compile_fields(named, cells.schema)
+    if compiled.levels:
+        _small_methods(cells.sparkSession)
     return put_columns(compiled.over(cells), compiled.results, cells.columns)
 
 

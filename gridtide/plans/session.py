@@ -18,6 +18,9 @@ SETTINGS = {
     # Field names that differ only in case stay apart.
     "spark.sql.caseSensitive": "true",
     "spark.sql.session.timeZone": "UTC",
+    # The JVM never compiles a method beyond 8,000 bytes. Long formulas fused into one method would be
+    # interpreted; with this limit Spark runs such a stage operator by operator, in small methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -92,3 +92,20 @@ def test_case_clash_is_refused_where_spark_ignores_case(spark, cells):
     for make in (lambda: P.derive_field(cells, "a", "1"), lambda: P.rename_fields(cells, {"b": "a"})):
         with pytest.raises(ValueError, match="caseSensitive"):
             make()
+
+
+def test_long_formulas_stay_in_methods_that_the_jvm_compiles(spark):
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    cells = spark.createDataFrame([(2.0, 3.0)], "a double, b double")
+    try:
+        for make in (lambda: P.derive_field(cells, "c", "([a] + 1) / ([b] + 1)"), lambda: P.derive_fields(cells, {"c": "([a] + 1) / ([b] + 1)"})):
+            spark.conf.unset(limit)
+            assert P.derive_field(cells, "c", "[a] + [b]").first().c == 5.0 and spark.conf.get(limit) == "65535"
+            assert make().first().c == 0.75
+            assert int(spark.conf.get(limit)) <= 8000
+            spark.conf.set(limit, "60000")
+            make()
+            assert spark.conf.get(limit) == "60000"
+    finally:
+        spark.conf.set(limit, before)
